@@ -40,7 +40,11 @@ def most_cited(df: DataFrame, k: int = 5) -> DataFrame:
 
 def category_occurrences(df: DataFrame) -> DataFrame:
     """(ord, pos, category_id) for every listed category occurrence."""
-    return df.select("ord", F.posexplode("categories").alias("pos", "category_id"))
+    # the _outer form keeps Catalyst from inferring a size(categories) > 0
+    # filter and pushing it (with the whole tagging expression) below the
+    # projection, where it would be evaluated twice
+    return (df.select("ord", F.posexplode_outer("categories").alias("pos", "category_id"))
+            .filter(F.col("category_id").isNotNull()))
 
 
 def category_counts(df: DataFrame) -> DataFrame:
@@ -136,7 +140,8 @@ def category_listing(df: DataFrame, category_id: str | None = None) -> DataFrame
     An entry counts once per category even if it repeats the id.
     """
     occ = df.select("ord", "id", "year", "citation_count",
-                    F.explode(F.array_distinct("categories")).alias("category_id"))
+                    F.explode_outer(F.array_distinct("categories")).alias("category_id")) \
+        .filter(F.col("category_id").isNotNull())
     if category_id is not None:
         occ = occ.filter(F.col("category_id") == category_id)
     # range-sorted ranking: a category used by a third of the catalog is

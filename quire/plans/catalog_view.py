@@ -134,7 +134,7 @@ NORMALIZE_SQL = ("regexp_replace(regexp_replace(regexp_replace(lower({x}), '^[{w
 
 
 def normalize_sql(x: str) -> str:
-    return NORMALIZE_SQL.format(x=x, ws=WS)
+    return NORMALIZE_SQL.replace("{x}", x).replace("{ws}", WS)
 
 
 def words_sql(norm: str) -> str:

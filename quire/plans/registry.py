@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import analytics
+from quire.operators import analytics, curate, linkage
+from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
 from quire.sources import dims
 
@@ -31,7 +32,7 @@ def query(name: str, sql: str | None = None):
 
 def with_catalog(body: str, *extra: str) -> str:
     ctes = ",\n".join([cv.CATALOG_SQL.strip(), *extra])
-    return f"WITH {ctes}\n{body}"
+    return f"WITH RECURSIVE {ctes}\n{body}"
 
 
 # --------------------------------------------------------------------- A7/W4
@@ -178,4 +179,113 @@ def q_facet_filtered(spark, sf_dir):
 SELECT id, title, year FROM catalog WHERE id = 'cat-2024-00008'"""))
 def q_lookup_by_id(spark, sf_dir):
     return analytics.lookup(cv.catalog_view(spark, sf_dir), "cat-2024-00008").select("id", "title", "year")
-FLAGSHIP = "top_categories"
+
+
+# ------------------------------------------------------- curate
+
+def _curate_status(spark, sf_dir):
+    return curate.curate(bt.candidates(spark, sf_dir), bt.catalog_part(spark, sf_dir),
+                         bt.demo_rules(spark), bt.PARAMS)
+
+
+@query("candidate_validity", with_catalog("""
+SELECT rid, source, reject_reason, status0 AS status FROM cls2""", bt.CANDIDATES_SQL.strip()))
+def q_candidate_validity(spark, sf_dir):
+    c = curate.classify(bt.candidates(spark, sf_dir), bt.demo_rules(spark), bt.PARAMS)
+    return c.select("rid", "source", "reject_reason", "status")
+
+
+@query("curate_new_entries", with_catalog("""
+SELECT printf('qc-%d-%05d', 2025, s.num) AS id, s.rid, s.source AS source_api,
+       array_to_string(s.categories, ',') AS categories, s.year, nullif(s.month, 0) AS month,
+       nullif(s.doi, '') AS doi, nullif(s.citation_count, 0) AS citation_count, s.open_access
+FROM status s WHERE s.status = 'added'""", bt.CANDIDATES_SQL.strip()))
+def q_curate_new_entries(spark, sf_dir):
+    st = _curate_status(spark, sf_dir)
+    e = curate.to_entries(st.filter(F.col("status") == "added"), bt.PARAMS)
+    return e.select("id", "rid", "source_api", F.array_join("categories", ",").alias("categories"),
+                    "year", "month", "doi", "citation_count", "open_access")
+
+
+@query("curate_run_counters", with_catalog("""
+SELECT source, source_ord, count(*) AS seen,
+       count(*) FILTER (WHERE status = 'invalid') AS invalid,
+       count(*) FILTER (WHERE status = 'off_topic') AS off_topic,
+       count(*) FILTER (WHERE status = 'duplicate') AS duplicate,
+       count(*) FILTER (WHERE status = 'added') AS added
+FROM status GROUP BY source, source_ord""", bt.CANDIDATES_SQL.strip()))
+def q_curate_run_counters(spark, sf_dir):
+    return curate.run_counters(_curate_status(spark, sf_dir))
+
+
+@query("catalog_id_hits", with_catalog("""
+SELECT rid FROM hitkeys""", bt.CANDIDATES_SQL.strip()))
+def q_catalog_id_hits(spark, sf_dir):
+    c = curate.classify(bt.candidates(spark, sf_dir), bt.demo_rules(spark), bt.PARAMS)
+    elig = c.filter(F.col("status").isNull())
+    return linkage.anti_by_keys(curate.candidate_keys(elig, True, False),
+                                curate.catalog_keys(bt.catalog_part(spark, sf_dir)))
+
+
+@query("next_id", with_catalog("""
+SELECT coalesce(max(CASE WHEN regexp_extract(id, '-([0-9]{5})$', 1) <> ''
+                    THEN CAST(regexp_extract(id, '-([0-9]{5})$', 1) AS INTEGER) END), 0) + 1 AS next_num,
+       coalesce(bool_or(regexp_matches(id, '-[0-9]{6,}$')), false) AS overflow
+FROM catalog"""))
+def q_next_id(spark, sf_dir):
+    return curate.next_id(cv.catalog_view(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- J2 / J3
+
+_DOC_WORDS_SQL = f"""
+dw AS (SELECT doc_id AS rid, {cv.words_sql(cv.normalize_sql('text'))} AS words FROM documents)"""
+
+
+@query("similar_document_pairs", f"""WITH {_DOC_WORDS_SQL.strip()}
+SELECT a.rid AS l_rid, b.rid AS r_rid,
+       round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS similarity
+FROM dw a JOIN dw b ON a.rid < b.rid
+WHERE len(a.words) > 0 AND len(b.words) > 0
+  AND least(len(a.words), len(b.words)) >= 0.85 * greatest(len(a.words), len(b.words))
+  AND len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) > 0.85""")
+def q_similar_document_pairs(spark, sf_dir):
+    docs = cv.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("text").alias("title"))
+    sets = linkage.title_keys(docs).select("rid", "words")
+    return linkage.similar_pairs(sets, None, "0.85", True).select(
+        "l_rid", "r_rid", F.round("similarity", 6).alias("similarity"))
+
+
+_PAGE_SQL = f"""
+pt AS (SELECT page_id AS rid, {cv.normalize_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS norm FROM pages),
+pw AS (SELECT rid, norm, {cv.words_sql('norm')} AS words FROM pt),
+conflicts AS (
+  SELECT a.rid AS l, b.rid AS r FROM pw a JOIN pw b ON a.rid < b.rid
+  WHERE a.norm = b.norm OR (len(a.words) > 0 AND len(b.words) > 0
+    AND len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) > 0.85)
+),
+ordered AS (
+  SELECT p.rid, row_number() OVER (ORDER BY p.rid) AS i, coalesce(c.smaller, CAST([] AS BIGINT[])) AS smaller
+  FROM pw p LEFT JOIN (SELECT r AS rid, list(l) AS smaller FROM conflicts GROUP BY r) c ON c.rid = p.rid
+),
+walk(i, kept) AS (
+  SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[])
+  UNION ALL
+  SELECT o.i, CASE WHEN list_has_any(o.smaller, w.kept) THEN w.kept ELSE list_append(w.kept, o.rid) END
+  FROM walk w JOIN ordered o ON o.i = w.i + 1
+)"""
+
+
+@query("page_title_keep_first", f"""WITH RECURSIVE {_PAGE_SQL.strip()}
+SELECT p.rid AS page_id, list_contains(w.kept, p.rid) AS kept
+FROM pw p, (SELECT kept FROM walk WHERE i = (SELECT max(i) FROM ordered)) w""")
+def q_page_title_keep_first(spark, sf_dir):
+    pages = cv.read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("rid"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+    rows = linkage.title_keys(pages)
+    keys = rows.select("rid", F.lit("title").alias("kind"), F.col("norm").alias("key"))
+    return linkage.greedy_keep_first(rows.select("rid", "words"), keys).select(
+        F.col("rid").alias("page_id"), "kept")
+
+
+FLAGSHIP = "curate_new_entries"
