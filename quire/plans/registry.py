@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import analytics, curate, linkage
+from quire.operators import analytics, curate, ingest, linkage
+from quire.functions import text as tx
 from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
 from quire.sources import dims
@@ -288,4 +289,105 @@ def q_page_title_keep_first(spark, sf_dir):
         F.col("rid").alias("page_id"), "kept")
 
 
+
+# ------------------------------------------------- ingest
+
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+_EVENT_HITS_SQL = """
+hits AS (SELECT list_position(['click', 'error', 'purchase', 'signup', 'view'], event_type) - 1 AS query_ord,
+                event_id AS pos, CAST(user_id AS VARCHAR) AS key FROM events)"""
+
+
+def _event_hits(spark, sf_dir):
+    e = cv.read(spark, sf_dir, "events")
+    types = F.array(*[F.lit(t) for t in EVENT_TYPES])
+    return e.select((F.array_position(types, F.col("event_type")) - 1).cast("int").alias("query_ord"),
+                    F.col("event_id").alias("pos"), F.col("user_id").cast("string").alias("key"))
+
+
+@query("ingest_keep_first", f"""WITH {_EVENT_HITS_SQL.strip()}
+SELECT key, arg_min(pos, query_ord * 1000000000000 + pos) AS pos, min(query_ord) AS query_ord
+FROM hits GROUP BY key""")
+def q_ingest_keep_first(spark, sf_dir):
+    return ingest.keep_first(_event_hits(spark, sf_dir), F.col("key")).select("key", "pos", "query_ord")
+
+
+@query("ingest_hits_per_query", f"""WITH {_EVENT_HITS_SQL.strip()},
+found AS (SELECT query_ord, count(*) AS found FROM hits GROUP BY query_ord),
+firsts AS (SELECT q AS query_ord, count(*) AS new_unique FROM (SELECT key, min(query_ord) AS q FROM hits GROUP BY key) GROUP BY q)
+SELECT f.query_ord, f.found, CAST(coalesce(n.new_unique, 0) AS BIGINT) AS new_unique,
+       CAST(sum(coalesce(n.new_unique, 0)) OVER (ORDER BY f.query_ord ROWS UNBOUNDED PRECEDING) AS BIGINT) AS unique_total
+FROM found f LEFT JOIN firsts n ON n.query_ord = f.query_ord""")
+def q_ingest_hits_per_query(spark, sf_dir):
+    return ingest.hits_per_query(_event_hits(spark, sf_dir), F.col("key"))
+
+
+_ORDER_PUBS_SQL = """
+pubs AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month,
+                CAST(o_custkey % 7 AS BIGINT) AS citation_count FROM orders)"""
+ORDERS_AS_OF = __import__("datetime").date(1998, 6, 30)
+
+
+def _order_pubs(spark, sf_dir):
+    o = cv.read(spark, sf_dir, "orders")
+    return o.select("o_orderkey", F.year("o_orderdate").cast("int").alias("year"),
+                    F.month("o_orderdate").cast("int").alias("month"),
+                    (F.col("o_custkey") % 7).cast("bigint").alias("citation_count"))
+
+
+@query("recent_by_month", f"""WITH {_ORDER_PUBS_SQL.strip()}
+SELECT o_orderkey, year, month FROM pubs WHERE year > 1997 OR (year = 1997 AND month >= 6)""")
+def q_recent_by_month(spark, sf_dir):
+    return ingest.recent_by_month(_order_pubs(spark, sf_dir), ORDERS_AS_OF, 365).select("o_orderkey", "year", "month")
+
+
+@query("recent_or_cited", f"""WITH {_ORDER_PUBS_SQL.strip()}
+SELECT o_orderkey, year, month FROM pubs
+WHERE year IS NOT NULL AND year <> 0 AND (year > 1998 OR (year = 1998 AND month >= 1) OR citation_count >= 3)""")
+def q_recent_or_cited(spark, sf_dir):
+    return ingest.recent_or_cited(_order_pubs(spark, sf_dir), ORDERS_AS_OF, 180, 3).select(
+        "o_orderkey", "year", "month")
+
+
+@query("year_floor", f"""WITH {_ORDER_PUBS_SQL.strip()}
+SELECT o_orderkey, year FROM pubs WHERE year >= 1996""")
+def q_year_floor(spark, sf_dir):
+    return ingest.year_floor(_order_pubs(spark, sf_dir), 1996).select("o_orderkey", "year")
+
+
+_PAGE_FIELDS_SQL = f"""
+pf AS (SELECT page_id, url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS raw_title FROM pages)"""
+
+
+def _page_fields(spark, sf_dir):
+    p = cv.read(spark, sf_dir, "pages")
+    return p.select("page_id", "url", "html", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("raw_title"))
+
+
+@query("keep_first_fallback_key", f"""WITH {_PAGE_FIELDS_SQL.strip()},
+k AS (SELECT page_id % 3 AS query_ord, page_id AS pos,
+             coalesce(nullif(regexp_extract(url, '/([0-9]+)', 1), ''), lower(raw_title)) AS key FROM pf)
+SELECT key, arg_min(pos, (query_ord, pos)) AS pos FROM k GROUP BY key""")
+def q_keep_first_fallback_key(spark, sf_dir):
+    p = _page_fields(spark, sf_dir).select(
+        (F.col("page_id") % 3).alias("query_ord"), F.col("page_id").alias("pos"),
+        F.regexp_extract("url", "/([0-9]+)", 1).alias("doi"), F.col("raw_title").alias("title"))
+    return ingest.keep_first(p, ingest.crossref_key()).select(ingest.crossref_key().alias("key"), "pos")
+
+
+@query("page_fields", f"""WITH {_PAGE_FIELDS_SQL.strip()}
+SELECT page_id,
+       {cv.COLLAPSE_SQL.replace('text', 'raw_title')} AS title,
+       regexp_replace(substring(html, 1, 500), '<[^>]+>', '', 'g') AS abstract,
+       regexp_replace(string_split(url, '/abs/')[-1], 'v[0-9]+$', '') AS ident,
+       'https://arxiv.org/pdf/' || regexp_replace(string_split(url, '/abs/')[-1], 'v[0-9]+$', '') AS pdf_url
+FROM pf""")
+def q_page_fields(spark, sf_dir):
+    p = _page_fields(spark, sf_dir)
+    ident = tx.arxiv_id_from_url("url")
+    return p.select("page_id", tx.collapse_ws("raw_title").alias("title"),
+                    tx.strip_markup_after_truncate("html").alias("abstract"),
+                    ident.alias("ident"), F.concat(F.lit("https://arxiv.org/pdf/"), ident).alias("pdf_url"))
+
+
 FLAGSHIP = "curate_new_entries"
