@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import analytics, curate, ingest, linkage
+from quire.operators import analytics, curate, enrich, ingest, linkage
 from quire.functions import text as tx
 from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
@@ -390,4 +390,53 @@ def q_page_fields(spark, sf_dir):
                     ident.alias("ident"), F.concat(F.lit("https://arxiv.org/pdf/"), ident).alias("pdf_url"))
 
 
+
+# ------------------------------------------------------ DOI backfill
+
+def _backfill(spark, sf_dir):
+    cat = cv.catalog_view(spark, sf_dir)
+    meta = cat.select(F.col("ord").alias("pos"), F.lit(0).alias("query_ord"),
+                      F.col("external_ids.arxiv_id").alias("arxiv_id"),
+                      F.when(F.col("ord") % 4 == 0, F.concat(F.lit("10.7777/"), F.col("ord").cast("string")))
+                      .otherwise(F.lit("")).alias("doi")).filter(F.col("arxiv_id").isNotNull())
+    meta = ingest.keep_first(meta, F.col("arxiv_id")).select("arxiv_id", "doi")
+    lookup = cat.select(F.col("ord").alias("rank"), "title", "year", "doi")
+    return enrich.backfill(cat, meta, lookup)
+
+
+_BACKFILL_SQL = f"""
+need AS (SELECT * FROM catalog WHERE type IN ('paper', 'book') AND nullif(doi, '') IS NULL AND nullif(ext_doi, '') IS NULL),
+meta AS (
+  SELECT arxiv_id, arg_min(doi, ord) AS doi FROM (
+    SELECT ord, arxiv_id, CASE WHEN ord % 4 = 0 THEN '10.7777/' || CAST(ord AS VARCHAR) ELSE '' END AS doi
+    FROM catalog WHERE arxiv_id IS NOT NULL) GROUP BY arxiv_id),
+stage_a AS (SELECT n.ord, nullif(trim(m.doi), '') AS doi_a FROM need n JOIN meta m ON m.arxiv_id = n.arxiv_id
+            WHERE nullif(trim(m.doi), '') IS NOT NULL),
+rest AS (SELECT * FROM need WHERE ord NOT IN (SELECT ord FROM stage_a)),
+rw AS (SELECT ord, year, {cv.words_sql(cv.normalize_sql('title'))} AS words FROM rest),
+lw AS (SELECT ord AS rank, year, doi, {cv.words_sql(cv.normalize_sql('title'))} AS words FROM catalog WHERE nullif(doi, '') IS NOT NULL),
+stage_c AS (
+  SELECT r.ord, arg_min(l.doi, l.rank) AS doi_c FROM rw r, lw l
+  WHERE len(r.words) > 0 AND len(l.words) > 0
+    AND len(list_intersect(r.words, l.words)) / (len(r.words) + len(l.words) - len(list_intersect(r.words, l.words))) >= 0.85
+    AND (r.year IS NULL OR l.year IS NULL OR abs(r.year - l.year) <= 1)
+  GROUP BY r.ord),
+result AS (
+  SELECT n.ord, n.id, coalesce(a.doi_a, c.doi_c) AS new_doi,
+         CASE WHEN a.doi_a IS NOT NULL THEN 'arxiv' WHEN c.doi_c IS NOT NULL THEN 'crossref' END AS doi_source
+  FROM need n LEFT JOIN stage_a a ON a.ord = n.ord LEFT JOIN stage_c c ON c.ord = n.ord)"""
+
+
+@query("doi_backfill", with_catalog("SELECT ord, id, new_doi, doi_source FROM result", _BACKFILL_SQL.strip()))
+def q_doi_backfill(spark, sf_dir):
+    return _backfill(spark, sf_dir).select("ord", "id", "new_doi", "doi_source")
+
+
+@query("doi_backfill_counters", with_catalog(
+    "SELECT coalesce(doi_source, 'none') AS doi_source, count(*) AS n FROM result GROUP BY 1",
+    _BACKFILL_SQL.strip()))
+def q_doi_backfill_counters(spark, sf_dir):
+    return enrich.backfill_counters(_backfill(spark, sf_dir))
+
+
 FLAGSHIP = "curate_new_entries"
