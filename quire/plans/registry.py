@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import analytics, curate, enrich, ingest, linkage
+from quire.operators import analytics, curate, enrich, ingest, linkage, quality
 from quire.functions import text as tx
 from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
@@ -439,4 +439,78 @@ def q_doi_backfill_counters(spark, sf_dir):
     return enrich.backfill_counters(_backfill(spark, sf_dir))
 
 
+
+# ---------------------------------------------------- quality
+
+ENTRY_FIELDS = ["id", "type", "title", "authors", "year", "month", "venue", "abstract", "url", "doi",
+                "pdf_url", "categories", "framework_mappings", "tags", "added_date", "added_by",
+                "source_api", "external_ids", "citation_count", "open_access", "reviewed"]
+
+
+def catalog_json(spark, sf_dir):
+    """The catalog view as raw JSON records, with seeded faults: an empty
+    title (ord % 110 = 0), an unknown key (ord % 90 = 0), a year written as
+    2019.0 (ord % 50 = 0, still an integer) or as true (ord % 70 = 0)."""
+    c = cv.catalog_view(spark, sf_dir)
+    o = F.col("ord")
+    fields = [F.when(o % 110 == 0, F.lit("")).otherwise(F.col("title")).alias("title") if f == "title"
+              else F.col(f) for f in ENTRY_FIELDS]
+    j = F.to_json(F.struct(*fields, F.when(o % 90 == 0, F.lit(1)).alias("extra")))
+    j = F.when(o % 70 == 0, F.regexp_replace(j, ',"year":([0-9]+)', ',"year":true')) \
+        .when(o % 50 == 0, F.regexp_replace(j, ',"year":([0-9]+)', ',"year":$1.0')).otherwise(j)
+    return c.select("ord", "id", "categories", j.alias("raw"))
+
+
+_SCHEMA_VIOLATIONS_SQL = """
+violations AS (
+  SELECT ord, 'reviewed' AS path, 'required' AS rule FROM catalog WHERE reviewed IS NULL
+  UNION ALL SELECT ord, 'categories', 'minItems' FROM catalog WHERE len(categories) = 0
+  UNION ALL SELECT ord, 'year', 'type' FROM catalog WHERE ord % 70 = 0
+  UNION ALL SELECT ord, '', 'additionalProperties' FROM catalog WHERE ord % 90 = 0
+  UNION ALL SELECT ord, 'title', 'minLength' FROM catalog WHERE ord % 110 = 0),
+unknown AS (
+  SELECT o.ord, o.category_id FROM (SELECT ord, unnest(categories) AS category_id FROM catalog) o
+  WHERE o.category_id NOT IN (SELECT category_id FROM taxonomy))"""
+
+
+@query("schema_violations", with_catalog("SELECT ord, path, rule FROM violations",
+                                         cv.taxonomy_sql(), _SCHEMA_VIOLATIONS_SQL.strip()))
+def q_schema_violations(spark, sf_dir):
+    return quality.validate_json(catalog_json(spark, sf_dir), "ord", "raw", quality.entry_schema("cat"))
+
+
+@query("unknown_categories", with_catalog("SELECT ord, category_id FROM unknown",
+                                          cv.taxonomy_sql(), _SCHEMA_VIOLATIONS_SQL.strip()))
+def q_unknown_categories(spark, sf_dir):
+    return quality.unknown_categories(cv.catalog_view(spark, sf_dir), dims.taxonomy(spark)).select(
+        "ord", "category_id")
+
+
+_PAGE_IDS_SQL = "pid AS (SELECT 'page-' || regexp_extract(url, '/([0-9]+)', 1) AS id FROM pages)"
+
+
+@query("duplicate_ids", f"""WITH {_PAGE_IDS_SQL}
+SELECT id, count(*) AS n FROM pid GROUP BY id HAVING count(*) > 1""")
+def q_duplicate_ids(spark, sf_dir):
+    ids = cv.read(spark, sf_dir, "pages").select(
+        F.concat(F.lit("page-"), F.regexp_extract("url", "/([0-9]+)", 1)).alias("id"))
+    return quality.duplicate_ids(ids)
+
+
+@query("quality_verdict", with_catalog("""
+SELECT * , errors = 0 AS passed FROM (
+  SELECT 1 AS check_ord, 'schema' AS "check", count(*) AS errors FROM violations
+  UNION ALL SELECT 2, 'duplicate_ids', count(*) FROM (SELECT id FROM catalog GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT 3, 'unknown_categories', count(*) FROM unknown
+  UNION ALL SELECT 0, 'passed', CAST((SELECT count(*) FROM violations) > 0 AS BIGINT)
+       + CAST((SELECT count(*) FROM (SELECT id FROM catalog GROUP BY id HAVING count(*) > 1)) > 0 AS BIGINT)
+       + CAST((SELECT count(*) FROM unknown) > 0 AS BIGINT))""",
+                                        cv.taxonomy_sql(), _SCHEMA_VIOLATIONS_SQL.strip()))
+def q_quality_verdict(spark, sf_dir):
+    cj = catalog_json(spark, sf_dir)
+    cat = cv.catalog_view(spark, sf_dir)
+    return quality.verdict(quality.validate_json(cj, "ord", "raw", quality.entry_schema("cat")),
+                           quality.duplicate_ids(cat), quality.unknown_categories(cat, dims.taxonomy(spark)))
+
+
 FLAGSHIP = "curate_new_entries"
