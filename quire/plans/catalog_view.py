@@ -180,7 +180,7 @@ catalog AS (
 ),
 fw_controls(framework_id, framework_ord, control_id, control_pos) AS (VALUES {_mapping_rows_sql()}),
 fw_links AS (
-  SELECT c.ord, f.framework_id, f.control_id, f.control_pos
+  SELECT c.ord, f.framework_id, f.framework_ord, f.control_id, f.control_pos
   FROM catalog c JOIN fw_controls f ON (c.ord + f.control_pos) % 7 = f.framework_ord
 )"""
 

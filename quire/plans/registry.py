@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.operators import analytics, curate, enrich, ingest, linkage, quality
+from quire.operators import analytics, curate, enrich, export, ingest, linkage, quality, search
 from quire.functions import text as tx
 from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
@@ -513,4 +513,104 @@ def q_quality_verdict(spark, sf_dir):
                            quality.duplicate_ids(cat), quality.unknown_categories(cat, dims.taxonomy(spark)))
 
 
+
+# ------------------------------------------------------- search
+
+SEARCH_QUERY = "Apache licence Roe"
+
+
+def _search_sql(q: str) -> str:
+    terms = search.query_terms(q)
+    posts = " UNION ALL ".join(
+        f"SELECT ord, '{f}' AS field, unnest({cv.words_sql(cv.normalize_sql(src))}) AS term FROM catalog"
+        for f, src in [("title", "coalesce(title, '')"), ("abstract", "coalesce(abstract, '')"),
+                       ("authors", "coalesce(array_to_string(authors, ' '), '')"),
+                       ("categories", "coalesce(array_to_string(categories, ' '), '')"),
+                       ("tags", "coalesce(array_to_string(tags, ' '), '')"),
+                       ("venue", "coalesce(venue, '')")])
+    weights = ", ".join(f"('{f}', {w})" for f, w in search.fixed.SEARCH_WEIGHTS)
+    nq = len(terms)
+    return f"""
+qt AS (SELECT unnest({cv._sql_list(terms)}) AS q),
+posts AS ({posts}),
+vocab AS (SELECT DISTINCT term FROM posts),
+m AS (SELECT * FROM (SELECT term, q, CASE WHEN contains(term, q) THEN 0.0
+                     ELSE least(1.0, levenshtein(q, term) / CAST(length(q) AS DOUBLE)) END AS d FROM vocab, qt) WHERE d < 1),
+best AS (SELECT ord, field, q, min(d) AS d FROM posts JOIN m USING (term) GROUP BY ord, field, q),
+pf AS (SELECT ord, field, (sum(d) + {nq}.0 - count(*)) / {nq}.0 AS d_f FROM best GROUP BY ord, field),
+w(field, wt) AS (VALUES {weights}),
+hits AS (SELECT ord, round(sum(w.wt * (1.0 - d_f)), 6) AS score FROM pf JOIN w USING (field)
+         WHERE d_f <= {search.fixed.SEARCH_THRESHOLD} GROUP BY ord)"""
+
+
+@query("search_hits", with_catalog("SELECT ord, score FROM hits", _search_sql(SEARCH_QUERY).strip()))
+def q_search_hits(spark, sf_dir):
+    return search.search(cv.catalog_view(spark, sf_dir), SEARCH_QUERY)
+
+
+@query("search_page", with_catalog("""
+SELECT h.ord, h.score, (SELECT count(*) FROM hits) AS total
+FROM hits h ORDER BY h.score DESC, h.ord LIMIT 50""", _search_sql(SEARCH_QUERY).strip()))
+def q_search_page(spark, sf_dir):
+    page, total = search.search_or_browse(cv.catalog_view(spark, sf_dir), SEARCH_QUERY)
+    return page.select("ord", "score", total.select("total").scalar().alias("total"))
+
+
+@query("browse_page", with_catalog("""
+SELECT ord, (SELECT count(*) FROM catalog WHERE type = 'paper') AS total FROM catalog WHERE type = 'paper'
+ORDER BY year DESC, coalesce(citation_count, 0) DESC, ord LIMIT 50"""))
+def q_browse_page(spark, sf_dir):
+    page, total = search.search_or_browse(cv.catalog_view(spark, sf_dir), " a ", type_="paper")
+    return page.select("ord", total.select("total").scalar().alias("total"))
+
+
+
+# ------------------------------------------------------------- export
+
+@query("bibtex", with_catalog("""
+SELECT ord, concat_ws(chr(10),
+  '@article{' || replace(id, '-', '') || ',',
+  '  title = {' || title || '},',
+  '  author = {' || array_to_string(authors, ' and ') || '},',
+  '  year = {' || CAST(year AS VARCHAR) || '},',
+  CASE WHEN coalesce(venue, '') <> '' THEN '  journal = {' || venue || '},' END,
+  CASE WHEN coalesce(doi, '') <> '' THEN '  doi = {' || doi || '},' END,
+  CASE WHEN coalesce(url, '') <> '' THEN '  url = {' || url || '},' END,
+  '}') AS bibtex
+FROM catalog"""))
+def q_bibtex(spark, sf_dir):
+    c = cv.catalog_view(spark, sf_dir)
+    return c.select("ord", export.bibtex(c).alias("bibtex"))
+
+
+@query("entry_cards", with_catalog("""
+SELECT c.ord, c.id, c.type,
+       CAST(c.year AS VARCHAR) || CASE WHEN c.month IS NOT NULL AND c.month <> 0
+                                       THEN '-' || lpad(CAST(c.month AS VARCHAR), 2, '0') ELSE '' END AS published,
+       array_to_string(c.authors[1:3], ', ')
+         || CASE WHEN len(c.authors) > 3 THEN ' + ' || CAST(len(c.authors) - 3 AS VARCHAR) || ' more' ELSE '' END
+         AS authors_short,
+       array_to_string(list_transform(c.categories[1:4], lambda x: replace(x, '-', ' ')), ', ') AS category_labels,
+       CASE WHEN c.citation_count > 0 THEN CAST(c.citation_count AS VARCHAR) || ' citations' END AS citations,
+       coalesce(nullif(c.added_by, ''), 'manual') AS added_by,
+       coalesce(nullif(c.source_api, ''), 'manual') AS source,
+       concat_ws(';', 'arxiv_id=' || nullif(c.arxiv_id, ''), 'semantic_scholar_id=' || nullif(c.semantic_scholar_id, ''),
+                 'doi=' || nullif(c.ext_doi, '')) AS external_ids,
+       coalesce(f.badges, '') AS frameworks,
+       f.badges IS NOT NULL AS show_mappings
+FROM catalog c
+LEFT JOIN (SELECT ord, string_agg(framework_id || ':' || control_id, ',' ORDER BY framework_ord, control_pos) AS badges
+           FROM fw_links GROUP BY ord) f ON f.ord = c.ord"""))
+def q_entry_cards(spark, sf_dir):
+    return export.cards(cv.catalog_view(spark, sf_dir))
+
+
+@query("change_summary", with_catalog("""
+SELECT printf('qc-%d-%05d', 2025, num) AS id, title, url, array_to_string(categories, ', ') AS categories
+FROM status WHERE status = 'added'""", bt.CANDIDATES_SQL.strip()))
+def q_change_summary(spark, sf_dir):
+    st = _curate_status(spark, sf_dir)
+    return curate.change_summary(curate.to_entries(st.filter(F.col("status") == "added"), bt.PARAMS))
+
+
 FLAGSHIP = "curate_new_entries"
