@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Offsets tables have (#partitions x #groups) rows; broadcast them only
-# below this bound, else let Spark shuffle-join them.
-OFFSETS_BROADCAST_MAX = 2_000_000
-
+from quire.session import cut
 
 def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list[Column],
                  out: str = "rank", num_partitions: int | None = None) -> DataFrame:
@@ -27,18 +24,19 @@ def ordered_rank(df: DataFrame, group_cols: list[str], order_cols: list[Column],
     keys = [F.col(c) for c in group_cols] + list(order_cols)
     if num_partitions is None:
         num_partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = (df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)
-         .withColumn("_pid", F.spark_partition_id())
-         .withColumn("_mid", F.monotonically_increasing_id()))
+    # materialised once: range bounds come from sampling, and the two uses
+    # below (counts and join-back) must see the very same partitions
+    x = cut(df.repartitionByRange(num_partitions, *keys).sortWithinPartitions(*keys)
+            .withColumn("_pid", F.spark_partition_id())
+            .withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     stats = x.groupBy("_pid", *group_cols).agg(F.count(F.lit(1)).alias("_n"),
                                                F.min("_mid").alias("_min_mid"))
     w = Window.partitionBy(*group_cols).orderBy("_pid") if group_cols else Window.orderBy("_pid")
     offsets = stats.withColumn(
         "_before", F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # at most (#groups + #partitions) rows; no hint: AQE broadcasts it at
+    # runtime when small, else shuffle-joins it
     offsets = offsets.select("_pid", *group_cols, "_before", "_min_mid")
-    n_off = offsets.count()
-    if n_off <= OFFSETS_BROADCAST_MAX:
-        offsets = F.broadcast(offsets)
     joined = x.join(offsets, ["_pid", *group_cols], "inner") if group_cols else \
         x.join(offsets, ["_pid"], "inner")
     return (joined.withColumn(out, (F.col("_before") + F.col("_mid") - F.col("_min_mid") + 1).cast("bigint"))

@@ -9,26 +9,24 @@ first ``n - ceil(t*n) + 1`` words of each set and has
 prefix words and are verified exactly; nothing is sampled or capped.
 
 J3 (keep a row unless an *accepted* earlier row matches it) runs in rounds:
-a row is accepted once it is the smallest undecided row on every prefix word
-and exact key it has; then undecided rows matching a newly accepted row are
-dropped. A prefix word or key is held by at most one newly accepted row, so
-each round is linear in the number of prefix entries, even for a cluster of
-near copies holding a third of the batch.
+a row is accepted once it is the smallest undecided row on every exact key
+and every (prefix word, nearby size bucket) it has; then undecided rows
+matching a newly accepted row are dropped. A key, or a prefix word within
+a size band, has at most two newly accepted holders, so each round is
+linear in the number of prefix entries, even for a cluster of near copies
+holding a third of the batch: no all-pairs step anywhere.
 """
 
 from __future__ import annotations
 
+import os
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text
-
-# Vocabulary (word -> document frequency) is broadcast below this many words;
-# above, the frequency join is a shuffle join (AQE splits hot words).
-VOCAB_BROADCAST_MAX = 2_000_000
-
+from quire.session import cut
 
 def _dec(t) -> Column:
     d = Decimal(str(t))
@@ -41,6 +39,23 @@ def prefix_length(n: Column, threshold) -> Column:
     return (n - F.ceil(_dec(threshold) * n) + 1).cast("int")
 
 
+def size_bucket(n: Column, threshold) -> Column:
+    """Geometric size bucket: sets with ``min(n1,n2) >= t*max(n1,n2)`` fall
+    in buckets at most 1 apart; callers look 2 buckets either way so float
+    rounding at a bucket edge cannot lose a pair."""
+    import math
+
+    step = math.log(1.0 / float(threshold))
+    return F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
+
+
+BUCKET_REACH = 2
+
+
+def _near_buckets(b: Column) -> Column:
+    return F.explode(F.sequence(b - BUCKET_REACH, b + BUCKET_REACH))
+
+
 def vocabulary(*sets: DataFrame) -> DataFrame:
     """Document frequency of every word over the union of ``(rid, words)``
     frames (a partial/final aggregate, so a hot word costs nothing extra)."""
@@ -51,10 +66,11 @@ def vocabulary(*sets: DataFrame) -> DataFrame:
     return u.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _maybe_broadcast(vocab: DataFrame, check: bool = True) -> DataFrame:
-    if not check:
-        return vocab
-    return F.broadcast(vocab) if vocab.count() <= VOCAB_BROADCAST_MAX else vocab
+def _maybe_broadcast(vocab: DataFrame) -> DataFrame:
+    # No hint: the vocabulary grows with the data. AQE broadcasts it at
+    # runtime when its measured shuffle size is small, and splits hot words
+    # in a shuffled join otherwise.
+    return vocab
 
 
 def prefixes(sets: DataFrame, vocab: DataFrame, threshold) -> DataFrame:
@@ -105,8 +121,12 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", st
         F.col("rid").alias("l_rid"), "token", F.col("n").alias("l_n"))
     rp = lp if self_join else prefixes(right, vocab, threshold)
     rp = rp.select(F.col(rp.columns[0]).alias("r_rid"), "token", F.col(rp.columns[2]).alias("r_n"))
+    # equi-join on (word, size bucket): one side visits its 5 neighbouring
+    # buckets, so a frequent prefix word only pairs sets of similar size
+    lp = lp.withColumn("bucket", _near_buckets(size_bucket(F.col("l_n"), threshold)))
+    rp = rp.withColumn("bucket", size_bucket(F.col("r_n"), threshold))
     t = _dec(threshold)
-    cand = lp.join(rp, "token").filter(
+    cand = lp.join(rp, ["token", "bucket"]).filter(
         (F.least("l_n", "r_n") >= t * F.greatest("l_n", "r_n")))
     if self_join:
         cand = cand.filter(F.col("l_rid") < F.col("r_rid"))
@@ -138,17 +158,18 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
     ``rows``: ``rid`` (priority; smaller wins, unique), ``words``.
     ``keys``: ``(rid, kind, key)`` exact keys (a shared key is a match).
     A match is a shared key or word-set Jaccard above ``threshold``.
-    Returns ``(rid, kept)`` for every row. Each round cuts lineage with a
-    reliable ``checkpoint`` in the session's checkpoint directory.
+    Returns ``(rid, kept)`` for every row. Each round cuts lineage by
+    writing its small state tables under the session's checkpoint directory.
     """
     spark = rows.sparkSession
     if vocab is None:
         vocab = vocabulary(rows.filter(F.size("words") > 0))
     vocab = _maybe_broadcast(vocab)
-    words = rows.select("rid", "words")
-    pre = prefixes(rows.filter(F.size("words") > 0), vocab, threshold).select("rid", "token").checkpoint()
-    keys = keys.select("rid", "kind", "key").checkpoint()
-    undecided = rows.select("rid").checkpoint()
+    words = cut(rows.select("rid", "words"), "words")
+    pre = cut(prefixes(rows.filter(F.size("words") > 0), vocab, threshold)
+              .select("rid", "token", size_bucket(F.col("n"), threshold).alias("bucket")), "prefix")
+    keys = cut(keys.select("rid", "kind", "key"), "keys")
+    undecided = cut(rows.select("rid"), "undecided")
     decided: DataFrame | None = None
     rounds = 0
     while True:
@@ -160,30 +181,35 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
             raise RuntimeError(f"greedy dedup did not finish in {max_rounds} rounds")
         u_pre = pre.join(undecided, "rid", "left_semi")
         u_keys = keys.join(undecided, "rid", "left_semi")
-        # smallest undecided rid per prefix word and per key
-        holders = (u_pre.select("rid", F.struct(F.lit("w").alias("kind"), F.col("token").alias("key")).alias("g"))
-                   .unionByName(u_keys.select("rid", F.struct("kind", "key").alias("g"))))
-        g_min = holders.groupBy("g").agg(F.min("rid").alias("g_min"))
-        blocked = (holders.join(g_min, "g").filter(F.col("g_min") < F.col("rid"))
-                   .select("rid").distinct())
-        accepted = undecided.join(blocked, "rid", "left_anti").checkpoint()
+        # smallest undecided rid per (prefix word, size bucket) and per key
+        w_min = u_pre.groupBy("token", "bucket").agg(F.min("rid").alias("g_min"))
+        k_min = u_keys.groupBy("kind", "key").agg(F.min("rid").alias("g_min"))
+        probe = u_pre.select("rid", "token", _near_buckets(F.col("bucket")).alias("bucket"))
+        blocked = (probe.join(w_min, ["token", "bucket"]).filter(F.col("g_min") < F.col("rid")).select("rid")
+                   .unionByName(u_keys.join(k_min, ["kind", "key"]).filter(F.col("g_min") < F.col("rid"))
+                                .select("rid"))
+                   .distinct())
+        accepted = cut(undecided.join(blocked, "rid", "left_anti"), "accepted")
         # drop undecided rows that share a key with a newly accepted row ...
         a_keys = u_keys.join(accepted, "rid", "left_semi").select("kind", "key", F.col("rid").alias("a_rid"))
         by_key = u_keys.join(a_keys, ["kind", "key"]).filter(F.col("rid") != F.col("a_rid")).select("rid")
-        # ... or is similar to one (each prefix word has <= 1 accepted holder)
-        a_pre = u_pre.join(accepted, "rid", "left_semi").select(F.col("rid").alias("l_rid"), "token")
-        cand = (u_pre.join(a_pre, "token").filter(F.col("rid") != F.col("l_rid"))
+        # ... or is similar to one; accepted holders of one word are >= 3
+        # buckets apart, so each probe meets at most two of them
+        a_pre = u_pre.join(accepted, "rid", "left_semi").select(F.col("rid").alias("l_rid"), "token", "bucket")
+        cand = (probe.join(a_pre, ["token", "bucket"]).filter(F.col("rid") != F.col("l_rid"))
                 .select("l_rid", F.col("rid").alias("r_rid")).distinct())
         cand = _size_filter(cand, words, threshold)
         sim = _verify(cand, words, words, threshold, strict).select(F.col("r_rid").alias("rid"))
         dropped = by_key.unionByName(sim).distinct()
         step = (accepted.select("rid", F.lit(True).alias("kept"))
                 .unionByName(dropped.join(accepted, "rid", "left_anti").select("rid", F.lit(False).alias("kept"))))
-        step = step.checkpoint()
+        step = cut(step, "step")
         decided = step if decided is None else decided.unionByName(step)
-        undecided = undecided.join(step, "rid", "left_anti").checkpoint()
+        undecided = cut(undecided.join(step, "rid", "left_anti"), "undecided")
         if on_round is not None:
             on_round(rounds, n_left)
+        elif os.environ.get("QUIRE_TRACE"):
+            print(f"greedy round {rounds}: {n_left} undecided", flush=True)
     if decided is None:
         return spark.createDataFrame([], "rid bigint, kept boolean")
     return decided

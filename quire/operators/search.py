@@ -78,9 +78,9 @@ def search(df: DataFrame, q: str, posts: DataFrame | None = None,
         return spark.createDataFrame([], "ord bigint, score double")
     posts = posts if posts is not None else postings(df)
     vocab = posts.select("term").distinct()
+    # matching terms: a subset of the vocabulary; AQE broadcasts it at
+    # runtime when its measured size is small
     matches = term_matches(vocab, terms)
-    if matches.count() <= MATCHES_BROADCAST_MAX:
-        matches = F.broadcast(matches)
     nq = float(len(terms))
     best = (posts.join(matches, "term")
             .groupBy("ord", "field", "q").agg(F.min("d").alias("d")))

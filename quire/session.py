@@ -51,3 +51,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(path)
     return path
+
+
+def spread(df, min_partitions: int | None = None, *keys):
+    """Hash-repartition a scan that came out in fewer partitions than the
+    cluster has cores (e.g. one large row group), so CPU-heavy per-row text
+    work is shared by all tasks. A scan that is already split finely (the
+    normal case at scale) is returned unchanged: no extra shuffle."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism * 2
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, *keys) if keys else df.repartition(target)
+
+
+def cut(df, name: str = "cut"):
+    """Cut lineage: write ``df`` as parquet under the session's checkpoint
+    directory (a shared folder on a cluster) and read it back. One job, no
+    recomputation, and the result survives executor loss. Used inside
+    iterative operators instead of ``localCheckpoint``."""
+    import uuid
+
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/quire-{name}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
