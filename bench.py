@@ -17,7 +17,7 @@ from quire.session import build_session  # noqa: E402
 
 HEADLINE = [
     "curate_new_entries",       # P1, P2, J1, J2, J3, A5, W8, P7 end to end
-    "similar_document_pairs",   # J2 on whole documents
+    "similar_document_counts",  # J2 on whole documents
     "doi_backfill",             # P6, J7, J8, J9
     "search_hits",              # Q1
     "schema_violations",        # V1

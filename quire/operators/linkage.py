@@ -134,6 +134,53 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", st
     return _verify(cand, left, right, threshold, strict)
 
 
+def distinct_sets(rows: DataFrame, name: str = "sets") -> tuple[DataFrame, DataFrame]:
+    """Collapse identical word sets: returns ``sets(rid, words, members)``
+    (``rid`` here is a set id) and ``members(rid, sid)``.
+
+    A group of identical copies, however large, becomes one set with a
+    member count, so no later join ever pairs the copies with each other.
+    The set table is materialised so its ids are stable.
+    """
+    d = rows.select("rid", F.array_sort("words").alias("sw")).withColumn("_h", F.xxhash64("sw"))
+    sets = cut(d.groupBy("_h", "sw").agg(F.count(F.lit(1)).alias("members"))
+               .withColumn("sid", F.monotonically_increasing_id()), name)
+    members = d.join(sets.select("_h", "sw", "sid"), ["_h", "sw"]).select("rid", "sid")
+    return sets.select(F.col("sid").alias("rid"), F.col("sw").alias("words"), "members"), members
+
+
+def similar_to_any(left: DataFrame, right: DataFrame, threshold="0.85", strict: bool = True) -> DataFrame:
+    """Semi-join form of J2: ``rid`` of ``left`` rows with at least one
+    ``right`` row above the threshold. Identical sets are collapsed on both
+    sides first, so copies never multiply the candidate pairs."""
+    ls, lm = distinct_sets(left.filter(F.size("words") > 0), "left-sets")
+    rs, _ = distinct_sets(right.filter(F.size("words") > 0), "right-sets")
+    vocab = vocabulary(ls, rs)
+    hit = similar_pairs(ls.select("rid", "words"), rs.select("rid", "words"), threshold, strict, vocab=vocab)
+    sids = hit.select(F.col("l_rid").alias("sid")).distinct()
+    return lm.join(sids, "sid", "left_semi").select("rid")
+
+
+def similar_counts(rows: DataFrame, threshold="0.85", strict: bool = True) -> DataFrame:
+    """J2 as a per-row answer: ``(rid, n_similar)`` = number of *other* rows
+    whose word set is above the threshold. Computed on distinct sets
+    (copies counted through member counts), never by listing pairs of
+    copies."""
+    sets, members = distinct_sets(rows.filter(F.size("words") > 0), "count-sets")
+    pairs = similar_pairs(sets.select("rid", "words"), None, threshold, strict)
+    m = sets.select("rid", "members")
+    both = (pairs.select(F.col("l_rid").alias("sid"), F.col("r_rid").alias("other"))
+            .unionByName(pairs.select(F.col("r_rid").alias("sid"), F.col("l_rid").alias("other"))))
+    nb = (both.join(m.withColumnRenamed("rid", "other"), "other")
+          .groupBy("sid").agg(F.sum("members").alias("from_others")))
+    # an identical copy is similar (J = 1) unless the set is empty
+    per_set = m.withColumnRenamed("rid", "sid").join(nb, "sid", "left").select(
+        "sid", (F.col("members") - 1 + F.coalesce("from_others", F.lit(0))).cast("bigint").alias("n_similar"))
+    out = members.join(per_set, "sid").select("rid", "n_similar")
+    empty = rows.filter(F.size("words") == 0).select("rid", F.lit(0).cast("bigint").alias("n_similar"))
+    return out.unionByName(empty)
+
+
 def exact_key_rows(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """Melt ``rid`` + key expressions into ``(rid, kind, key)`` rows, empty
     keys dropped."""

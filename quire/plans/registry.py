@@ -243,18 +243,18 @@ _DOC_WORDS_SQL = f"""
 dw AS (SELECT doc_id AS rid, {cv.words_sql(cv.normalize_sql('text'))} AS words FROM documents)"""
 
 
-@query("similar_document_pairs", f"""WITH {_DOC_WORDS_SQL.strip()}
-SELECT a.rid AS l_rid, b.rid AS r_rid,
-       round(len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))), 6) AS similarity
-FROM dw a JOIN dw b ON a.rid < b.rid
-WHERE len(a.words) > 0 AND len(b.words) > 0
-  AND least(len(a.words), len(b.words)) >= 0.85 * greatest(len(a.words), len(b.words))
-  AND len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) > 0.85""")
-def q_similar_document_pairs(spark, sf_dir):
+@query("similar_document_counts", f"""WITH {_DOC_WORDS_SQL.strip()},
+pairs AS (
+  SELECT a.rid AS l, b.rid AS r FROM dw a JOIN dw b ON a.rid < b.rid
+  WHERE len(a.words) > 0 AND len(b.words) > 0
+    AND least(len(a.words), len(b.words)) >= 0.85 * greatest(len(a.words), len(b.words))
+    AND len(list_intersect(a.words, b.words)) / (len(a.words) + len(b.words) - len(list_intersect(a.words, b.words))) > 0.85),
+ends AS (SELECT l AS rid FROM pairs UNION ALL SELECT r FROM pairs)
+SELECT d.rid, count(e.rid) AS n_similar FROM dw d LEFT JOIN ends e ON e.rid = d.rid GROUP BY d.rid""")
+def q_similar_document_counts(spark, sf_dir):
     docs = cv.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), F.col("text").alias("title"))
     sets = linkage.title_keys(docs).select("rid", "words")
-    return linkage.similar_pairs(sets, None, "0.85", True).select(
-        "l_rid", "r_rid", F.round("similarity", 6).alias("similarity"))
+    return linkage.similar_counts(sets, "0.85", True)
 
 
 _PAGE_SQL = f"""
