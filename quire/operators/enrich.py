@@ -36,20 +36,32 @@ def doi_by_title(entries: DataFrame, lookup: DataFrame, threshold: str = fixed.B
                  year_band: int = 1) -> DataFrame:
     """First lookup result (by ``rank``) whose title has word-set Jaccard
     >= ``threshold`` with the entry title, whose year is within
-    ``year_band`` (null on either side passes) and which has a DOI."""
-    e = linkage.title_keys(entries.select(F.col("ord").alias("rid"), "title", "year")).select(
-        "rid", "words", F.col("year").alias("e_year"))
+    ``year_band`` (null on either side passes) and which has a DOI.
+
+    Identical titles are collapsed on both sides before the similarity
+    join (lookup rows keep their best rank per (title set, year)), so a
+    title shared by a third of the rows never multiplies the pairs.
+    """
+    e = linkage.title_keys(entries.select(F.col("ord").alias("rid"), "title", "year"))
+    e_sets, e_members = linkage.distinct_sets(e.filter(F.size("words") > 0), "entry-sets")
     lk = lookup.filter(text.empty_to_null("doi").isNotNull())   # no DOI: skipped before ranking
     if "lrid" not in lk.columns:
         lk = lk.withColumn("lrid", F.col("rank"))
-    lk = linkage.title_keys(lk).select(F.col("lrid").alias("rid"), "words", F.col("year").alias("l_year"),
-                                       "rank", "doi")
-    pairs = linkage.similar_pairs(e.select("rid", "words"), lk.select("rid", "words"), threshold, strict=False)
-    m = (pairs.join(e.select(F.col("rid").alias("l_rid"), "e_year"), "l_rid")
-         .join(lk.select(F.col("rid").alias("r_rid"), "l_year", "rank", "doi"), "r_rid"))
+    lk = linkage.title_keys(lk).filter(F.size("words") > 0).withColumn("sw", F.array_sort("words"))
+    l_groups = lk.groupBy("sw", "year").agg(F.min(F.struct("rank", "lrid", "doi")).alias("best"))
+    l_sets, l_members = linkage.distinct_sets(l_groups.select(F.monotonically_increasing_id().alias("rid"),
+                                                              F.col("sw").alias("words")), "lookup-sets")
+    l_groups = l_groups.join(l_sets.select(F.col("rid").alias("lsid"), F.col("words").alias("sw")), "sw")
+    vocab = linkage.vocabulary(e_sets, l_sets)
+    pairs = linkage.similar_pairs(e_sets.select("rid", "words"), l_sets.select("rid", "words"), threshold,
+                                  strict=False, vocab=vocab)
+    cand = (pairs.select(F.col("l_rid").alias("sid"), F.col("r_rid").alias("lsid"))
+            .join(l_groups.select("lsid", F.col("year").alias("l_year"), "best"), "lsid")
+            .join(e_members, "sid")
+            .join(e.select("rid", F.col("year").alias("e_year")), "rid"))
     band = F.col("e_year").isNull() | F.col("l_year").isNull() | (F.abs(F.col("e_year") - F.col("l_year")) <= year_band)
-    return (m.filter(band).groupBy(F.col("l_rid").alias("ord"))
-            .agg(F.min_by("doi", F.struct("rank", "r_rid")).alias("doi_c")))
+    return (cand.filter(band).groupBy(F.col("rid").alias("ord"))
+            .agg(F.min("best").alias("best")).select("ord", F.col("best.doi").alias("doi_c")))
 
 
 def backfill(catalog: DataFrame, arxiv_meta: DataFrame, lookup: DataFrame,
