@@ -236,7 +236,7 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
                    .unionByName(u_keys.join(k_min, ["kind", "key"]).filter(F.col("g_min") < F.col("rid"))
                                 .select("rid"))
                    .distinct())
-        accepted = cut(undecided.join(blocked, "rid", "left_anti"), "accepted")
+        accepted = undecided.join(blocked, "rid", "left_anti")
         # drop undecided rows that share a key with a newly accepted row ...
         a_keys = u_keys.join(accepted, "rid", "left_semi").select("kind", "key", F.col("rid").alias("a_rid"))
         by_key = u_keys.join(a_keys, ["kind", "key"]).filter(F.col("rid") != F.col("a_rid")).select("rid")
@@ -247,12 +247,16 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
                 .select("l_rid", F.col("rid").alias("r_rid")).distinct())
         cand = _size_filter(cand, words, threshold)
         sim = _verify(cand, words, words, threshold, strict).select(F.col("r_rid").alias("rid"))
-        dropped = by_key.unionByName(sim).distinct()
-        step = (accepted.select("rid", F.lit(True).alias("kept"))
-                .unionByName(dropped.join(accepted, "rid", "left_anti").select("rid", F.lit(False).alias("kept"))))
-        step = cut(step, "step")
+        dropped = by_key.unionByName(sim).distinct().withColumn("_d", F.lit(True))
+        # one materialised state table per round: accepted (A), dropped (D),
+        # still undecided (U)
+        state = cut(undecided.join(accepted.withColumn("_a", F.lit(True)), "rid", "left")
+                    .join(dropped, "rid", "left")
+                    .select("rid", F.when(F.col("_a"), F.lit("A")).when(F.col("_d"), F.lit("D"))
+                            .otherwise(F.lit("U")).alias("st")), "state")
+        step = state.filter(F.col("st") != "U").select("rid", (F.col("st") == "A").alias("kept"))
         decided = step if decided is None else decided.unionByName(step)
-        undecided = cut(undecided.join(step, "rid", "left_anti"), "undecided")
+        undecided = state.filter(F.col("st") == "U").select("rid")
         if on_round is not None:
             on_round(rounds, n_left)
         elif os.environ.get("QUIRE_TRACE"):
@@ -273,4 +277,4 @@ def _size_filter(cand: DataFrame, words: DataFrame, threshold) -> DataFrame:
 def title_keys(df: DataFrame, title: str = "title") -> DataFrame:
     """Helper: add ``norm`` (H1) and ``words`` (H2) columns."""
     return (df.withColumn("norm", text.normalize_title(title))
-            .withColumn("words", text.word_set(F.col("norm"), normalized=True)))
+            .withColumn("words", text.word_set(title)))
