@@ -164,6 +164,34 @@ def validate_json(df: DataFrame, ord_col: str, json_col: str, schema: Prop) -> D
             .filter(F.col("x").isNotNull()).select("ord", "x.path", "x.rule"))
 
 
+def ordered(violations: DataFrame) -> DataFrame:
+    """V3: violations in (record, path) order, as the upstream report sorts them."""
+    return violations.orderBy("ord", "path", "rule")
+
+
+def validate_taxonomy(raw: DataFrame) -> DataFrame:
+    """V2: a taxonomy document ``{domains:[...]}`` as raw JSON text in column
+    ``raw``: every domain and every category checked against its rules;
+    paths are ``domains.<i>`` and ``domains.<i>.categories.<j>``."""
+    v = raw.select(F.try_parse_json("raw").alias("v"))
+    doms = v.select(F.posexplode(F.try_variant_get("v", "$.domains", "array<variant>")).alias("i", "d"))
+    d_json = doms.select(F.col("i").cast("bigint").alias("ord"), F.to_json("d").alias("raw"))
+    d_viol = validate_json(d_json, "ord", "raw", domain_schema()).select(
+        "ord", F.concat(F.lit("domains."), F.col("ord").cast("string"),
+                        F.when(F.col("path") != "", F.concat(F.lit("."), F.col("path"))).otherwise(F.lit("")))
+        .alias("path"), "rule")
+    cats = doms.select("i", F.posexplode(F.try_variant_get("d", "$.categories", "array<variant>")).alias("j", "c"))
+    c_json = cats.select("i", "j", F.to_json("c").alias("raw"))
+    c_viol = validate_json(c_json.withColumn("ord", F.col("i") * 100000 + F.col("j")), "ord", "raw",
+                           category_schema())
+    c_viol = c_viol.join(c_json.select((F.col("i") * 100000 + F.col("j")).alias("ord"), "i", "j"), "ord").select(
+        F.col("i").cast("bigint").alias("ord"),
+        F.concat(F.lit("domains."), F.col("i").cast("string"), F.lit(".categories."), F.col("j").cast("string"),
+                 F.when(F.col("path") != "", F.concat(F.lit("."), F.col("path"))).otherwise(F.lit("")))
+        .alias("path"), "rule")
+    return d_viol.unionByName(c_viol)
+
+
 def duplicate_ids(df: DataFrame) -> DataFrame:
     """A4: every id used more than once, reported once."""
     return (df.groupBy("id").agg(F.count(F.lit(1)).alias("n"))

@@ -106,3 +106,31 @@ def test_duplicate_ids_and_unknown_categories(spark):
         quality.validate_json(df.select("ord", F.lit("{}").alias("raw")), "ord", "raw", quality.category_schema()),
         quality.duplicate_ids(df), quality.unknown_categories(df, dims.taxonomy(spark))).collect()}
     assert v == {"schema": 4, "duplicate_ids": 1, "unknown_categories": 2, "passed": 3}
+
+
+def test_taxonomy_validation_and_order(spark):
+    doc = {"domains": [
+        {"id": "d1", "label": "D1", "categories": [{"id": "c1", "label": "C1"}, {"id": "c2"}]},
+        {"label": "D2", "categories": [], "colour": "red"}]}
+    raw = spark.createDataFrame([(json.dumps(doc),)], "raw string")
+    got = [(r.path, r.rule) for r in quality.ordered(quality.validate_taxonomy(raw)).collect()]
+    assert got == [("domains.0.categories.1.label", "required"), ("domains.1", "additionalProperties"),
+                   ("domains.1.id", "required")]
+
+
+def test_doi_update_sink_dry_run_and_write(spark, tmp_dir):
+    from quire.sources import sinks
+
+    cat = spark.createDataFrame([(0, "a", None, (None, None, None)), (1, "b", "10.1/x", (None, None, "10.1/x"))],
+                                "ord bigint, id string, doi string, "
+                                "external_ids struct<arxiv_id:string,semantic_scholar_id:string,doi:string>")
+    found = spark.createDataFrame([(0, "10.9/new"), (1, None)], "ord bigint, new_doi string")
+    assert sinks.apply_doi_updates(cat, found, f"{tmp_dir}/snap", dry_run=True).count() == 1
+    import os
+    assert not os.path.exists(f"{tmp_dir}/snap")
+    sinks.apply_doi_updates(cat, found, f"{tmp_dir}/snap")
+    out = {r.ord: (r.doi, r.external_ids.doi) for r in spark.read.parquet(f"{tmp_dir}/snap").collect()}
+    assert out == {0: ("10.9/new", "10.9/new"), 1: ("10.1/x", "10.1/x")}
+    none = spark.createDataFrame([(0, None)], "ord bigint, new_doi string")
+    assert sinks.apply_doi_updates(cat, none, f"{tmp_dir}/snap2").count() == 0
+    assert not os.path.exists(f"{tmp_dir}/snap2")
