@@ -149,13 +149,14 @@ def distinct_sets(rows: DataFrame, name: str = "sets") -> tuple[DataFrame, DataF
     return sets.select(F.col("sid").alias("rid"), F.col("sw").alias("words"), "members"), members
 
 
-def similar_to_any(left: DataFrame, right: DataFrame, threshold="0.85", strict: bool = True) -> DataFrame:
+def similar_to_any(left: DataFrame, right: DataFrame, threshold="0.85", strict: bool = True,
+                   vocab: DataFrame | None = None) -> DataFrame:
     """Semi-join form of J2: ``rid`` of ``left`` rows with at least one
     ``right`` row above the threshold. Identical sets are collapsed on both
     sides first, so copies never multiply the candidate pairs."""
     ls, lm = distinct_sets(left.filter(F.size("words") > 0), "left-sets")
     rs, _ = distinct_sets(right.filter(F.size("words") > 0), "right-sets")
-    vocab = vocabulary(ls, rs)
+    vocab = vocab if vocab is not None else vocabulary(ls, rs)
     hit = similar_pairs(ls.select("rid", "words"), rs.select("rid", "words"), threshold, strict, vocab=vocab)
     sids = hit.select(F.col("l_rid").alias("sid")).distinct()
     return lm.join(sids, "sid", "left_semi").select("rid")

@@ -42,14 +42,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
     is. Only when it is unset (local runs, tests) do we create a private one.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - Spark Connect has no SparkContext
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get("spark.checkpoint.dir", None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="quire-ckpt-")
-    sc.setCheckpointDir(path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
+    else:
+        spark.conf.set("spark.checkpoint.dir", path)
     return path
 
 
@@ -59,8 +65,11 @@ def spread(df, min_partitions: int | None = None, *keys):
     work is shared by all tasks. A scan that is already split finely (the
     normal case at scale) is returned unchanged: no extra shuffle."""
     spark = df.sparkSession
-    target = min_partitions or spark.sparkContext.defaultParallelism * 2
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = min_partitions or spark.sparkContext.defaultParallelism * 2
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - Spark Connect: no RDD view, let AQE plan it
         return df
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
