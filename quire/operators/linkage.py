@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.session import cut
+from quire.session import cut, drop_cuts
 
 def _dec(t) -> Column:
     d = Decimal(str(t))
@@ -213,11 +213,12 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
     if vocab is None:
         vocab = vocabulary(rows.filter(F.size("words") > 0))
     vocab = _maybe_broadcast(vocab)
-    words = cut(rows.select("rid", "words"), "words")
+    scope: list = []   # per-round tables, deleted once the answer is written
+    words = cut(rows.select("rid", "words"), "words", scope)
     pre = cut(prefixes(rows.filter(F.size("words") > 0), vocab, threshold)
-              .select("rid", "token", size_bucket(F.col("n"), threshold).alias("bucket")), "prefix")
-    keys = cut(keys.select("rid", "kind", "key"), "keys")
-    undecided = cut(rows.select("rid"), "undecided")
+              .select("rid", "token", size_bucket(F.col("n"), threshold).alias("bucket")), "prefix", scope)
+    keys = cut(keys.select("rid", "kind", "key"), "keys", scope)
+    undecided = cut(rows.select("rid"), "undecided", scope)
     decided: DataFrame | None = None
     rounds = 0
     while True:
@@ -254,7 +255,7 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
         state = cut(undecided.join(accepted.withColumn("_a", F.lit(True)), "rid", "left")
                     .join(dropped, "rid", "left")
                     .select("rid", F.when(F.col("_a"), F.lit("A")).when(F.col("_d"), F.lit("D"))
-                            .otherwise(F.lit("U")).alias("st")), "state")
+                            .otherwise(F.lit("U")).alias("st")), "state", scope)
         step = state.filter(F.col("st") != "U").select("rid", (F.col("st") == "A").alias("kept"))
         decided = step if decided is None else decided.unionByName(step)
         undecided = state.filter(F.col("st") == "U").select("rid")
@@ -263,8 +264,11 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
         elif os.environ.get("QUIRE_TRACE"):
             print(f"greedy round {rounds}: {n_left} undecided", flush=True)
     if decided is None:
+        drop_cuts(spark, scope)
         return spark.createDataFrame([], "rid bigint, kept boolean")
-    return decided
+    result = cut(decided, "kept")
+    drop_cuts(spark, scope)
+    return result
 
 
 def _size_filter(cand: DataFrame, words: DataFrame, threshold) -> DataFrame:

@@ -74,15 +74,34 @@ def spread(df, min_partitions: int | None = None, *keys):
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
-def cut(df, name: str = "cut"):
+def cut(df, name: str = "cut", scope: list | None = None):
     """Cut lineage: write ``df`` as parquet under the session's checkpoint
     directory (a shared folder on a cluster) and read it back. One job, no
     recomputation, and the result survives executor loss. Used inside
-    iterative operators instead of ``localCheckpoint``."""
+    iterative operators instead of ``localCheckpoint``. With ``scope`` the
+    path is recorded so ``drop_cuts`` can remove it once it is no longer read."""
     import uuid
 
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/quire-{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    if scope is not None:
+        scope.append(path)
     return spark.read.parquet(path)
+
+
+def drop_cuts(spark, paths: list) -> None:
+    """Delete intermediate tables written by ``cut`` (best effort)."""
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # noqa: BLE001 - Spark Connect: leave them to the folder's retention
+        return
+    for p in paths:
+        hp = jvm.org.apache.hadoop.fs.Path(p)
+        try:
+            hp.getFileSystem(conf).delete(hp, True)
+        except Exception:  # noqa: BLE001
+            pass
+    paths.clear()
