@@ -41,19 +41,24 @@ def prefix_length(n: Column, threshold) -> Column:
 
 def size_bucket(n: Column, threshold) -> Column:
     """Geometric size bucket: sets with ``min(n1,n2) >= t*max(n1,n2)`` fall
-    in buckets at most 1 apart; callers look 2 buckets either way so float
-    rounding at a bucket edge cannot lose a pair."""
+    in buckets at most 1 apart in exact arithmetic; see ``bucket_reach`` for
+    how far callers look."""
     import math
 
     step = math.log(1.0 / float(threshold))
     return F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
 
 
-BUCKET_REACH = 2
+def bucket_reach(strict: bool) -> int:
+    """Buckets to look either way. With a strict threshold a similar pair
+    has size ratio strictly above t (by at least 1/n), so its buckets are at
+    most 1 apart even after float rounding; only pairs exactly at t sit on
+    the edge, and those are matches only in the inclusive (>=) form."""
+    return 1 if strict else 2
 
 
-def _near_buckets(b: Column) -> Column:
-    return F.explode(F.sequence(b - BUCKET_REACH, b + BUCKET_REACH))
+def _near_buckets(b: Column, reach: int = 2) -> Column:
+    return F.explode(F.sequence(b - reach, b + reach))
 
 
 def vocabulary(*sets: DataFrame) -> DataFrame:
@@ -123,7 +128,7 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", st
     rp = rp.select(F.col(rp.columns[0]).alias("r_rid"), "token", F.col(rp.columns[2]).alias("r_n"))
     # equi-join on (word, size bucket): one side visits its 5 neighbouring
     # buckets, so a frequent prefix word only pairs sets of similar size
-    lp = lp.withColumn("bucket", _near_buckets(size_bucket(F.col("l_n"), threshold)))
+    lp = lp.withColumn("bucket", _near_buckets(size_bucket(F.col("l_n"), threshold), bucket_reach(strict)))
     rp = rp.withColumn("bucket", size_bucket(F.col("r_n"), threshold))
     t = _dec(threshold)
     cand = lp.join(rp, ["token", "bucket"]).filter(
@@ -233,7 +238,7 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
         # smallest undecided rid per (prefix word, size bucket) and per key
         w_min = u_pre.groupBy("token", "bucket").agg(F.min("rid").alias("g_min"))
         k_min = u_keys.groupBy("kind", "key").agg(F.min("rid").alias("g_min"))
-        probe = u_pre.select("rid", "token", _near_buckets(F.col("bucket")).alias("bucket"))
+        probe = u_pre.select("rid", "token", _near_buckets(F.col("bucket"), bucket_reach(strict)).alias("bucket"))
         blocked = (probe.join(w_min, ["token", "bucket"]).filter(F.col("g_min") < F.col("rid")).select("rid")
                    .unionByName(u_keys.join(k_min, ["kind", "key"]).filter(F.col("g_min") < F.col("rid"))
                                 .select("rid"))
@@ -242,8 +247,8 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
         # drop undecided rows that share a key with a newly accepted row ...
         a_keys = u_keys.join(accepted, "rid", "left_semi").select("kind", "key", F.col("rid").alias("a_rid"))
         by_key = u_keys.join(a_keys, ["kind", "key"]).filter(F.col("rid") != F.col("a_rid")).select("rid")
-        # ... or is similar to one; accepted holders of one word are >= 3
-        # buckets apart, so each probe meets at most two of them
+        # ... or is similar to one; accepted holders of one word are more
+        # than 2*reach buckets apart, so each probe meets at most two of them
         a_pre = u_pre.join(accepted, "rid", "left_semi").select(F.col("rid").alias("l_rid"), "token", "bucket")
         cand = (probe.join(a_pre, ["token", "bucket"]).filter(F.col("rid") != F.col("l_rid"))
                 .select("l_rid", F.col("rid").alias("r_rid")).distinct())
