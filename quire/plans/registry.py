@@ -613,4 +613,38 @@ def q_change_summary(spark, sf_dir):
     return curate.change_summary(curate.to_entries(st.filter(F.col("status") == "added"), bt.PARAMS))
 
 
+
+# V1 on JSON text from the given tables: event properties against a declared
+# rule set (closed object, required integer k in [0, 90]).
+PROPS_SCHEMA = quality.Prop("", "object", closed=True, required=["k"],
+                            props=[quality.Prop("k", "integer", minimum=0, maximum=90)])
+
+
+@query("props_violations", """
+SELECT event_id AS ord, path, rule FROM (
+  SELECT event_id, '' AS path, 'parse' AS rule FROM events WHERE props IS NULL OR NOT json_valid(props)
+  UNION ALL
+  SELECT event_id, 'k', 'required' FROM events
+  WHERE json_valid(props) AND json_type(props) = 'OBJECT' AND json_extract(props, '$.k') IS NULL
+  UNION ALL
+  SELECT event_id, '', 'additionalProperties' FROM events
+  WHERE json_valid(props) AND json_type(props) = 'OBJECT' AND len(list_filter(json_keys(props), lambda x: x <> 'k')) > 0
+  UNION ALL
+  SELECT event_id, 'k', 'type' FROM events
+  WHERE json_valid(props) AND json_type(props, '$.k') NOT IN ('BIGINT', 'UBIGINT', 'NULL')
+    AND NOT (json_type(props, '$.k') = 'DOUBLE' AND CAST(json_extract(props, '$.k') AS DOUBLE)
+             = floor(CAST(json_extract(props, '$.k') AS DOUBLE)))
+  UNION ALL
+  SELECT event_id, 'k', 'maximum' FROM events
+  WHERE json_valid(props) AND json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+    AND CAST(json_extract(props, '$.k') AS DOUBLE) > 90
+  UNION ALL
+  SELECT event_id, 'k', 'minimum' FROM events
+  WHERE json_valid(props) AND json_type(props, '$.k') IN ('BIGINT', 'UBIGINT', 'DOUBLE')
+    AND CAST(json_extract(props, '$.k') AS DOUBLE) < 0)""")
+def q_props_violations(spark, sf_dir):
+    ev = cv.read(spark, sf_dir, "events").select("event_id", "props")
+    return quality.validate_json(ev, "event_id", "props", PROPS_SCHEMA)
+
+
 FLAGSHIP = "curate_new_entries"
