@@ -51,6 +51,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    master = spark.conf.get("spark.master", "") or ""
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder "
+                           "(iterative operators write their lineage cuts there)")
+    # local runs and tests only: a private folder on this machine
     path = tempfile.mkdtemp(prefix="quire-ckpt-")
     if sc is not None:
         sc.setCheckpointDir(path)
@@ -74,6 +79,29 @@ def spread(df, min_partitions: int | None = None, *keys):
     return df.repartition(target, *keys) if keys else df.repartition(target)
 
 
+_ACTIVE_SCOPES: list[list] = []
+
+
+class cut_scope:
+    """``with cut_scope(spark): ...`` - every ``cut`` made inside is deleted
+    on exit. Wrap a job whose results are written (or collected) inside the
+    block, e.g. one streaming micro-batch, so the checkpoint folder does not
+    grow run after run."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.paths: list = []
+
+    def __enter__(self):
+        _ACTIVE_SCOPES.append(self.paths)
+        return self
+
+    def __exit__(self, *exc):
+        _ACTIVE_SCOPES.remove(self.paths)
+        drop_cuts(self.spark, self.paths)
+        return False
+
+
 def cut(df, name: str = "cut", scope: list | None = None):
     """Cut lineage: write ``df`` as parquet under the session's checkpoint
     directory (a shared folder on a cluster) and read it back. One job, no
@@ -88,6 +116,8 @@ def cut(df, name: str = "cut", scope: list | None = None):
     df.write.mode("errorifexists").parquet(path)
     if scope is not None:
         scope.append(path)
+    elif _ACTIVE_SCOPES:
+        _ACTIVE_SCOPES[-1].append(path)
     return spark.read.parquet(path)
 
 
