@@ -252,7 +252,7 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
         a_pre = u_pre.join(accepted, "rid", "left_semi").select(F.col("rid").alias("l_rid"), "token", "bucket")
         cand = (probe.join(a_pre, ["token", "bucket"]).filter(F.col("rid") != F.col("l_rid"))
                 .select("l_rid", F.col("rid").alias("r_rid")).distinct())
-        cand = _size_filter(cand, words, threshold)
+        # candidates are already linear in prefix entries: verify directly
         sim = _verify(cand, words, words, threshold, strict).select(F.col("r_rid").alias("rid"))
         dropped = by_key.unionByName(sim).distinct().withColumn("_d", F.lit(True))
         # one materialised state table per round: accepted (A), dropped (D),
