@@ -41,15 +41,27 @@ def keep_first(df: DataFrame, key: Column, order: list[str] = ("query_ord", "pos
             .select("_r.*"))
 
 
+def _day_literal(df: DataFrame, date_col: str, y: int, m: int) -> Column:
+    """Midnight of y-m-01 in the column's own type (cast from text, so the
+    Python process time zone plays no part)."""
+    return F.lit(f"{y:04d}-{m:02d}-01 00:00:00").cast(df.schema[date_col].dataType)
+
+
 def month_cutoff(as_of: _dt.date, days: int) -> tuple[int, int]:
     c = as_of - _dt.timedelta(days=days)
     return c.year, c.month
 
 
-def recent_by_month(df: DataFrame, as_of: _dt.date, days: int = 365) -> DataFrame:
+def recent_by_month(df: DataFrame, as_of: _dt.date, days: int = 365, date_col: str | None = None) -> DataFrame:
     """Keep whole months from the cutoff month on (month 0 in the cutoff
-    year is not recent). Not packed into year*12+month: month can be 0."""
+    year is not recent). Not packed into year*12+month: month can be 0.
+
+    When year and month come from a date/timestamp column, pass it as
+    ``date_col``: the same test is then ``date >= first day of the cutoff
+    month``, which reaches the parquet scan as a pushed filter."""
     cy, cm = month_cutoff(as_of, days)
+    if date_col is not None:
+        return df.filter(F.col(date_col) >= _day_literal(df, date_col, cy, cm))
     y, m = F.col("year"), F.col("month")
     return df.filter((y > cy) | ((y == cy) & (m >= cm)))
 
@@ -64,8 +76,10 @@ def recent_or_cited(df: DataFrame, as_of: _dt.date, days: int = 180, min_citatio
     return df.filter(y.isNotNull() & (y != 0) & (recent | cited))
 
 
-def year_floor(df: DataFrame, floor: int = 2023) -> DataFrame:
-    """P5."""
+def year_floor(df: DataFrame, floor: int = 2023, date_col: str | None = None) -> DataFrame:
+    """P5 (``date_col``: the pushable form, ``date >= floor-01-01``)."""
+    if date_col is not None:
+        return df.filter(F.col(date_col) >= _day_literal(df, date_col, floor, 1))
     return df.filter(F.col("year") >= floor)
 
 

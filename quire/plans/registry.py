@@ -330,7 +330,7 @@ ORDERS_AS_OF = __import__("datetime").date(1998, 6, 30)
 
 def _order_pubs(spark, sf_dir):
     o = cv.read(spark, sf_dir, "orders")
-    return o.select("o_orderkey", F.year("o_orderdate").cast("int").alias("year"),
+    return o.select("o_orderkey", "o_orderdate", F.year("o_orderdate").cast("int").alias("year"),
                     F.month("o_orderdate").cast("int").alias("month"),
                     (F.col("o_custkey") % 7).cast("bigint").alias("citation_count"))
 
@@ -338,7 +338,8 @@ def _order_pubs(spark, sf_dir):
 @query("recent_by_month", f"""WITH {_ORDER_PUBS_SQL.strip()}
 SELECT o_orderkey, year, month FROM pubs WHERE year > 1997 OR (year = 1997 AND month >= 6)""")
 def q_recent_by_month(spark, sf_dir):
-    return ingest.recent_by_month(_order_pubs(spark, sf_dir), ORDERS_AS_OF, 365).select("o_orderkey", "year", "month")
+    return ingest.recent_by_month(_order_pubs(spark, sf_dir), ORDERS_AS_OF, 365, date_col="o_orderdate").select(
+        "o_orderkey", "year", "month")
 
 
 @query("recent_or_cited", f"""WITH {_ORDER_PUBS_SQL.strip()}
@@ -352,7 +353,7 @@ def q_recent_or_cited(spark, sf_dir):
 @query("year_floor", f"""WITH {_ORDER_PUBS_SQL.strip()}
 SELECT o_orderkey, year FROM pubs WHERE year >= 1996""")
 def q_year_floor(spark, sf_dir):
-    return ingest.year_floor(_order_pubs(spark, sf_dir), 1996).select("o_orderkey", "year")
+    return ingest.year_floor(_order_pubs(spark, sf_dir), 1996, date_col="o_orderdate").select("o_orderkey", "year")
 
 
 _PAGE_FIELDS_SQL = f"""
