@@ -17,6 +17,7 @@ Two physical forms:
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -73,17 +74,18 @@ def tag_source_text(title, abstract) -> Column:
 
 def tag(df: DataFrame, rules_df: DataFrame, text: Column, out: str = "categories") -> DataFrame:
     """Add ``out`` = categories hit by ``text`` (already lower-cased)."""
-    n = rules_df.count()
+    memo = getattr(rules_df, "_quire_rules", None)   # the dim is read once per frame
+    if memo is None:
+        grouped, n = _ordered_rules(rules_df, AC_MAX_KEYWORDS)
+        memo = (grouped, n)
+        rules_df._quire_rules = memo
+    grouped, n = memo
     if n <= EXPR_MAX_KEYWORDS:
-        grouped, _ = _ordered_rules(rules_df, EXPR_MAX_KEYWORDS)
         return df.withColumn(out, tag_text_expr(text, grouped))
-    grouped, _ = _ordered_rules(rules_df, AC_MAX_KEYWORDS)
     return df.withColumn(out, _ac_tagger(df.sparkSession, grouped)(text))
 
 
 def _ac_tagger(spark: SparkSession, grouped):
-    import pandas as pd
-
     cats = [c for c, _ in grouped]
     pairs = [(kw.lower(), i) for i, (_, kws) in enumerate(grouped) for kw in kws]
     bc = spark.sparkContext.broadcast((cats, pairs))

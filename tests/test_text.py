@@ -100,3 +100,13 @@ def test_authors_short_and_labels(spark):
     assert r["s"] == "A, B, C + 2 more"
     assert r["l"] == ["prompt injection", "a b", "c", "d"]
     assert r["ym"] == "2024-03"
+
+
+def test_large_rule_sets_use_the_automaton_with_same_answers(spark, monkeypatch):
+    texts = [("a jailbreak via adversarial perturbation",), ("red team on prompt injection",), ("nothing here",),
+             (None,)]
+    df = spark.createDataFrame(texts, "t string")
+    small = [r["categories"] for r in tagging.tag(df, tagging.rules_frame(spark), F.lower("t")).collect()]
+    monkeypatch.setattr(tagging, "EXPR_MAX_KEYWORDS", 10)
+    big = [r["categories"] for r in tagging.tag(df, tagging.rules_frame(spark), F.lower("t")).collect()]
+    assert small[:3] == big[:3] and big[3] == []
