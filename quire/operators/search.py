@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import text
 from quire.operators.analytics import catalog_order_cols
+from quire.session import cut
 
 MATCHES_BROADCAST_MAX = 5_000_000
 
@@ -104,7 +105,9 @@ def search_or_browse(df: DataFrame, q: str, type_: str = "all", year="all", revi
         ranked = df.withColumn("score", F.lit(None).cast("double"))
         order = catalog_order_cols()
     else:
-        ranked = df.join(search(df, q), "ord")
+        # the hit list (ord, score) is small: materialise it once for the page
+        # and the total instead of searching twice
+        ranked = df.join(cut(search(df, q), "hits"), "ord")
         order = [F.col("score").desc(), F.col("ord").asc()]
     ranked = facet_filter(ranked, type_, year, reviewed)
     return ranked.orderBy(*order).limit(k), ranked.agg(F.count(F.lit(1)).alias("total"))
