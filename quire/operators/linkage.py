@@ -71,13 +71,6 @@ def vocabulary(*sets: DataFrame) -> DataFrame:
     return u.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
 
-def _maybe_broadcast(vocab: DataFrame) -> DataFrame:
-    # No hint: the vocabulary grows with the data. AQE broadcasts it at
-    # runtime when its measured shuffle size is small, and splits hot words
-    # in a shuffled join otherwise.
-    return vocab
-
-
 def prefixes(sets: DataFrame, vocab: DataFrame, threshold) -> DataFrame:
     """``(rid, token, n)`` for the prefix words of every non-empty set.
 
@@ -121,7 +114,8 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", st
     right = right.filter(F.size("words") > 0)
     if vocab is None:
         vocab = vocabulary(left) if self_join else vocabulary(left, right)
-    vocab = _maybe_broadcast(vocab)
+    # no broadcast hint on the vocabulary: it grows with the data; AQE
+    # broadcasts it at runtime when small and splits hot words otherwise
     lp = prefixes(left, vocab, threshold).select(
         F.col("rid").alias("l_rid"), "token", F.col("n").alias("l_n"))
     rp = lp if self_join else prefixes(right, vocab, threshold)
@@ -217,7 +211,6 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
     spark = rows.sparkSession
     if vocab is None:
         vocab = vocabulary(rows.filter(F.size("words") > 0))
-    vocab = _maybe_broadcast(vocab)
     scope: list = []   # per-round tables, deleted once the answer is written
     words = cut(rows.select("rid", "words"), "words", scope)
     pre = cut(prefixes(rows.filter(F.size("words") > 0), vocab, threshold)
@@ -276,14 +269,6 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
     return result
 
 
-def _size_filter(cand: DataFrame, words: DataFrame, threshold) -> DataFrame:
-    sizes = words.select("rid", F.size("words").alias("n"))
-    c = (cand.join(sizes.withColumnRenamed("rid", "l_rid").withColumnRenamed("n", "l_n"), "l_rid")
-         .join(sizes.withColumnRenamed("rid", "r_rid").withColumnRenamed("n", "r_n"), "r_rid"))
-    t = _dec(threshold)
-    return c.filter(F.least("l_n", "r_n") >= t * F.greatest("l_n", "r_n")).select("l_rid", "r_rid")
-
-
 def title_keys(df: DataFrame, title: str = "title") -> DataFrame:
     """Helper: add ``norm`` (H1) and ``words`` (H2) columns."""
     return (df.withColumn("norm", text.normalize_title(title))

@@ -18,9 +18,6 @@ from pyspark.sql import functions as F
 
 from quire import fixed
 
-VIOLATION = "struct<path:string,rule:string>"
-
-
 @dataclass
 class Prop:
     name: str

@@ -25,9 +25,6 @@ from quire.functions import text
 from quire.operators.analytics import catalog_order_cols
 from quire.session import cut
 
-MATCHES_BROADCAST_MAX = 5_000_000
-
-
 def query_terms(q: str, min_chars: int = fixed.SEARCH_MIN_MATCH_CHARS) -> list[str]:
     """Distinct words of the normalised query (driver side: it is one
     string), in first-seen order, at least ``min_chars`` long."""
