@@ -8,13 +8,15 @@ first ``n - ceil(t*n) + 1`` words of each set and has
 ``min(n1, n2) >= t * max(n1, n2)``. Candidates come from an equi-join on
 prefix words and are verified exactly; nothing is sampled or capped.
 
-J3 (keep a row unless an *accepted* earlier row matches it) runs in rounds:
-a row is accepted once it is the smallest undecided row on every exact key
-and every (prefix word, nearby size bucket) it has; then undecided rows
-matching a newly accepted row are dropped. A key, or a prefix word within
-a size band, has at most two newly accepted holders, so each round is
-linear in the number of prefix entries, even for a cluster of near copies
-holding a third of the batch: no all-pairs step anywhere.
+J3 (keep a row unless an *accepted* earlier row matches it) runs in rounds.
+A row is accepted when no smaller undecided row can match it. A shared
+exact key blocks it, and so does a large shared (prefix word, nearby size
+bucket) group unless the row is that group's smallest holder. In small
+groups (at most SMALL_GROUP holders) the row is compared exactly with its
+smaller holders. Undecided rows matching a newly accepted row are then
+dropped. Every join meets a bounded number of partners per prefix entry, so
+each round is linear even for a cluster of near copies holding a third of
+the batch: no all-pairs step anywhere.
 """
 
 from __future__ import annotations
@@ -49,6 +51,11 @@ def size_bucket(n: Column, threshold) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
 
 
+# Groups of at most this many undecided holders are resolved by exact
+# pairwise checks inside a round (a constant bound: work stays linear).
+SMALL_GROUP = 16
+
+
 def bucket_reach(strict: bool) -> int:
     """Buckets to look either way. With a strict threshold a similar pair
     has size ratio strictly above t (by at least 1/n), so its buckets are at
@@ -228,11 +235,23 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
             raise RuntimeError(f"greedy dedup did not finish in {max_rounds} rounds")
         u_pre = pre.join(undecided, "rid", "left_semi")
         u_keys = keys.join(undecided, "rid", "left_semi")
-        # smallest undecided rid per (prefix word, size bucket) and per key
-        w_min = u_pre.groupBy("token", "bucket").agg(F.min("rid").alias("g_min"))
+        # per (prefix word, size bucket): smallest undecided holder and size;
+        # per key: smallest undecided holder
+        w_min = u_pre.groupBy("token", "bucket").agg(F.min("rid").alias("g_min"),
+                                                     F.count(F.lit(1)).alias("g_n"))
         k_min = u_keys.groupBy("kind", "key").agg(F.min("rid").alias("g_min"))
         probe = u_pre.select("rid", "token", _near_buckets(F.col("bucket"), bucket_reach(strict)).alias("bucket"))
-        blocked = (probe.join(w_min, ["token", "bucket"]).filter(F.col("g_min") < F.col("rid")).select("rid")
+        near = probe.join(w_min, ["token", "bucket"]).filter(F.col("g_min") < F.col("rid"))
+        # a large group blocks every holder but its smallest; in a small group
+        # (<= SMALL_GROUP holders) a row is blocked only by a smaller holder it
+        # really matches, checked exactly (at most SMALL_GROUP pairs per entry)
+        hard = near.filter(F.col("g_n") > SMALL_GROUP).select("rid")
+        soft = (near.filter(F.col("g_n") <= SMALL_GROUP).select("rid", "token", "bucket")
+                .join(u_pre.select(F.col("rid").alias("l_rid"), "token", "bucket"), ["token", "bucket"])
+                .filter(F.col("l_rid") < F.col("rid"))
+                .select("l_rid", F.col("rid").alias("r_rid")).distinct())
+        soft = _verify(soft, words, words, threshold, strict).select(F.col("r_rid").alias("rid"))
+        blocked = (hard.unionByName(soft)
                    .unionByName(u_keys.join(k_min, ["kind", "key"]).filter(F.col("g_min") < F.col("rid"))
                                 .select("rid"))
                    .distinct())
@@ -240,8 +259,9 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
         # drop undecided rows that share a key with a newly accepted row ...
         a_keys = u_keys.join(accepted, "rid", "left_semi").select("kind", "key", F.col("rid").alias("a_rid"))
         by_key = u_keys.join(a_keys, ["kind", "key"]).filter(F.col("rid") != F.col("a_rid")).select("rid")
-        # ... or is similar to one; accepted holders of one word are more
-        # than 2*reach buckets apart, so each probe meets at most two of them
+        # ... or is similar to one. A large group has at most one accepted
+        # holder per bucket (its smallest), a small one at most SMALL_GROUP,
+        # so each probe entry meets a bounded number of them
         a_pre = u_pre.join(accepted, "rid", "left_semi").select(F.col("rid").alias("l_rid"), "token", "bucket")
         cand = (probe.join(a_pre, ["token", "bucket"]).filter(F.col("rid") != F.col("l_rid"))
                 .select("l_rid", F.col("rid").alias("r_rid")).distinct())

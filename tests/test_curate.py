@@ -217,3 +217,29 @@ def test_greedy_matches_sequential_rule(spark):
         if not bad:
             kept.append(rid)
     assert got == set(kept)
+
+
+def test_greedy_small_and_large_groups_match_sequential_rule(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(9)]
+    base = [sorted(set(rnd.sample(vocab, rnd.randint(3, 7)))) for _ in range(12)]
+    rows = []
+    for i in range(150):   # many near copies of a few bases: dense, mixed-size groups
+        s = set(rnd.choice(base))
+        if rnd.random() < 0.5:
+            s.add(rnd.choice(vocab))
+        if rnd.random() < 0.3 and len(s) > 1:
+            s.discard(rnd.choice(sorted(s)))
+        rows.append((i, sorted(s)))
+    df = spark.createDataFrame(rows, "rid bigint, words array<string>")
+    none = spark.createDataFrame([], "rid bigint, kind string, key string")
+    kept = []
+    for rid, w in rows:
+        if not any(len(set(w) & set(rows[k][1])) / len(set(w) | set(rows[k][1])) > 0.85 for k in kept):
+            kept.append(rid)
+    for small in (2, 16):
+        monkeypatch.setattr(linkage, "SMALL_GROUP", small)
+        got = {r.rid for r in linkage.greedy_keep_first(df, none).filter("kept").collect()}
+        assert got == set(kept)
