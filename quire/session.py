@@ -80,6 +80,7 @@ def spread(df, min_partitions: int | None = None, *keys):
 
 
 _ACTIVE_SCOPES: list[list] = []
+CUT_ROW_GROUP_BYTES = 4 * 1024 * 1024
 
 
 class cut_scope:
@@ -113,7 +114,9 @@ def cut(df, name: str = "cut", scope: list | None = None):
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/quire-{name}-{uuid.uuid4().hex}"
-    df.write.mode("errorifexists").parquet(path)
+    # small row groups: the table can be read back by many tasks (a file of
+    # one row group is one task however many cores there are)
+    df.write.mode("errorifexists").option("parquet.block.size", CUT_ROW_GROUP_BYTES).parquet(path)
     if scope is not None:
         scope.append(path)
     elif _ACTIVE_SCOPES:
