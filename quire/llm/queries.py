@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, exact_dedup, packing
+from quire.llm import bpe, chosen_path, exact_dedup, packing
 from quire.llm.shared import ship_package, table
 
 
@@ -20,6 +20,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", "doc_id", "text")).drop("rid")
 
 
+def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.similarity_classes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("sha")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), **packing.public_vocabulary())
 
@@ -33,7 +37,7 @@ def _registered(f):
     return query
 
 
-QUERIES = {f.__name__: _registered(f) for f in (op1_byte_bpe, op4_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: _registered(f) for f in (op1_byte_bpe, op4_exact_dedup, op6_chosen_path_join, op10_best_fit_packing)}
 
 ORACLES = {
     "op4_exact_dedup": """
