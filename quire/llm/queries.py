@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chosen_path, exact_dedup, packing
+from quire.llm import bpe, chosen_path, exact_dedup, langid, packing, toxicity
 from quire.llm.shared import ship_package, table
 
 
@@ -24,6 +24,17 @@ def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similarity_classes(table(spark, sf_dir, "documents", "doc_id", "text")).drop("sha")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.score_documents(docs, model)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return langid.detect(docs, langid.train(docs)).drop("spans")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), **packing.public_vocabulary())
 
@@ -37,7 +48,8 @@ def _registered(f):
     return query
 
 
-QUERIES = {f.__name__: _registered(f) for f in (op1_byte_bpe, op4_exact_dedup, op6_chosen_path_join, op10_best_fit_packing)}
+QUERIES = {f.__name__: _registered(f) for f in (op1_byte_bpe, op4_exact_dedup, op6_chosen_path_join, op8_toxicity, op9_language_id,
+                                               op10_best_fit_packing)}
 
 ORACLES = {
     "op4_exact_dedup": """
