@@ -40,6 +40,9 @@ FILTERS = 8
 TRAIN_DOCS = 4000
 EPOCHS = 3
 RATE = 0.05
+EMB_RATE = 0.01      # embeddings move slowly: a mislabelled text must not be learned by heart
+MIN_SEEN = 5         # sample texts with a word before its ratio counts
+MIN_TOXIC = 20       # toxic calibration texts before a language has its own threshold
 SEED = 5
 BATCH_WORDS = 200_000
 
@@ -58,7 +61,7 @@ class Net:
 
     def __init__(self):
         rng = np.random.default_rng(SEED)
-        self.emb = rng.normal(0, 0.05, (2, BUCKETS, DIM)).astype(np.float32)
+        self.emb = rng.normal(0, 0.01, (2, BUCKETS, DIM)).astype(np.float32)
         self.emb[:, 0] = 0
         self.w = [rng.normal(0, 0.15, (k * 2 * DIM, FILTERS)).astype(np.float32) for k in WIDTHS]
         for k, w in zip(WIDTHS, self.w):   # every filter starts by looking at the informed numbers
@@ -133,7 +136,7 @@ class Net:
                     for h in (0, 1):
                         rows = hit[:, h]
                         np.add.at(g_emb[h], rows, (gx[:, h] ** 2).sum(axis=1))
-                        np.subtract.at(self.emb[h], rows, RATE * gx[:, h] / np.sqrt(g_emb[h][rows])[:, None])
+                        np.subtract.at(self.emb[h], rows, EMB_RATE * gx[:, h] / np.sqrt(g_emb[h][rows])[:, None])
                         self.emb[h, 0] = 0
                 self.v = np.maximum(self.v - RATE * grad_v / np.sqrt(g_v), 0)
                 self.c -= np.float32(0.1 * RATE * err)
@@ -149,7 +152,7 @@ def _inform(net: Net, docs: list[np.ndarray], labels: np.ndarray) -> None:
     pos, neg = max(labels.sum(), 1), max((labels == 0).sum(), 1)
     for h in (0, 1):
         ratio = np.log((seen[h, 1] / pos + 1e-3) / (seen[h, 0] / neg + 1e-3))
-        net.emb[h, :, 0] = np.clip(ratio / 2, -1, 2.5) * (seen[h].sum(axis=0) >= 5)
+        net.emb[h, :, 0] = np.clip(ratio / 2, -1, 2.5) * (seen[h].sum(axis=0) >= MIN_SEEN)
         net.emb[h, 0] = 0
 
 
@@ -213,7 +216,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, langs_of: list[str | None])
     guessed = model.languages([d for d, k in zip(docs, check) if k])
     for i in range(len(langs)):
         mine = guessed == i
-        if mine.sum() >= 50 and 0 < y[mine].mean() < 1:
+        if y[mine].sum() >= MIN_TOXIC and y[mine].mean() < 1:
             model.thresholds[i] = _threshold(z[mine], y[mine])
     return model
 
