@@ -1,29 +1,52 @@
 """Corpus preparation: language ID, exact dedup, near-duplicate join, personal
-data, packing. Each stage reads what its predecessor kept."""
+data, packing. Each stage works on all that its predecessor kept; all but the
+last return the columns of ``documents``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import exact_dedup, packing
+from quire.llm import chosen_path, exact_dedup, langid, packing, pii
 from quire.llm.shared import ship_package
 from quire.session import cut
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without any letter (``und``) go; ``lang`` becomes the identified
+    language of the others."""
+    ship_package(spark)
+    return langid.relabel(docs, langid.train(docs.select("doc_id", "text", "lang")))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
     return exact_dedup.keep_one(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of documents linked at 0.8 on five-word shingles the one
+    with the smallest doc_id stays."""
+    ship_package(spark)
+    return chosen_path.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans of personal data are replaced by their kind, ``n_chars`` follows."""
+    ship_package(spark)
+    return pii.redact(docs, pii.learn(docs))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document with their place in 2048-token sequences."""
     ship_package(spark)
     return packing.pack_documents(docs.select("doc_id", "text"), **packing.public_vocabulary())
 
 
-STAGES = [("exact_dedup", exact), ("best_fit_packing", pack)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_duplicates", near),
+          ("personal_data", personal_data), ("best_fit_packing", pack)]
 
-#: the learned stages have no SQL form; tests hold each against brute force
+#: learned stages and token ids have no SQL form; tests hold each stage
+#: against a brute-force version
 ORACLE_SQL = None
 
 
