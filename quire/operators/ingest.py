@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.operators.common import ordered_rank
 
 
 def arxiv_key() -> Column:
@@ -41,6 +42,14 @@ def keep_first(df: DataFrame, key: Column, order: list[str] = ("query_ord", "pos
             .select("_r.*"))
 
 
+def number_positions(df: DataFrame, order: list[str] = ("query_ord", "pos")) -> DataFrame:
+    """Give the rows of one source their place in one list over all its
+    queries: ``pos`` becomes the dense rank (from 0) in (query, position)
+    order. Run after keep-first and the recency filter, before K1."""
+    ranked = ordered_rank(df, [], [F.col(c) for c in order], out="_p")
+    return ranked.withColumn("pos", F.col("_p") - 1).drop("_p")
+
+
 def _day_literal(df: DataFrame, date_col: str, y: int, m: int) -> Column:
     """Midnight of y-m-01 in the column's own type (cast from text, so the
     Python process time zone plays no part)."""

@@ -94,6 +94,24 @@ def prefixes(sets: DataFrame, vocab: DataFrame, threshold) -> DataFrame:
             .select("rid", "token", "n"))
 
 
+def only_equal_below(threshold) -> int:
+    """Sets of fewer words than this can only match an equal set: one word
+    more or less already falls below the threshold (n / (n + 1) < t)."""
+    t = Decimal(str(threshold))
+    return int((t / (1 - t)).to_integral_value(rounding="ROUND_CEILING")) if t < 1 else 1 << 30
+
+
+def blocking_keys(sets: DataFrame, vocab: DataFrame, threshold) -> DataFrame:
+    """``(rid, token, n)`` as ``prefixes``, but a set too small for any
+    inexact match has one key, all its words: short titles that merely share
+    a word never meet."""
+    small = F.size("words") < only_equal_below(threshold)
+    whole = sets.filter(small & (F.size("words") > 0)).select(
+        "rid", F.concat(F.lit("="), F.array_join(F.array_sort("words"), " ")).alias("token"),
+        F.size("words").alias("n"))
+    return prefixes(sets.filter(~small), vocab, threshold).unionByName(whole)
+
+
 def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold, strict: bool) -> DataFrame:
     l_ = left.select(F.col("rid").alias("l_rid"), F.col("words").alias("l_words"))
     r_ = right.select(F.col("rid").alias("r_rid"), F.col("words").alias("r_words"))
@@ -220,16 +238,22 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
         vocab = vocabulary(rows.filter(F.size("words") > 0))
     scope: list = []   # per-round tables, deleted once the answer is written
     words = cut(rows.select("rid", "words"), "words", scope)
-    pre = cut(prefixes(rows.filter(F.size("words") > 0), vocab, threshold)
+    pre = cut(blocking_keys(rows, vocab, threshold)
               .select("rid", "token", size_bucket(F.col("n"), threshold).alias("bucket")), "prefix", scope)
     keys = cut(keys.select("rid", "kind", "key"), "keys", scope)
     undecided = cut(rows.select("rid"), "undecided", scope)
+    seen = undecided.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rid").alias("d")).first()
+    if seen["n"] != seen["d"]:
+        raise ValueError("greedy dedup needs a unique, non-null rid in every row")
     decided: DataFrame | None = None
-    rounds = 0
+    rounds, before = 0, None
     while True:
         n_left = undecided.count()
         if n_left == 0:
             break
+        if n_left == before:
+            raise RuntimeError(f"greedy dedup decided none of {n_left} rows in a round")
+        before = n_left
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"greedy dedup did not finish in {max_rounds} rounds")

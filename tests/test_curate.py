@@ -24,53 +24,41 @@ def cand(title, *, src="arxiv", so=0, pos=0, authors=("X. Author",), year=2024,
             doi, arxiv, s2, cites, oa, venue, "")
 
 
-def reason(spark, **kw):
-    df = spark.createDataFrame([cand("A Paper prompt injection", **kw)], CAND)
-    return curate.classify(df, tagging.rules_frame(spark), P).first()["reject_reason"]
-
-
-def test_valid_candidate_accepted(spark):
-    assert reason(spark) is None
-
-
-def test_rejects_missing_year(spark):
-    assert "year" in reason(spark, year=None)
-
-
-def test_rejects_year_too_old(spark):
-    assert reason(spark, year=1999) == "year=1999 outside [2017,2026]"
-
-
-def test_rejects_empty_authors(spark):
-    assert "authors" in reason(spark, authors=())
-
-
-def test_rejects_blank_title(spark):
-    df = spark.createDataFrame([cand("  ")], CAND)
-    assert "title" in curate.classify(df, tagging.rules_frame(spark), P).first()["reject_reason"]
-
-
-def test_rejects_blank_url(spark):
-    assert "url" in reason(spark, url="")
-
-
-def status_of(spark, title, abstract=""):
-    df = spark.createDataFrame([cand(title, abstract=abstract)], CAND)
-    return curate.classify(df, tagging.rules_frame(spark), P).first()["status"]
-
-
-def test_on_topic_with_empty_abstract(spark):
-    assert status_of(spark, "Prompt Injection on LLMs") is None
-
-
-def test_off_topic(spark):
-    assert status_of(spark, "Sustainable agriculture techniques", "Optimizing crop yield via rotation") == "off_topic"
+# one faulty field each, and what the reason must say
+FAULTS = {
+    "no year": (dict(year=None), "year=None outside [2017,2026]"),
+    "before the first year": (dict(year=2016), "year=2016 outside [2017,2026]"),
+    "after next year": (dict(year=2027), "year=2027 outside [2017,2026]"),
+    "nobody wrote it": (dict(authors=()), "empty authors"),
+    "authors unknown": (dict(authors=None), "empty authors"),
+    "nowhere to read it": (dict(url=" \t"), "empty url"),
+    "year before authors": (dict(year=1850, authors=()), "year=1850 outside [2017,2026]"),
+}
+
+
+def test_first_failing_rule_is_the_reason(spark):
+    rows = [cand("Poisoned retrieval corpora", pos=i, **kw) for i, (kw, _) in enumerate(FAULTS.values())]
+    rows += [cand("\u2003", pos=50), cand("Poisoned retrieval corpora", pos=51, year=2026)]
+    got = {r["pos"]: r["reject_reason"] for r in
+           curate.classify(spark.createDataFrame(rows, CAND), tagging.rules_frame(spark), P).collect()}
+    assert [got[i] for i in range(len(FAULTS))] == [want for _, want in FAULTS.values()]
+    assert got[50] == "empty title" and got[51] is None
+
+
+def test_topic_needs_one_keyword_in_title_or_abstract(spark):
+    rows = [cand("Jailbreak prompts in the wild", pos=0), cand("Tides of the North Sea", pos=1),
+            cand("A field report", abstract="we red team an assistant", pos=2),
+            cand("A field report", abstract=None, pos=3)]
+    got = {r["pos"]: r["status"] for r in
+           curate.classify(spark.createDataFrame(rows, CAND), tagging.rules_frame(spark), P).collect()}
+    assert got == {0: None, 1: "off_topic", 2: None, 3: "off_topic"}
 
 
 @pytest.fixture
 def library(spark):
-    rows = [(0, "qc-2024-00001", "Prompt Injection Attacks on LLMs", None, ("2401.12345", None, "10.1234/abcd")),
-            (1, "qc-2024-00002", "Adversarial Examples in Vision Models", None, (None, "s2-xyz", None))]
+    rows = [(0, "qc-2023-00001", "Membership inference against medical chatbots", None,
+             ("2305.07777", None, "10.6000/mi.77")),
+            (1, "qc-2023-00002", "Watermarks that survive paraphrase", None, (None, "c0ffee", None))]
     return spark.createDataFrame(rows, CAT)
 
 
@@ -79,24 +67,16 @@ def run(spark, library, cands):
     return {r["pos"]: r["status"] for r in curate.curate(df, library, tagging.rules_frame(spark), P).collect()}
 
 
-def test_duplicate_by_arxiv_id(spark, library):
-    assert run(spark, library, [cand("Different title prompt injection here", arxiv="2401.12345")])[0] == "duplicate"
-
-
-def test_duplicate_by_doi_other_case(spark, library):
-    assert run(spark, library, [cand("Different title prompt injection", doi="10.1234/ABCD")])[0] == "duplicate"
-
-
-def test_duplicate_by_s2_id(spark, library):
-    assert run(spark, library, [cand("Different prompt injection", s2="s2-xyz")])[0] == "duplicate"
-
-
-def test_duplicate_by_reordered_title(spark, library):
-    assert run(spark, library, [cand("Attacks on LLMs: Prompt Injection!")])[0] == "duplicate"
-
-
-def test_not_duplicate_when_distinct(spark, library):
-    assert run(spark, library, [cand("Differential Privacy in Federated Learning")])[0] == "added"
+def test_known_ids_and_titles_are_duplicates(spark, library):
+    topic = dict(abstract="jailbreak")
+    rows = [cand("Under another name", arxiv="2305.07777", pos=0, **topic),
+            cand("Under a third name", doi="10.6000/MI.77", pos=1, **topic),
+            cand("Under a fourth name", s2="c0ffee", pos=2, **topic),
+            cand("Survive, paraphrase: that WATERMARKS!", pos=3, **topic),     # same words, other order
+            cand("Watermarks that survive translation", pos=4, **topic),      # 3 of 5 words
+            cand("Sandboxing tool calls", arxiv="2305.0777", pos=5, **topic)]  # an id's prefix is another id
+    assert run(spark, library, rows) == {0: "duplicate", 1: "duplicate", 2: "duplicate", 3: "duplicate",
+                                         4: "added", 5: "added"}
 
 
 def test_doi_only_in_top_level_field(spark):
@@ -158,13 +138,11 @@ def ids_df(spark, ids):
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
-def test_next_id_increments_max(spark):
-    r = curate.next_id(ids_df(spark, ["qc-2024-00007", "qc-2024-00003", "qc-2024-00099"])).first()
-    assert r["next_num"] == 100
-
-
-def test_next_id_empty_catalog(spark):
+def test_next_id_follows_the_largest_five_digit_number(spark):
+    mixed = ["qc-2019-00412", "zz-2025-00058", "qc-2024-0413", "no number", "qc-00900-x"]
+    assert curate.next_id(ids_df(spark, mixed)).first()["next_num"] == 413
     assert curate.next_id(ids_df(spark, [])).first()["next_num"] == 1
+    assert curate.next_id(ids_df(spark, ["only words"])).first()["next_num"] == 1
 
 
 def test_next_id_overflow_fails_loudly(spark):
@@ -174,6 +152,38 @@ def test_next_id_overflow_fails_loudly(spark):
         curate.check_id_capacity(spark.createDataFrame([(1,)], "num int"), cat, P)
 
 
+def test_positions_must_be_unique_in_a_source(spark, library):
+    rows = [cand("Jailbreak one", pos=3), cand("Jailbreak two", pos=3)]
+    with pytest.raises(ValueError, match="not unique"):
+        run(spark, library, rows)
+
+
+def test_positions_beyond_any_span_keep_sources_apart(spark, library):
+    far = 1 << 41
+    rows = [cand("Jailbreak atlas", so=0, pos=far), cand("Jailbreak atlas", src="semantic-scholar", so=1, pos=0)]
+    got = {r["source"]: r["status"] for r in
+           curate.curate(spark.createDataFrame(rows, CAND), library, tagging.rules_frame(spark), P).collect()}
+    assert got == {"arxiv": "added", "semantic-scholar": "duplicate"}
+
+
+def test_short_titles_sharing_words_need_few_rounds(spark):
+    import itertools
+
+    rows = [(i, list(c)) for i, c in enumerate(itertools.combinations([f"w{i}" for i in range(10)], 3))]
+    df = spark.createDataFrame(rows, "rid bigint, words array<string>")
+    none = spark.createDataFrame([], "rid bigint, kind string, key string")
+    got = linkage.greedy_keep_first(df, none, max_rounds=2)
+    assert got.filter("kept").count() == len(rows)
+
+
+def test_greedy_refuses_repeated_or_null_row_ids(spark):
+    none = spark.createDataFrame([], "rid bigint, kind string, key string")
+    for ids in ([1, 1], [1, None]):
+        df = spark.createDataFrame([(i, ["a", "b"]) for i in ids], "rid bigint, words array<string>")
+        with pytest.raises(ValueError):
+            linkage.greedy_keep_first(df, none)
+
+
 def test_similarity_join_matches_brute_force(spark):
     import random
 

@@ -1,13 +1,15 @@
 """The driver contract in __spark_entry__.py."""
 
 import __spark_entry__ as E
+from quire.plans import registry
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 40
+def test_every_query_of_the_catalog_has_an_oracle():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert len(registry.QUERIES) >= 40
+    assert set(E.oracle_sql()) <= set(E.queries()) >= set(registry.QUERIES)
 
 
 def test_entry_runs_with_stable_schema(spark):

@@ -10,12 +10,10 @@ def one(spark, expr, *values, schema="a string"):
     return df.select(expr.alias("x")).first()["x"]
 
 
-def test_normalize_lowercases_and_drops_punctuation(spark):
-    assert one(spark, text.normalize_title("a"), "Hello, World!") == "hello world"
-
-
-def test_normalize_collapses_blanks_and_tabs(spark):
-    assert one(spark, text.normalize_title("a"), "  multiple   spaces\there  ") == "multiple spaces here"
+def test_normalize_keeps_letters_digits_and_single_blanks(spark):
+    cases = {"GPT-4's (Second) Report?": "gpt4s second report", "\ta\u00a0\u00a0b \n c ": "a b c", "?!": ""}
+    for raw, want in cases.items():
+        assert one(spark, text.normalize_title("a"), raw) == want
 
 
 def test_normalize_keeps_trailing_blank_after_dropping(spark):
@@ -36,21 +34,12 @@ def sim(spark, a, b):
     return one(spark, text.title_similarity("a", "b"), a, b, schema="a string, b string")
 
 
-def test_similarity_equal_titles(spark):
-    assert sim(spark, "Prompt Injection Attacks", "Prompt Injection Attacks") == 1.0
-
-
-def test_similarity_disjoint_titles(spark):
-    assert sim(spark, "Prompt Injection", "Federated Learning") == 0.0
-
-
-def test_similarity_empty_is_zero(spark):
-    assert sim(spark, "", "anything") == 0.0
-    assert sim(spark, "!!", "!!") == 0.0
-
-
-def test_similarity_ignores_word_order(spark):
-    assert sim(spark, "Jailbreaking LLMs", "LLMs Jailbreaking") == 1.0
+def test_similarity_is_shared_words_over_all_words(spark):
+    cases = [("one two three", "THREE, two: one", 1.0), ("red green", "blue black", 0.0),
+             ("red green blue", "green blue black", 0.5), ("", "red", 0.0), ("??", "??", 0.0),
+             ("red red red", "red", 1.0)]
+    for a, b, want in cases:
+        assert sim(spark, a, b) == want
 
 
 def tags(spark, s):
@@ -59,21 +48,10 @@ def tags(spark, s):
     return tagging.tag(df, rules, F.lower(F.col("t"))).first()["categories"]
 
 
-def test_tagging_single_hit(spark):
-    assert "prompt-injection" in tags(spark, "a paper about prompt injection")
-
-
-def test_tagging_no_hit(spark):
-    assert tags(spark, "paper about sustainable agriculture yields") == []
-
-
-def test_tagging_several_categories_in_rule_order(spark):
-    cats = tags(spark, "jailbreak via adversarial perturbation")
-    assert cats == ["jailbreaking", "adversarial-examples"]
-
-
-def test_tagging_category_once(spark):
-    assert tags(spark, "jailbreak and jailbreaking on llms").count("jailbreaking") == 1
+def test_tagging_lists_each_matching_category_once_in_rule_order(spark):
+    assert tags(spark, "we watermark outputs; watermarking resists a jailbreak") == ["jailbreaking", "watermarking"]
+    assert tags(spark, "tides and moons") == []
+    assert tags(spark, "jailbroken, jailbreak, jailbreaks") == ["jailbreaking"]
 
 
 def test_tagging_keyword_may_span_title_abstract_joint(spark):
