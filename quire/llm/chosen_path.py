@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import connected_components
-from quire.llm.shared import shuffle_partitions
+from quire.llm.shared import fresh, shuffle_partitions
 from quire.session import cut
 
 WIDTH = 5
@@ -387,6 +387,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     smallest doc_id be on several rows of the class, they all stay."""
     found = similarity_classes(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
         F.col("doc_id").alias("_k"), F.col("sha").alias("_s")).distinct()
-    x = docs.withColumn("_h", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
-    return x.join(found, x["doc_id"].cast("long").eqNullSafe(found["_k"]) & (x["_h"] == found["_s"]),
-                  "left_semi").drop("_h")
+    sha = fresh(docs, "_sha")
+    x = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))
+    return x.join(found, x["doc_id"].cast("long").eqNullSafe(found["_k"]) & (x[sha] == found["_s"]),
+                  "left_semi").drop(sha)

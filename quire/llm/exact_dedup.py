@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.shared import fresh
 from quire.operators.common import ordered_rank
 from quire.session import cut
 
@@ -107,9 +108,10 @@ def keep_one(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """
     ids = cut(exact_dedup(docs, block_bytes), "dedup")
     kept = ids.filter("kept").select(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s"))
-    x = docs.withColumn("_h", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    out = x.join(kept, x["doc_id"].cast("long").eqNullSafe(kept["_k"]) & (x["_h"] == kept["_s"]), "left_semi")
+    sha = fresh(docs, "_sha")
+    x = docs.withColumn(sha, F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    out = x.join(kept, x["doc_id"].cast("long").eqNullSafe(kept["_k"]) & (x[sha] == kept["_s"]), "left_semi")
     repeated = ids.groupBy("doc_id", "text_sha256").count().filter("count > 1")
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["doc_id", "_h"])
-    return out.drop("_h")
+        out = out.dropDuplicates(["doc_id", sha])
+    return out.drop(sha)

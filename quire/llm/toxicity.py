@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> M
         F.lit(min(1.0, train_docs / max(sizes.get(0, 0), 1))))
     picked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1e6 < share)
     # the sample is bounded by train_docs, so it is broadcast
-    rows = (docs.join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
+    rows = (docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
             .select("doc_id", "toxic", "lang", word_hashes(F.col("text")).alias("words")).toArrow())
     order = np.lexsort((rows.column("words").combine_chunks().value_lengths().to_numpy(zero_copy_only=False),
                         rows.column("doc_id").to_numpy()))
