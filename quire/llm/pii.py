@@ -162,6 +162,7 @@ CONTEXT = {
 }
 OTHER_NUMBER = ("version", "isbn", "issn", "section", "chapter", "order", "page", "price", "id:", "no.", "fig")
 TOP_DOMAINS = ("com", "org", "net", "edu", "gov", "info", "io", "de", "fr", "es", "uk", "it", "eu", "ch", "nl", "at")
+ACCEPT = 0.8     # a looser span is reported from this probability on
 LABELERS = ("pattern", "validity", "gazetteer", "context", "boundary")
 
 
@@ -286,7 +287,7 @@ def find_spans(text: str, model: dict[tuple, float]) -> tuple[list, list]:
     """Base spans, and the looser ones that the classifier accepts."""
     base = base_spans(text)
     return base, [s for s in loose_spans(text, base)
-                  if model.get(signature(text, *s, False), 0.0) >= 0.5]
+                  if model.get(signature(text, *s, False), 0.0) >= ACCEPT]
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

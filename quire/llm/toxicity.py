@@ -45,6 +45,7 @@ MIN_SEEN = 5         # sample texts with a word before its ratio counts
 MIN_TOXIC = 20       # toxic calibration texts before a language has its own threshold
 SEED = 5
 BATCH_WORDS = 200_000
+PAD = np.zeros((max(WIDTHS), 2), np.int32)
 
 
 def _slots(words: np.ndarray) -> np.ndarray:
@@ -84,15 +85,20 @@ class Net:
         return out + self.b[i]
 
     def logits(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Scores before the threshold of texts given as slots."""
-        pad = np.zeros((max(WIDTHS) - 1, 2), np.int32)
+        """Scores before the threshold of texts given as slots. Every text is
+        followed by padding; windows that reach beyond it are left out, so a
+        score never depends on the texts around."""
         if not docs:
             return np.zeros(0)
-        starts = np.cumsum([0] + [len(d) + len(pad) for d in docs[:-1]])
-        x = self.inputs(np.concatenate([p for d in docs for p in (d, pad)] + [pad]))
+        ends = np.cumsum([len(d) + len(PAD) for d in docs])
+        starts = np.concatenate([[0], ends[:-1]])
+        x = self.inputs(np.concatenate([p for d in docs for p in (d, PAD)] + [PAD]))
         total = np.full(len(docs), self.c, np.float64)
         for i, k in enumerate(WIDTHS):
-            y = np.maximum.reduceat(self.convolve(x, k, i), starts, axis=0)
+            y = self.convolve(x, k, i)[:ends[-1]]
+            for j in range(1, k):
+                y[ends - j] = -np.inf
+            y = np.maximum.reduceat(y, starts, axis=0)
             total += np.maximum(y, 0) @ self.v[i * FILTERS:(i + 1) * FILTERS]
         return total
 
@@ -103,12 +109,11 @@ class Net:
         g_emb = np.full((2, BUCKETS), 1e-2, np.float32)
         g_w = [np.full(w.shape, 1e-2, np.float32) for w in self.w]
         g_v = np.full(self.v.shape, 1e-2, np.float32)
-        pad = np.zeros((max(WIDTHS) - 1, 2), np.int32)
         d = 2 * DIM
         weight = np.where(labels == 1, 0.5 / max(labels.mean(), 1e-6), 0.5 / max(1 - labels.mean(), 1e-6))
         for _ in range(EPOCHS):
             for n in rng.permutation(len(docs)).tolist():
-                slots = np.concatenate([docs[n], pad])
+                slots = np.concatenate([docs[n], PAD])
                 x = self.inputs(slots)
                 tops, wins = [], []
                 for i, k in enumerate(WIDTHS):
