@@ -5,27 +5,20 @@ category is tagged when any of its keywords is a plain substring of the
 lower-cased ``title + " " + abstract`` (no word boundaries, so a keyword may
 span the joint). The result lists categories in rule order, each once.
 
-Two physical forms:
-
-* up to ``EXPR_MAX_KEYWORDS`` keywords (the default rule set has 133) the
-  rules are compiled into one ``filter(array(when(contains OR ...)))``
-  expression: no shuffle, no Python, whole-stage codegen;
-* above that, an Arrow-batched pandas UDF runs one Aho-Corasick automaton per
-  batch over the broadcast rule list (size checked against
-  ``AC_MAX_KEYWORDS``), so cost is linear in text length, not in rules.
+The rules, a small dim (133 rows by default), are compiled into one
+``filter(array(when(contains OR ...)))`` expression: no shuffle, no Python,
+whole-stage codegen, one form whatever their number. A table of more than
+``MAX_KEYWORDS`` rows is refused, not answered in another way.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire import fixed
 
-EXPR_MAX_KEYWORDS = 2000
-AC_MAX_KEYWORDS = 1_000_000
+MAX_KEYWORDS = 10_000
 
 
 def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
@@ -36,7 +29,7 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
     return spark.createDataFrame(rows, "category_id string, category_ord int, keyword string")
 
 
-def _ordered_rules(rules_df: DataFrame, limit: int):
+def _ordered_rules(rules_df: DataFrame, limit: int = MAX_KEYWORDS):
     n = rules_df.count()
     if n > limit:
         raise ValueError(f"rule table has {n} keywords, above the bound {limit}")
@@ -47,7 +40,7 @@ def _ordered_rules(rules_df: DataFrame, limit: int):
             grouped[-1][1].append(r["keyword"])
         else:
             grouped.append((r["category_id"], [r["keyword"]]))
-    return grouped, n
+    return grouped
 
 
 def tag_text_expr(text: Column, grouped_rules) -> Column:
@@ -74,41 +67,7 @@ def tag_source_text(title, abstract) -> Column:
 
 def tag(df: DataFrame, rules_df: DataFrame, text: Column, out: str = "categories") -> DataFrame:
     """Add ``out`` = categories hit by ``text`` (already lower-cased)."""
-    memo = getattr(rules_df, "_quire_rules", None)   # the dim is read once per frame
-    if memo is None:
-        grouped, n = _ordered_rules(rules_df, AC_MAX_KEYWORDS)
-        memo = (grouped, n)
-        rules_df._quire_rules = memo
-    grouped, n = memo
-    if n <= EXPR_MAX_KEYWORDS:
-        return df.withColumn(out, tag_text_expr(text, grouped))
-    return df.withColumn(out, _ac_tagger(df.sparkSession, grouped)(text))
-
-
-def _ac_tagger(spark: SparkSession, grouped):
-    cats = [c for c, _ in grouped]
-    pairs = [(kw.lower(), i) for i, (_, kws) in enumerate(grouped) for kw in kws]
-    bc = spark.sparkContext.broadcast((cats, pairs))
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def ac_tag(texts: pd.Series) -> pd.Series:
-        import ahocorasick
-
-        cats_, pairs_ = bc.value
-        auto = ahocorasick.Automaton()
-        for kw, i in pairs_:
-            prev = auto.get(kw, None)
-            auto.add_word(kw, (prev or ()) + (i,))
-        auto.make_automaton()
-
-        def one(t):
-            if t is None:
-                return []
-            hit = set()
-            for _, ids in auto.iter(t):
-                hit.update(ids)
-            return [cats_[i] for i in sorted(hit)]
-
-        return texts.map(one)
-
-    return ac_tag
+    grouped = getattr(rules_df, "_quire_rules", None)   # the dim is read once per frame
+    if grouped is None:
+        grouped = rules_df._quire_rules = _ordered_rules(rules_df)
+    return df.withColumn(out, tag_text_expr(text, grouped))

@@ -98,26 +98,23 @@ def arxiv_id_from_url(c) -> Column:
 
 def year_of_iso(c) -> Column:
     """H7: year of an ISO date string (null if not numeric)."""
-    return F.expr("try_cast(substring({0}, 1, 4) AS INT)".format(_sql(c)))
+    return F.substring(_c(c), 1, 4).try_cast("int")
 
 
 def month_of_iso(c) -> Column:
     """H7: month of an ISO date string; 0 when missing or not numeric."""
-    return F.coalesce(
-        F.when(F.length(_c(c)) >= 7, F.expr("try_cast(substring({0}, 6, 2) AS INT)".format(_sql(c)))),
-        F.lit(0))
+    return F.coalesce(F.when(F.length(_c(c)) >= 7, F.substring(_c(c), 6, 2).try_cast("int")), F.lit(0))
 
 
-def _sql(c) -> str:
-    if isinstance(c, str):
-        return "`" + c.replace("`", "``") + "`"
-    raise TypeError("pass a column name for SQL-built expressions")
+def year_month_of_parts(parts) -> tuple[Column, Column]:
+    """H7: year and month of a ``[[year, month, ...]]`` date; 0 when absent."""
+    first = F.get(_c(parts), 0)
+    return F.coalesce(F.get(first, 0), F.lit(0)), F.coalesce(F.get(first, 1), F.lit(0))
 
 
 def non_empty_names(c) -> Column:
-    """H8: drop null/blank names from an array of strings."""
-    return F.filter(F.transform(_c(c), lambda x: strip_ws(F.coalesce(x, F.lit("")))),
-                    lambda x: x != "")
+    """H8: the names of an array of strings, null and empty ones dropped."""
+    return F.filter(_c(c), lambda x: x.isNotNull() & (x != ""))
 
 
 def given_family_names(c) -> Column:

@@ -1,8 +1,8 @@
 """Catalog analytics: counts, coverage, ranked and top-k lists, facets
 (A6-A10, A13, A14, W1-W7, J5, J6, P8-P10).
 
-Input is a catalog DataFrame with the entry schema (see ``quire.schema``),
-including ``ord`` (position in the catalog file). Dims (taxonomy,
+Input is a catalog DataFrame with the entry schema (see
+``quire.sources.catalog``), including ``ord`` (position in the catalog file). Dims (taxonomy,
 frameworks) are tiny and broadcast after a size check.
 """
 
@@ -23,10 +23,6 @@ def catalog_order_cols() -> list[Column]:
             F.col("ord").asc()]
 
 
-def catalog_order(df: DataFrame) -> DataFrame:
-    return df.orderBy(*catalog_order_cols())
-
-
 def most_recent(df: DataFrame, k: int = 5) -> DataFrame:
     """Top-k in catalog order (TakeOrderedAndProject, no full sort)."""
     return df.orderBy(*catalog_order_cols()).limit(k)
@@ -89,17 +85,17 @@ def catalog_stats(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def framework_links(df: DataFrame) -> DataFrame:
-    """(ord, framework_id, control_id), one row per distinct link of an entry."""
-    m = df.select("ord", F.explode("framework_mappings").alias("framework_id", "ids"))
-    return (m.select("ord", "framework_id", F.explode("ids").alias("control_id"))
-            .dropDuplicates(["ord", "framework_id", "control_id"]))
+    """(ord, id, framework_id, control_id), one row per distinct link of an
+    entry (a control listed twice is one link: duplicates are inside a row)."""
+    m = df.select("ord", "id", F.explode("framework_mappings").alias("framework_id", "ids"))
+    return m.select("ord", "id", "framework_id", F.explode(F.array_distinct("ids")).alias("control_id"))
 
 
 def framework_coverage(df: DataFrame, frameworks: DataFrame) -> DataFrame:
     """Entries with at least one control listed, per framework (0 if none)."""
     m = df.select("ord", F.explode("framework_mappings").alias("framework_id", "ids"))
-    per = (m.filter(F.size("ids") > 0).groupBy("framework_id")
-           .agg(F.count_distinct("ord").alias("n_entries")))
+    # one map entry per framework and catalog entry: a plain count
+    per = m.filter(F.size("ids") > 0).groupBy("framework_id").agg(F.count(F.lit(1)).alias("n_entries"))
     fws = frameworks.select("framework_id", "framework_ord").dropDuplicates(["framework_id"])
     return (checked_broadcast(fws).join(per, "framework_id", "left")
             .select("framework_id", "framework_ord",
@@ -111,7 +107,7 @@ def control_entries(df: DataFrame, frameworks: DataFrame, k: int = 5) -> DataFra
     catalog file order (not W1), and the overflow count. Counting is a
     partial/final aggregate and the top-k is salted, so a control linked to a
     third of the catalog is never handled by one task alone."""
-    links = framework_links(df).join(df.select("ord", "id"), "ord")
+    links = framework_links(df)
     counts = links.groupBy("framework_id", "control_id").agg(F.count(F.lit(1)).alias("n_entries"))
     top = salted_top_k(links, ["framework_id", "control_id"], [F.col("ord")], k, "ord")
     tops = top.groupBy("framework_id", "control_id").agg(
@@ -149,8 +145,12 @@ def category_listing(df: DataFrame, category_id: str | None = None) -> DataFrame
     return ordered_rank(occ, ["category_id"], catalog_order_cols())
 
 
-def lookup(df: DataFrame, entry_id: str) -> DataFrame:
-    """P10: point lookup by id (pushed to the scan as a filter)."""
+def lookup(df: DataFrame, entry_id: str, ord_: int | None = None) -> DataFrame:
+    """P10: point lookup by id. A stored id is filtered in the scan. Where
+    ids are numbered by position, the position ``ord_`` that the id stands
+    for is filtered as well, which reaches the scan even if ids are computed."""
+    if ord_ is not None:
+        df = df.filter(F.col("ord") == ord_)
     return df.filter(F.col("id") == entry_id)
 
 
@@ -169,21 +169,16 @@ def facet_filter(df: DataFrame, type_: str = "all", year="all", reviewed="all")
 
 def facet_values(df: DataFrame) -> DataFrame:
     """Distinct years (desc) and types (asc), with counts."""
-    years = df.groupBy("year").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("year").alias("facet"), F.col("year").cast("string").alias("value"), "n",
-        (-F.col("year")).cast("bigint").alias("sort_key"))
-    types = df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("type").alias("facet"), F.col("type").alias("value"), "n",
-        F.lit(0).cast("bigint").alias("sort_key"))
-    return years.unionByName(types)
+    facets = F.array(
+        F.struct(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value"),
+                 (-F.col("year")).cast("bigint").alias("sort_key")),
+        F.struct(F.lit("type").alias("facet"), F.col("type").alias("value"), F.lit(0).cast("bigint").alias("sort_key")))
+    # both facets from one scan
+    return (df.select(F.explode(facets).alias("f")).groupBy("f.facet", "f.value", "f.sort_key")
+            .agg(F.count(F.lit(1)).alias("n")).select("facet", "value", "n", "sort_key"))
 
 
 def taxonomy_totals(taxonomy: DataFrame) -> DataFrame:
     """Number of domains and categories."""
     return taxonomy.agg(F.count_distinct("domain_id").alias("n_domains"),
                         F.count(F.lit(1)).alias("n_categories"))
-
-
-def result_page(ranked: DataFrame, order: list[Column], k: int = 50) -> tuple[DataFrame, DataFrame]:
-    """First k rows and the total count (two plans, no collect)."""
-    return ranked.orderBy(*order).limit(k), ranked.agg(F.count(F.lit(1)).alias("total"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire import fixed
 from quire.functions import text
 from quire.operators import linkage
+from quire.session import cut
 
 
 def needs_doi(catalog: DataFrame, types=("paper", "book")) -> DataFrame:
@@ -42,14 +43,16 @@ def doi_by_title(entries: DataFrame, lookup: DataFrame, threshold: str = fixed.B
     join (lookup rows keep their best rank per (title set, year)), so a
     title shared by a third of the rows never multiplies the pairs.
     """
-    e = linkage.title_keys(entries.select(F.col("ord").alias("rid"), "title", "year"))
+    # both sides are tokenised once and written
+    e = cut(linkage.title_keys(entries.select(F.col("ord").alias("rid"), "title", "year"))
+            .select("rid", "year", "words"), "entries")
     e_sets, e_members = linkage.distinct_sets(e.filter(F.size("words") > 0), "entry-sets")
     lk = lookup.filter(text.empty_to_null("doi").isNotNull())   # no DOI: skipped before ranking
     if "lrid" not in lk.columns:
         lk = lk.withColumn("lrid", F.col("rank"))
     lk = linkage.title_keys(lk).filter(F.size("words") > 0).withColumn("sw", F.array_sort("words"))
-    l_groups = lk.groupBy("sw", "year").agg(F.min(F.struct("rank", "lrid", "doi")).alias("best"))
-    l_sets, l_members = linkage.distinct_sets(l_groups.select(F.monotonically_increasing_id().alias("rid"),
+    l_groups = cut(lk.groupBy("sw", "year").agg(F.min(F.struct("rank", "lrid", "doi")).alias("best")), "lookup")
+    l_sets, _ = linkage.distinct_sets(l_groups.select(F.monotonically_increasing_id().alias("rid"),
                                                               F.col("sw").alias("words")), "lookup-sets")
     l_groups = l_groups.join(l_sets.select(F.col("rid").alias("lsid"), F.col("words").alias("sw")), "sw")
     vocab = linkage.vocabulary(e_sets, l_sets)

@@ -19,12 +19,12 @@ def arxiv_key() -> Column:
 
 def s2_key() -> Column:
     """A2 key: S2 id, else DOI, else lower-cased title (one namespace)."""
-    return F.coalesce(text.empty_to_null("semantic_scholar_id"), text.empty_to_null("doi"), F.lower("title"))
+    return text.first_non_empty("semantic_scholar_id", "doi", F.lower("title"))
 
 
 def crossref_key() -> Column:
     """A3 key: DOI (case kept), else lower-cased title."""
-    return F.coalesce(text.empty_to_null("doi"), F.lower("title"))
+    return text.first_non_empty("doi", F.lower("title"))
 
 
 def keep_first(df: DataFrame, key: Column, order: list[str] = ("query_ord", "pos")) -> DataFrame:

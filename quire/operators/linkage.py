@@ -166,7 +166,8 @@ def distinct_sets(rows: DataFrame, name: str = "sets") -> tuple[DataFrame, DataF
     member count, so no later join ever pairs the copies with each other.
     The set table is materialised so its ids are stable.
     """
-    d = rows.select("rid", F.array_sort("words").alias("sw")).withColumn("_h", F.xxhash64("sw"))
+    # written once: the words may come from whole texts
+    d = cut(rows.select("rid", F.array_sort("words").alias("sw")).withColumn("_h", F.xxhash64("sw")), f"{name}-rows")
     sets = cut(d.groupBy("_h", "sw").agg(F.count(F.lit(1)).alias("members"))
                .withColumn("sid", F.monotonically_increasing_id()), name)
     members = d.join(sets.select("_h", "sw", "sid"), ["_h", "sw"]).select("rid", "sid")
@@ -191,11 +192,13 @@ def similar_counts(rows: DataFrame, threshold="0.85", strict: bool = True) -> Da
     whose word set is above the threshold. Computed on distinct sets
     (copies counted through member counts), never by listing pairs of
     copies."""
+    rows = cut(rows.select("rid", "words"), "count-rows")
     sets, members = distinct_sets(rows.filter(F.size("words") > 0), "count-sets")
     pairs = similar_pairs(sets.select("rid", "words"), None, threshold, strict)
     m = sets.select("rid", "members")
-    both = (pairs.select(F.col("l_rid").alias("sid"), F.col("r_rid").alias("other"))
-            .unionByName(pairs.select(F.col("r_rid").alias("sid"), F.col("l_rid").alias("other"))))
+    ends = [F.struct(F.col(a).alias("sid"), F.col(b).alias("other")) for a, b in
+            (("l_rid", "r_rid"), ("r_rid", "l_rid"))]
+    both = pairs.select(F.explode(F.array(*ends)).alias("p")).select("p.*")
     nb = (both.join(m.withColumnRenamed("rid", "other"), "other")
           .groupBy("sid").agg(F.sum("members").alias("from_others")))
     # an identical copy is similar (J = 1) unless the set is empty

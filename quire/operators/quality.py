@@ -5,8 +5,10 @@ subset: required, type, pattern, enum, minLength, minItems, minimum,
 maximum, closed objects, string items). The raw text is parsed once into a
 ``VARIANT``; every rule is a built-in expression over it, and each record
 yields an array of violations that is exploded into rows
-``(ord, path, rule)``. ``format`` is not enforced, matching the upstream
-validator, which passes no format checker.
+``(ord, path, rule, value)``. Rules are independent, as the upstream
+validator has them: a value of the wrong type is still held against enum and
+bounds, and every bad array item is a row of its own. ``format`` is not
+enforced, matching the upstream validator, which passes no format checker.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire import fixed
+from quire.sources.dims import checked_broadcast
+
 
 @dataclass
 class Prop:
@@ -100,66 +104,106 @@ def _path(parent: str, name: str) -> str:
     return name if not parent else f"{parent}.{name}"
 
 
-def _checks(v: Column, json_text: Column, prop: Prop, path: str) -> list[Column]:
-    """Violation structs (or nulls) for a value ``v`` that is present."""
-    out: list[Column] = []
+def _is_number(v: Column) -> Column:
+    s = _vtype(v)
+    return s.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL")
+
+
+def _violation(cond: Column, path: Column | str, rule: str, value: Column) -> Column:
+    p = F.lit(path) if isinstance(path, str) else path
+    return F.when(cond, F.struct(p.alias("path"), F.lit(rule).alias("rule"), value.alias("value")))
+
+
+def _checks(v: Column, prop: Prop, path: str) -> tuple[list[Column], list[Column]]:
+    """Violation structs (or nulls), and arrays of them, for a value ``v``
+    that is present."""
+    one: list[Column] = []
+    many: list[Column] = []
+    text, none = F.to_json(v), F.lit(None).cast("string")
 
-    def viol(cond: Column, rule: str, p: str = path) -> Column:
-        return F.when(cond, F.struct(F.lit(p).alias("path"), F.lit(rule).alias("rule")))
+    def rule(cond: Column, name: str, p: str = path, value: Column = text) -> None:
+        one.append(_violation(cond, p, name, value))
 
-    ok = _is_type(v, prop.type)
-    out.append(viol(~ok, "type"))
-    if prop.type == "string":
-        sv = F.try_variant_get(v, "$", "string")
+    rule(~_is_type(v, prop.type), "type")
+    if prop.pattern or prop.min_length is not None or prop.enum:
+        is_str, sv = _is_type(v, "string"), F.try_variant_get(v, "$", "string")
         if prop.pattern:
-            out.append(viol(ok & ~sv.rlike(prop.pattern), "pattern"))
+            rule(is_str & ~sv.rlike(prop.pattern), "pattern")
         if prop.enum:
-            out.append(viol(ok & ~sv.isin(*prop.enum), "enum"))
+            rule(~is_str | ~sv.isin(*prop.enum), "enum")
         if prop.min_length is not None:
-            out.append(viol(ok & (F.char_length(sv) < prop.min_length), "minLength"))
-    if prop.type == "integer":
-        nv = F.try_variant_get(v, "$", "double")
+            rule(is_str & (F.char_length(sv) < prop.min_length), "minLength")
+    if prop.minimum is not None or prop.maximum is not None:
+        is_num, nv = _is_number(v), F.try_variant_get(v, "$", "double")
         if prop.minimum is not None:
-            out.append(viol(ok & (nv < prop.minimum), "minimum"))
+            rule(is_num & (nv < prop.minimum), "minimum")
         if prop.maximum is not None:
-            out.append(viol(ok & (nv > prop.maximum), "maximum"))
+            rule(is_num & (nv > prop.maximum), "maximum")
     if prop.type == "array":
-        n = F.size(F.try_variant_get(v, "$", "array<variant>"))
+        is_arr, items = _is_type(v, "array"), F.try_variant_get(v, "$", "array<variant>")
         if prop.min_items is not None:
-            out.append(viol(ok & (n < prop.min_items), "minItems"))
-        if prop.items == "string":
-            items = F.try_variant_get(v, "$", "array<variant>")
-            bad = F.exists(items, lambda x: F.schema_of_variant(x) != "STRING")
-            out.append(viol(ok & bad, "items.type"))
+            rule(is_arr & (F.size(items) < prop.min_items), "minItems")
+        if prop.items:
+            many.append(F.when(is_arr, F.transform(items, lambda x, i: _violation(
+                ~_is_type(x, prop.items), F.concat(F.lit(f"{path}."), i.cast("string")), "type", F.to_json(x)))))
     if prop.type == "object":
+        is_obj = _is_type(v, "object")
         names = [p.name for p in prop.props]
         for r in prop.required:
-            out.append(viol(ok & F.variant_get(v, f"$.{r}", "variant").isNull(), "required", _path(path, r)))
+            rule(is_obj & F.try_variant_get(v, f"$.{r}", "variant").isNull(), "required", _path(path, r), none)
         if prop.closed:
             # key list straight from the variant (no second JSON parse)
             keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-            extra = F.exists(keys, lambda k: ~k.isin(*names)) if names else F.size(keys) > 0
-            out.append(viol(ok & extra, "additionalProperties"))
+            extra = F.array_sort(F.filter(keys, lambda k: ~k.isin(*names)) if names else keys)
+            rule(is_obj & (F.size(extra) > 0), "additionalProperties", value=F.array_join(extra, ","))
         for p in prop.props:
             child = F.try_variant_get(v, f"$.{p.name}", "variant")
-            sub = _checks(child, None, p, _path(path, p.name))
-            out += [F.when(child.isNotNull() & ok, c) for c in sub]
-    return out
-
-
-def validate_json(df: DataFrame, ord_col: str, json_col: str, schema: Prop) -> DataFrame:
-    """V1/V2: ``(ord, path, rule)`` per violation; text that is not JSON
-    gives one ``(ord, "", "parse")`` row. Rows are in V3 order when sorted
-    with ``orderBy(ord, path)``."""
-    v = F.try_parse_json(F.col(json_col))
-    checks = _checks(F.col("_v"), F.col(json_col), schema, "")
-    arr = F.filter(F.array(*checks), lambda x: x.isNotNull())
-    parsed = df.select(F.col(ord_col).alias("ord"), F.col(json_col), v.alias("_v"))
-    viol = parsed.select("ord", F.when(F.col("_v").isNull(),
-                                       F.array(F.struct(F.lit("").alias("path"), F.lit("parse").alias("rule"))))
-                         .otherwise(arr).alias("vs"))
-    return (viol.select("ord", F.explode_outer("vs").alias("x"))
-            .filter(F.col("x").isNotNull()).select("ord", "x.path", "x.rule"))
+            sub_one, sub_many = _checks(child, p, _path(path, p.name))
+            one += [F.when(child.isNotNull() & is_obj, c) for c in sub_one]
+            many += [F.when(child.isNotNull() & is_obj, c) for c in sub_many]
+    return one, many
+
+
+def validate_json(df: DataFrame, keys: str | list[str], json_col: str, schema: Prop) -> DataFrame:
+    """V1/V2: one row per violation: the key columns (a single one is called
+    ``ord``), ``path``, ``rule`` and the offending ``value`` as JSON text
+    (names for unknown keys, null where something is missing). Text that is
+    not JSON gives one ``parse`` row."""
+    names = [keys] if isinstance(keys, str) else list(keys)
+    cols = [F.col(keys).alias("ord")] if isinstance(keys, str) else [F.col(k) for k in names]
+    outs = ["ord"] if isinstance(keys, str) else names
+    parsed = df.select(*cols, F.col(json_col).alias("_json"), F.try_parse_json(F.col(json_col)).alias("_v"))
+    one, many = _checks(F.col("_v"), schema, "")
+    empty = F.array().cast("array<struct<path:string,rule:string,value:string>>")
+    found = F.filter(F.concat(F.array(*one), *[F.coalesce(m, empty) for m in many]), lambda x: x.isNotNull())
+    broken = F.array(F.struct(F.lit("").alias("path"), F.lit("parse").alias("rule"), F.col("_json").alias("value")))
+    return (parsed.select(*outs, F.explode_outer(F.when(F.col("_v").isNull(), broken).otherwise(found)).alias("x"))
+            .filter(F.col("x").isNotNull()).select(*outs, "x.path", "x.rule", "x.value"))
+
+
+def envelope_schema(container: str) -> Prop:
+    """A whole document: one required list and no other key."""
+    return Prop("", "object", closed=True, required=[container], props=[Prop(container, "array")])
+
+
+def _items(raw: DataFrame, container: str) -> DataFrame:
+    v = raw.select(F.try_parse_json("raw").alias("v"))
+    return v.select(F.posexplode(F.try_variant_get("v", f"$.{container}", "array<variant>")).alias("i", "d"))
+
+
+def _below(prefix: Column) -> Column:
+    """``prefix`` with the violation's own path appended."""
+    return F.concat(prefix, F.when(F.col("path") != "", F.concat(F.lit("."), F.col("path"))).otherwise(F.lit("")))
+
+
+def validate_catalog(raw: DataFrame, id_prefix: str = "qc") -> DataFrame:
+    """V1: a whole catalog document as JSON text in column ``raw``: its
+    envelope (``ord`` -1) and every entry (``ord`` its place)."""
+    top = validate_json(raw.select(F.lit(-1).cast("bigint").alias("ord"), "raw"), "ord", "raw",
+                        envelope_schema("entries"))
+    entries = _items(raw, "entries").select(F.col("i").cast("bigint").alias("ord"), F.to_json("d").alias("raw"))
+    return top.unionByName(validate_json(entries, "ord", "raw", entry_schema(id_prefix)).withColumn(
+        "path", _below(F.concat(F.lit("entries."), F.col("ord").cast("string")))))
 
 
 def ordered(violations: DataFrame) -> DataFrame:
@@ -168,26 +212,22 @@ def ordered(violations: DataFrame) -> DataFrame:
 
 
 def validate_taxonomy(raw: DataFrame) -> DataFrame:
-    """V2: a taxonomy document ``{domains:[...]}`` as raw JSON text in column
-    ``raw``: every domain and every category checked against its rules;
-    paths are ``domains.<i>`` and ``domains.<i>.categories.<j>``."""
-    v = raw.select(F.try_parse_json("raw").alias("v"))
-    doms = v.select(F.posexplode(F.try_variant_get("v", "$.domains", "array<variant>")).alias("i", "d"))
-    d_json = doms.select(F.col("i").cast("bigint").alias("ord"), F.to_json("d").alias("raw"))
-    d_viol = validate_json(d_json, "ord", "raw", domain_schema()).select(
-        "ord", F.concat(F.lit("domains."), F.col("ord").cast("string"),
-                        F.when(F.col("path") != "", F.concat(F.lit("."), F.col("path"))).otherwise(F.lit("")))
-        .alias("path"), "rule")
+    """V2: a taxonomy document ``{domains:[...]}`` as JSON text in column
+    ``raw``: the envelope (``ord`` -1), every domain and every category
+    against its rules; paths are ``domains.<i>`` and
+    ``domains.<i>.categories.<j>``."""
+    top = validate_json(raw.select(F.lit(-1).cast("bigint").alias("ord"), "raw"), "ord", "raw",
+                        envelope_schema("domains"))
+    doms = _items(raw, "domains")
+    domain = F.concat(F.lit("domains."), F.col("i").cast("string"))
+    d_viol = validate_json(doms.select("i", F.to_json("d").alias("raw")), ["i"], "raw", domain_schema())
     cats = doms.select("i", F.posexplode(F.try_variant_get("d", "$.categories", "array<variant>")).alias("j", "c"))
-    c_json = cats.select("i", "j", F.to_json("c").alias("raw"))
-    c_viol = validate_json(c_json.withColumn("ord", F.col("i") * 100000 + F.col("j")), "ord", "raw",
-                           category_schema())
-    c_viol = c_viol.join(c_json.select((F.col("i") * 100000 + F.col("j")).alias("ord"), "i", "j"), "ord").select(
-        F.col("i").cast("bigint").alias("ord"),
-        F.concat(F.lit("domains."), F.col("i").cast("string"), F.lit(".categories."), F.col("j").cast("string"),
-                 F.when(F.col("path") != "", F.concat(F.lit("."), F.col("path"))).otherwise(F.lit("")))
-        .alias("path"), "rule")
-    return d_viol.unionByName(c_viol)
+    c_viol = validate_json(cats.select("i", "j", F.to_json("c").alias("raw")), ["i", "j"], "raw", category_schema())
+    below = [d_viol.select(F.col("i").cast("bigint").alias("ord"), _below(domain).alias("path"), "rule", "value"),
+             c_viol.select(F.col("i").cast("bigint").alias("ord"),
+                           _below(F.concat(domain, F.lit(".categories."), F.col("j").cast("string"))).alias("path"),
+                           "rule", "value")]
+    return top.unionByName(below[0]).unionByName(below[1])
 
 
 def duplicate_ids(df: DataFrame) -> DataFrame:
@@ -201,7 +241,7 @@ def unknown_categories(df: DataFrame, taxonomy: DataFrame) -> DataFrame:
     (duplicates kept)."""
     occ = (df.select("ord", "id", F.posexplode_outer("categories").alias("pos", "category_id"))
            .filter(F.col("category_id").isNotNull()))
-    tax = F.broadcast(taxonomy.select("category_id").distinct())
+    tax = checked_broadcast(taxonomy.select("category_id").distinct())
     return occ.join(tax, "category_id", "left_anti").select("ord", "id", "pos", "category_id")
 
 
@@ -217,6 +257,9 @@ def verdict(schema_violations: DataFrame, dup_ids: DataFrame, unknown: DataFrame
                                                               F.lit("unknown_categories").alias("check"), "errors"),
     ]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    total = u.agg(F.count_if(F.col("errors") > 0).alias("errors")).select(
-        F.lit(0).alias("check_ord"), F.lit("passed").alias("check"), "errors")
-    return u.unionByName(total).withColumn("passed", F.col("errors") == 0)
+    # each check's row also counts into the total, so no check runs twice
+    failed = F.struct(F.lit(0).alias("check_ord"), F.lit("passed").alias("check"),
+                      (F.col("errors") > 0).cast("bigint").alias("errors"))
+    rows = u.select(F.explode(F.array(F.struct("check_ord", "check", "errors"), failed)).alias("r")).select("r.*")
+    return rows.groupBy("check_ord", "check").agg(F.sum("errors").alias("errors")).withColumn(
+        "passed", F.col("errors") == 0)

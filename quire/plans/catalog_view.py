@@ -50,10 +50,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def catalog_view(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame:
-    """One catalog entry per document, in ``doc_id`` order (``ord``)."""
+def catalog_view(spark: SparkSession, sf_dir: str, rules=None, reviewed: bool = False) -> DataFrame:
+    """One catalog entry per document, in ``doc_id`` order (``ord``).
+    ``reviewed`` joins ``labels``; without it that column is left out (an
+    outer join is planned even where nothing reads it)."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
-    labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+    if reviewed:
+        labels = read(spark, sf_dir, "labels").select("doc_id", "quality")
+        docs = docs.join(labels, "doc_id", "left")
     d = F.col("doc_id")
     year = (F.lit(2017) + d % 10).cast("int")
     title = text.collapse_ws("text")
@@ -62,7 +66,7 @@ def catalog_view(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame:
     doi = F.when(d % 3 == 0, F.concat(
         F.lit("10.5555/"), F.when(d % 500 < 250, F.lit("DOC")).otherwise(F.lit("doc")),
         (d % 250).cast("string")))
-    base = docs.join(labels, "doc_id", "left").select(
+    base = docs.select(
         d.alias("ord"),
         F.format_string("cat-%d-%05d", year, d + 1).alias("id"),
         F.element_at(types, (d % 8 + 1).cast("int")).alias("type"),
@@ -88,7 +92,7 @@ def catalog_view(spark: SparkSession, sf_dir: str, rules=None) -> DataFrame:
             doi.alias("doi")).alias("external_ids"),
         F.nullif(F.col("n_chars") % 97, F.lit(0)).cast("bigint").alias("citation_count"),
         (F.col("n_chars") % 2 == 0).alias("open_access"),
-        (F.col("quality") == 1).alias("reviewed"),
+        *([(F.col("quality") == 1).alias("reviewed")] if reviewed else []),
         framework_mappings(d).alias("framework_mappings"),
     )
     rules_df = tagging.rules_frame(spark, DEMO_RULES if rules is None else rules)

@@ -16,7 +16,8 @@ from quire.operators import analytics, curate, enrich, export, ingest, linkage,
 from quire.functions import text as tx
 from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
-from quire.sources import dims
+from quire.plans import payloads as pl
+from quire.sources import dims, landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -67,7 +68,7 @@ SELECT count(*) AS total_entries,
        CAST(min(year) AS VARCHAR) || '-' || CAST(max(year) AS VARCHAR) AS year_range
 FROM catalog""", cv.taxonomy_sql()))
 def q_catalog_stats(spark, sf_dir):
-    return analytics.catalog_stats(cv.catalog_view(spark, sf_dir), dims.taxonomy(spark))
+    return analytics.catalog_stats(cv.catalog_view(spark, sf_dir, reviewed=True), dims.taxonomy(spark))
 
 
 # ------------------------------------------------------------------------ A8
@@ -170,7 +171,7 @@ def q_domain_occurrences(spark, sf_dir):
 @query("facet_filtered", with_catalog("""
 SELECT id, year, type FROM catalog WHERE type = 'paper' AND reviewed = true"""))
 def q_facet_filtered(spark, sf_dir):
-    return analytics.facet_filter(cv.catalog_view(spark, sf_dir), "paper", "all", "true").select(
+    return analytics.facet_filter(cv.catalog_view(spark, sf_dir, reviewed=True), "paper", "all", "true").select(
         "id", "year", "type")
 
 
@@ -179,7 +180,7 @@ def q_facet_filtered(spark, sf_dir):
 @query("lookup_by_id", with_catalog("""
 SELECT id, title, year FROM catalog WHERE id = 'cat-2024-00008'"""))
 def q_lookup_by_id(spark, sf_dir):
-    return analytics.lookup(cv.catalog_view(spark, sf_dir), "cat-2024-00008").select("id", "title", "year")
+    return analytics.lookup(cv.catalog_view(spark, sf_dir), "cat-2024-00008", ord_=7).select("id", "title", "year")
 
 
 # ------------------------------------------------------- curate
@@ -258,7 +259,7 @@ def q_similar_document_counts(spark, sf_dir):
 
 
 _PAGE_SQL = f"""
-pt AS (SELECT page_id AS rid, {cv.normalize_sql("regexp_extract(html, '<title>(.*?)</title>', 1)")} AS norm FROM pages),
+pt AS (SELECT page_id AS rid, {cv.normalize_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")} AS norm FROM pages),
 pw AS (SELECT rid, norm, {cv.words_sql('norm')} AS words FROM pt),
 conflicts AS (
   SELECT a.rid AS l, b.rid AS r FROM pw a JOIN pw b ON a.rid < b.rid
@@ -282,7 +283,7 @@ SELECT p.rid AS page_id, list_contains(w.kept, p.rid) AS kept
 FROM pw p, (SELECT kept FROM walk WHERE i = (SELECT max(i) FROM ordered)) w""")
 def q_page_title_keep_first(spark, sf_dir):
     pages = cv.read(spark, sf_dir, "pages").select(
-        F.col("page_id").alias("rid"), F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+        F.col("page_id").alias("rid"), F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"))
     rows = linkage.title_keys(pages)
     keys = rows.select("rid", F.lit("title").alias("kind"), F.col("norm").alias("key"))
     return linkage.greedy_keep_first(rows.select("rid", "words"), keys).select(
@@ -357,12 +358,12 @@ def q_year_floor(spark, sf_dir):
 
 
 _PAGE_FIELDS_SQL = f"""
-pf AS (SELECT page_id, url, html, regexp_extract(html, '<title>(.*?)</title>', 1) AS raw_title FROM pages)"""
+pf AS (SELECT page_id, url, html, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS raw_title FROM pages)"""
 
 
 def _page_fields(spark, sf_dir):
     p = cv.read(spark, sf_dir, "pages")
-    return p.select("page_id", "url", "html", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("raw_title"))
+    return p.select("page_id", "url", "html", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("raw_title"))
 
 
 @query("keep_first_fallback_key", f"""WITH {_PAGE_FIELDS_SQL.strip()},
@@ -449,32 +450,55 @@ ENTRY_FIELDS = ["id", "type", "title", "authors", "year", "month", "venue", "abs
 
 
 def catalog_json(spark, sf_dir):
-    """The catalog view as raw JSON records, with seeded faults: an empty
-    title (ord % 110 = 0), an unknown key (ord % 90 = 0), a year written as
-    2019.0 (ord % 50 = 0, still an integer) or as true (ord % 70 = 0)."""
-    c = cv.catalog_view(spark, sf_dir)
-    o = F.col("ord")
-    fields = [F.when(o % 110 == 0, F.lit("")).otherwise(F.col("title")).alias("title") if f == "title"
-              else F.col(f) for f in ENTRY_FIELDS]
-    j = F.to_json(F.struct(*fields, F.when(o % 90 == 0, F.lit(1)).alias("extra")))
-    j = F.when(o % 70 == 0, F.regexp_replace(j, ',"year":([0-9]+)', ',"year":true')) \
-        .when(o % 50 == 0, F.regexp_replace(j, ',"year":([0-9]+)', ',"year":$1.0')).otherwise(j)
+    """The catalog view as raw JSON records, with seeded faults of every rule
+    kind (by ``ord``): an empty title, an unknown key, a year written as
+    2019.0 (still an integer) or as true, a number as type, a fractional year
+    below the first one, month 13, a misspelt id, a negative fractional count,
+    an unknown external id, authors that are no strings, no url."""
+    c = cv.catalog_view(spark, sf_dir, reviewed=True)
+    o, r = F.col("ord"), F.col("ord") % 40
+    own = {"title": F.when(o % 110 == 0, F.lit("")).otherwise(F.col("title")),
+           "month": F.when(r == 3, F.lit(13)).otherwise(F.col("month")),
+           "id": F.when(r == 4, F.concat(F.lit("x"), F.col("id"))).otherwise(F.col("id")),
+           "citation_count": F.when(r != 5, F.col("citation_count")),
+           "url": F.when(r != 8, F.col("url"))}
+    j = F.to_json(F.struct(*[own.get(f, F.col(f)).alias(f) for f in ENTRY_FIELDS],
+                           F.when(o % 90 == 0, F.lit(1)).alias("extra")))
+    ids = F.regexp_replace(F.regexp_replace(j, r'"external_ids":\{', r'"external_ids":{"isbn":"1",'), ',}', '}')
+    j = (F.when(o % 70 == 0, F.regexp_replace(j, ',"year":([0-9]+)', ',"year":true'))
+         .when(o % 50 == 0, F.regexp_replace(j, ',"year":([0-9]+)', ',"year":$1.0'))
+         .when(r == 1, F.regexp_replace(j, ',"type":"[a-z]+"', ',"type":5'))
+         .when(r == 2, F.regexp_replace(j, ',"year":([0-9]+)', ',"year":2016.5'))
+         .when(r == 5, F.regexp_replace(j, ',"open_access":', ',"citation_count":-1.5,"open_access":'))
+         .when(r == 6, ids)
+         .when(r == 7, F.regexp_replace(j, r',"authors":\[[^\]]*\]', ',"authors":["A",2,false]')).otherwise(j))
     return c.select("ord", "id", "categories", j.alias("raw"))
 
 
 _SCHEMA_VIOLATIONS_SQL = """
+faults AS (SELECT *, ord % 40 AS r FROM catalog),
 violations AS (
-  SELECT ord, 'reviewed' AS path, 'required' AS rule FROM catalog WHERE reviewed IS NULL
-  UNION ALL SELECT ord, 'categories', 'minItems' FROM catalog WHERE len(categories) = 0
-  UNION ALL SELECT ord, 'year', 'type' FROM catalog WHERE ord % 70 = 0
-  UNION ALL SELECT ord, '', 'additionalProperties' FROM catalog WHERE ord % 90 = 0
-  UNION ALL SELECT ord, 'title', 'minLength' FROM catalog WHERE ord % 110 = 0),
+  SELECT ord, 'reviewed' AS path, 'required' AS rule, CAST(NULL AS VARCHAR) AS value FROM faults WHERE reviewed IS NULL
+  UNION ALL SELECT ord, 'categories', 'minItems', '[]' FROM faults WHERE len(categories) = 0
+  UNION ALL SELECT ord, 'year', 'type', 'true' FROM faults WHERE ord % 70 = 0
+  UNION ALL SELECT ord, '', 'additionalProperties', 'extra' FROM faults WHERE ord % 90 = 0
+  UNION ALL SELECT ord, 'title', 'minLength', '""' FROM faults WHERE ord % 110 = 0
+  UNION ALL SELECT ord, 'type', unnest(['type', 'enum']), '5' FROM faults WHERE r = 1
+  UNION ALL SELECT ord, 'year', unnest(['type', 'minimum']), '2016.5' FROM faults WHERE r = 2
+  UNION ALL SELECT ord, 'month', 'maximum', '13' FROM faults WHERE r = 3
+  UNION ALL SELECT ord, 'id', 'pattern', '"' || CASE WHEN r = 4 THEN 'x' ELSE '' END || id || '"' FROM faults
+            WHERE r = 4 OR ord >= 99999
+  UNION ALL SELECT ord, 'citation_count', unnest(['type', 'minimum']), '-1.5' FROM faults WHERE r = 5
+  UNION ALL SELECT ord, 'external_ids', 'additionalProperties', 'isbn' FROM faults WHERE r = 6
+  UNION ALL SELECT ord, 'authors.1', 'type', '2' FROM faults WHERE r = 7
+  UNION ALL SELECT ord, 'authors.2', 'type', 'false' FROM faults WHERE r = 7
+  UNION ALL SELECT ord, 'url', 'required', NULL FROM faults WHERE r = 8),
 unknown AS (
   SELECT o.ord, o.category_id FROM (SELECT ord, unnest(categories) AS category_id FROM catalog) o
   WHERE o.category_id NOT IN (SELECT category_id FROM taxonomy))"""
 
 
-@query("schema_violations", with_catalog("SELECT ord, path, rule FROM violations",
+@query("schema_violations", with_catalog("SELECT ord, path, rule, value FROM violations",
                                          cv.taxonomy_sql(), _SCHEMA_VIOLATIONS_SQL.strip()))
 def q_schema_violations(spark, sf_dir):
     return quality.validate_json(catalog_json(spark, sf_dir), "ord", "raw", quality.entry_schema("cat"))
@@ -645,7 +669,66 @@ SELECT event_id AS ord, path, rule FROM (
     AND CAST(json_extract(props, '$.k') AS DOUBLE) < 0)""")
 def q_props_violations(spark, sf_dir):
     ev = cv.read(spark, sf_dir, "events").select("event_id", "props")
-    return quality.validate_json(ev, "event_id", "props", PROPS_SCHEMA)
+    return quality.validate_json(ev, "event_id", "props", PROPS_SCHEMA).drop("value")
+
+
+# ---------------------------- landed payloads
+
+_LANDED_COLUMNS = ["query_ord", "pos", "title", "array_to_string(authors, '|') AS authors", "year", "month", "abstract",
+                   "url", "pdf_url", "doi", "arxiv_id", "semantic_scholar_id", "citation_count", "open_access", "venue"]
+
+
+def _landed_sql(cte: str) -> str:
+    return f"WITH {pl.PAYLOADS_SQL.strip()}\nSELECT {', '.join(_LANDED_COLUMNS)} FROM {cte}"
+
+
+def _landed(parsed):
+    return parsed.withColumn("authors", F.array_join("authors", "|")).drop("arxiv_categories")
+
+
+@query("landed_arxiv", _landed_sql("pa"))
+def q_landed_arxiv(spark, sf_dir):
+    return _landed(landed.parse_arxiv_atom(pl.arxiv(spark, sf_dir)))
+
+
+@query("landed_semantic_scholar", _landed_sql("ps"))
+def q_landed_semantic_scholar(spark, sf_dir):
+    return _landed(landed.parse_semantic_scholar(pl.semantic_scholar(spark, sf_dir)))
+
+
+@query("landed_crossref", _landed_sql("pc"))
+def q_landed_crossref(spark, sf_dir):
+    return _landed(landed.parse_crossref(pl.crossref(spark, sf_dir)))
+
+
+@query("landed_candidates", f"""WITH {pl.PAYLOADS_SQL.strip()},
+{pl.LANDED_SQL.strip()}
+SELECT source, source_ord, pos, title, year, month, url, doi FROM cand""")
+def q_landed_candidates(spark, sf_dir):
+    c = landed.ingest_payloads(pl.all_sources(spark, sf_dir), bt.AS_OF)
+    return c.select("source", "source_ord", "pos", "title", "year", "month", "url", "doi")
+
+
+@query("landed_curate", with_catalog("""
+SELECT printf('qc-%d-%05d', 2025, s.num) AS id, s.rid, s.source AS source_api, s.url,
+       array_to_string(s.categories, ',') AS categories, s.year, nullif(s.doi, '') AS doi
+FROM status s WHERE s.status = 'added'""", pl.PAYLOADS_SQL.strip(), pl.LANDED_SQL.strip(), bt.CURATE_SQL.strip()))
+def q_landed_curate(spark, sf_dir):
+    cands = landed.ingest_payloads(pl.all_sources(spark, sf_dir), bt.AS_OF)
+    st = curate.curate(cands, bt.catalog_part(spark, sf_dir), bt.demo_rules(spark), bt.PARAMS)
+    e = curate.to_entries(st.filter(F.col("status") == "added"), bt.PARAMS)
+    return e.select("id", "rid", "source_api", "url", F.array_join("categories", ",").alias("categories"), "year", "doi")
+
+
+@query("doi_by_title_results", with_catalog("""
+SELECT ord, CASE WHEN ord % 3 <> 0 AND ord % 4 <= 1 THEN '10.8888/a' || CAST(ord AS VARCHAR)
+                 ELSE '10.8888/b' || CAST(ord AS VARCHAR) END AS doi_c
+FROM (SELECT *, len(WORDS) AS n FROM catalog)
+WHERE n > 0 AND (ord % 3 <> 0 AND ord % 4 <= 1 OR ord % 5 <= 1 OR ord % 3 <= 1)""".replace(
+    "WORDS", cv.words_sql(cv.normalize_sql("title")))))
+def q_doi_by_title_results(spark, sf_dir):
+    entries = cv.catalog_view(spark, sf_dir)
+    return enrich.doi_by_title_results(entries, landed.parse_crossref_lookup(pl.title_searches(spark, sf_dir, entries)))
 
 
 FLAGSHIP = "curate_new_entries"

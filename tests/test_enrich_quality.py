@@ -92,10 +92,40 @@ def test_schema_faults(spark):
     assert got == [(0, "year", "type"), (1, "type", "enum"), (2, "id", "pattern"), (3, "title", "minLength"),
                    (4, "authors", "minItems"), (5, "month", "maximum"), (6, "", "additionalProperties"),
                    (7, "external_ids", "additionalProperties"), (8, "framework_mappings", "additionalProperties"),
-                   (9, "reviewed", "required"), (10, "citation_count", "minimum"), (11, "authors", "items.type"),
+                   (9, "reviewed", "required"), (10, "citation_count", "minimum"), (11, "authors.1", "type"),
                    (12, "", "parse")]
 
 
+def test_rules_are_independent_and_items_have_places(spark):
+    recs = [dict(GOOD, type=5), dict(GOOD, year=2016.5), dict(GOOD, citation_count=-1.5),
+            dict(GOOD, authors=[1, 2, "x"]), dict(GOOD, external_ids={"b": 1, "a": 2, "doi": 7}),
+            dict(GOOD, categories="survey"), [1]]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(recs)], "ord bigint, raw string")
+    got = sorted((r.ord, r.path, r.rule, r.value) for r in
+                 quality.validate_json(df, "ord", "raw", quality.entry_schema("qc")).collect())
+    assert got == [(0, "type", "enum", "5"), (0, "type", "type", "5"), (1, "year", "minimum", "2016.5"),
+                   (1, "year", "type", "2016.5"), (2, "citation_count", "minimum", "-1.5"),
+                   (2, "citation_count", "type", "-1.5"), (3, "authors.0", "type", "1"), (3, "authors.1", "type", "2"),
+                   (4, "external_ids", "additionalProperties", "a,b"), (4, "external_ids.doi", "type", "7"),
+                   (5, "categories", "type", '"survey"'), (6, "", "type", "[1]")]
+
+
+def test_documents_without_their_list_are_reported(spark):
+    def check(fn, doc):
+        raw = spark.createDataFrame([(doc if isinstance(doc, str) else json.dumps(doc),)], "raw string")
+        return sorted((r.ord, r.path, r.rule) for r in fn(raw).collect())
+
+    tax, cat = quality.validate_taxonomy, quality.validate_catalog
+    assert check(tax, {}) == [(-1, "domains", "required")]
+    assert check(tax, {"domains": [], "x": 1}) == [(-1, "", "additionalProperties")]
+    assert check(tax, {"domains": "no"}) == [(-1, "domains", "type")]
+    assert check(tax, "{") == [(-1, "", "parse")]
+    assert check(cat, {}) == [(-1, "entries", "required")]
+    assert check(cat, {"entries": [GOOD, dict(GOOD, id="?")]}) == [(1, "entries.1.id", "pattern")]
+    many = {"domains": [{"id": "d", "label": "D", "categories": [{"id": "c", "label": 1}]}] * 3}
+    assert [r[1] for r in check(tax, many)] == [f"domains.{i}.categories.0.label" for i in range(3)]
+
+
 def test_duplicate_ids_and_unknown_categories(spark):
     df = spark.createDataFrame([(0, "a", ["survey", "nope", "nope"]), (1, "a", ["book"])],
                                "ord bigint, id string, categories array<string>")

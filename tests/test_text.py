@@ -80,11 +80,10 @@ def test_authors_short_and_labels(spark):
     assert r["ym"] == "2024-03"
 
 
-def test_large_rule_sets_use_the_automaton_with_same_answers(spark, monkeypatch):
-    texts = [("a jailbreak via adversarial perturbation",), ("red team on prompt injection",), ("nothing here",),
-             (None,)]
-    df = spark.createDataFrame(texts, "t string")
-    small = [r["categories"] for r in tagging.tag(df, tagging.rules_frame(spark), F.lower("t")).collect()]
-    monkeypatch.setattr(tagging, "EXPR_MAX_KEYWORDS", 10)
-    big = [r["categories"] for r in tagging.tag(df, tagging.rules_frame(spark), F.lower("t")).collect()]
-    assert small[:3] == big[:3] and big[3] == []
+def test_a_category_split_over_the_rule_table_is_listed_once_at_any_size(spark):
+    rules = [("a", ["foo"]), ("b", ["bar"]), ("a", ["baz"])]
+    many = rules + [(f"c{i}", [f"never{i}x{j}" for j in range(10)]) for i in range(40)]
+    df = spark.createDataFrame([("foo bar baz",), ("baz",), (None,)], "t string")
+    for r in (rules, many):
+        got = [x["categories"] for x in tagging.tag(df, tagging.rules_frame(spark, r), F.lower("t")).collect()]
+        assert got[:2] == [["a", "b"], ["a"]]
