@@ -2,17 +2,19 @@
 page (W7).
 
 The upstream site runs an in-browser fuzzy index; here the same fields,
-weights and 0.35 cut-off drive a Spark plan over an inverted index:
-
-* postings ``(ord, field, term)``: distinct normalised words per field;
-* per query term q and vocabulary term t: ``d = 0`` if t contains q, else
-  ``least(1, levenshtein(q, t) / len(q))``. Query terms are a handful of
-  literals, so this is a projection over the *distinct vocabulary*, not a
-  join with rows;
-* postings join the (size-checked, broadcast) matching terms; per (entry,
-  field, q) the best d; per field ``d_f = mean over q`` (1 for a q with no
-  match); a field hits when ``d_f <= 0.35``; score = sum of
+weights and 0.35 cut-off drive a Spark plan:
+
+* per query term q and word t of a field: ``d = 0`` if t contains q, else
+  ``least(1, levenshtein(q, t) / len(q))``; query terms are a handful of
+  literals, so this is an expression over a word, never a join of rows;
+* per (entry, field, q) the best d; per field ``d_f = mean over q`` (1 for a
+  q without a match); a field hits when ``d_f <= 0.35``; score = sum of
   ``w_f * (1 - d_f)`` over hit fields.
+
+``search`` scans the catalog once and shuffles nothing but hits. For many
+searches of one catalog, ``write_index`` stores its postings ``(term, ord,
+field)`` sorted by term, and ``search_index`` works from them: distances on
+the distinct terms only, then the postings of the matching ones.
 """
 
 from __future__ import annotations
@@ -45,49 +47,66 @@ def field_text(c: Column, is_array: bool) -> Column:
     return F.array_join(c, " ") if is_array else c
 
 
-def postings(df: DataFrame, fields=None) -> DataFrame:
-    """(ord, field, term) for every distinct normalised word of every field."""
+def field_words(df: DataFrame, fields=None) -> DataFrame:
+    """(ord, field, terms): the distinct normalised words of every field."""
     fields = fields or [(f, f in ("authors", "categories", "tags")) for f, _ in fixed.SEARCH_WEIGHTS]
     parts = [F.struct(F.lit(f).alias("field"),
                       text.word_set(F.coalesce(field_text(F.col(f), arr), F.lit(""))).alias("terms"))
              for f, arr in fields]
-    per = df.select("ord", F.explode(F.array(*parts)).alias("p"))
-    return per.select("ord", F.col("p.field").alias("field"), F.explode("p.terms").alias("term"))
+    return df.select("ord", F.explode(F.array(*parts)).alias("p")).select("ord", "p.field", "p.terms")
+
+
+def distance(term: Column, q: str) -> Column:
+    """0 for a term that contains ``q``, else the relative edit distance, 1
+    at most (the edit distance stops counting at the length of ``q``)."""
+    lev = F.levenshtein(term, F.lit(q), len(q) - 1)
+    return (F.when(term.contains(F.lit(q)), F.lit(0.0)).when(lev < 0, F.lit(1.0))
+            .otherwise(lev.cast("double") / F.lit(float(len(q)))))
 
 
-def term_matches(vocab: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, q, d) for vocabulary terms with ``d < 1`` for some query term."""
-    cols = []
-    for q in terms:
-        lev = F.levenshtein(F.col("term"), F.lit(q))
-        d = F.when(F.col("term").contains(q), F.lit(0.0)).otherwise(
-            F.least(F.lit(1.0), lev.cast("double") / F.lit(float(len(q)))))
-        cols.append(F.struct(F.lit(q).alias("q"), d.alias("d")))
-    m = vocab.select("term", F.explode(F.array(*cols)).alias("m"))
-    return m.select("term", F.col("m.q").alias("q"), F.col("m.d").alias("d")).filter(F.col("d") < 1.0)
+def _scores(per_field: DataFrame, weights, threshold: float) -> DataFrame:
+    """(ord, score) from (ord, field, d_f)."""
+    w = F.create_map(*[x for f, wt in weights for x in (F.lit(f), F.lit(float(wt)))])
+    return per_field.filter(F.col("d_f") <= threshold).groupBy("ord").agg(
+        F.round(F.sum(w[F.col("field")] * (F.lit(1.0) - F.col("d_f"))), 6).alias("score"))
 
 
-def search(df: DataFrame, q: str, posts: DataFrame | None = None,
-           weights=fixed.SEARCH_WEIGHTS, threshold: float = fixed.SEARCH_THRESHOLD) -> DataFrame:
+def search(df: DataFrame, q: str, weights=fixed.SEARCH_WEIGHTS, threshold: float = fixed.SEARCH_THRESHOLD) -> DataFrame:
     """Q1: ``(ord, score)`` for every entry with at least one field hit."""
     terms = query_terms(q)
-    spark = df.sparkSession
     if not terms:
-        return spark.createDataFrame([], "ord bigint, score double")
-    posts = posts if posts is not None else postings(df)
-    vocab = posts.select("term").distinct()
-    # matching terms: a subset of the vocabulary; AQE broadcasts it at
-    # runtime when its measured size is small
-    matches = term_matches(vocab, terms)
-    nq = float(len(terms))
-    best = (posts.join(matches, "term")
-            .groupBy("ord", "field", "q").agg(F.min("d").alias("d")))
-    per_field = best.groupBy("ord", "field").agg(
-        ((F.sum("d") + F.lit(nq) - F.count(F.lit(1)).cast("double")) / F.lit(nq)).alias("d_f"))
-    w = F.create_map(*[x for f, wt in weights for x in (F.lit(f), F.lit(float(wt)))])
-    hits = per_field.filter(F.col("d_f") <= threshold)
-    return hits.groupBy("ord").agg(
-        F.round(F.sum(w[F.col("field")] * (F.lit(1.0) - F.col("d_f"))), 6).alias("score"))
+        return df.sparkSession.createDataFrame([], "ord bigint, score double")
+
+    def nearest(q: str) -> Column:
+        return F.coalesce(F.array_min(F.transform("terms", lambda t: distance(t, q))), F.lit(1.0))
+
+    best = [nearest(q) for q in terms]
+    d_f = sum(best[1:], best[0]) / F.lit(float(len(terms)))
+    return _scores(field_words(df).select("ord", "field", d_f.alias("d_f")), weights, threshold)
+
+
+def write_index(df: DataFrame, path: str) -> DataFrame:
+    """The catalog's postings ``(term, ord, field)``, sorted by term so that
+    a search reads the files' parts that hold its terms."""
+    posts = field_words(df).select("ord", "field", F.explode("terms").alias("term"))
+    posts.repartitionByRange("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def search_index(posts: DataFrame, q: str, weights=fixed.SEARCH_WEIGHTS,
+                 threshold: float = fixed.SEARCH_THRESHOLD) -> DataFrame:
+    """Q1 over stored postings; the same rows as ``search``."""
+    terms = query_terms(q)
+    if not terms:
+        return posts.sparkSession.createDataFrame([], "ord bigint, score double")
+    near = F.array(*[F.struct(F.lit(q).alias("q"), distance(F.col("term"), q).alias("d")) for q in terms])
+    # the matching terms: a subset of the vocabulary; AQE broadcasts it when its measured size is small
+    matches = (posts.select("term").distinct().select("term", F.explode(near).alias("m"))
+               .select("term", "m.q", "m.d").filter(F.col("d") < 1.0))
+    best = posts.join(matches, "term").groupBy("ord", "field", "q").agg(F.min("d").alias("d"))
+    n = F.lit(float(len(terms)))
+    per_field = best.groupBy("ord", "field").agg(((F.sum("d") + n - F.count(F.lit(1))) / n).alias("d_f"))
+    return _scores(per_field, weights, threshold)
 
 
 def search_or_browse(df: DataFrame, q: str, type_: str = "all", year="all", reviewed="all",

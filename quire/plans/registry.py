@@ -7,6 +7,7 @@ returns the same column names. Register with ``@query(name, sql)``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,7 @@ from quire.functions import text as tx
 from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
 from quire.plans import payloads as pl
+from quire.session import ensure_checkpoint_dir
 from quire.sources import dims, landed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -573,6 +575,12 @@ def q_search_hits(spark, sf_dir):
     return search.search(cv.catalog_view(spark, sf_dir), SEARCH_QUERY)
 
 
+@query("search_index_hits", with_catalog("SELECT ord, score FROM hits", _search_sql(SEARCH_QUERY).strip()))
+def q_search_index_hits(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark)}/search-index-{uuid.uuid4().hex}"
+    return search.search_index(search.write_index(cv.catalog_view(spark, sf_dir), path), SEARCH_QUERY)
+
+
 @query("search_page", with_catalog("""
 SELECT h.ord, h.score, (SELECT count(*) FROM hits) AS total
 FROM hits h ORDER BY h.score DESC, h.ord LIMIT 50""", _search_sql(SEARCH_QUERY).strip()))

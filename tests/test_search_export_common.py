@@ -80,3 +80,16 @@ def test_salted_top_k_matches_window(spark):
     got = sorted((r.g, r["rank"], r.id) for r in salted_top_k(df, ["g"], order, 3, "id", salt_buckets=8).collect())
     w = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy(*order))).filter("rn <= 3")
     assert got == sorted((r.g, r.rn, r.id) for r in w.collect())
+
+
+def test_stored_index_finds_what_the_scan_finds(spark, tmp_dir):
+    rows = [(0, "Prompt injection", "defence of agents", ["A. Lee"], ["survey"], ["x"], "ACM"),
+            (1, "Promt injecton", None, [], [], None, None), (2, "Bird song", "no match", ["B"], ["c"], [], ""),
+            (3, None, "prompts and injections", None, None, None, None)]
+    df = spark.createDataFrame(rows, "ord long, title string, abstract string, authors array<string>, "
+                                     "categories array<string>, tags array<string>, venue string")
+    index = search.write_index(df, f"{tmp_dir}/index")
+    for q in ("prompt injection", "agents", "injection zzzz", "bird"):
+        want = sorted((r.ord, r.score) for r in search.search(df, q).collect())
+        assert want and sorted((r.ord, r.score) for r in search.search_index(index, q).collect()) == want
+    assert search.search_index(index, " . ").count() == 0
