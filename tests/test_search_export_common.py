@@ -89,7 +89,8 @@ def test_stored_index_finds_what_the_scan_finds(spark, tmp_dir):
     df = spark.createDataFrame(rows, "ord long, title string, abstract string, authors array<string>, "
                                      "categories array<string>, tags array<string>, venue string")
     index = search.write_index(df, f"{tmp_dir}/index")
-    for q in ("prompt injection", "agents", "injection zzzz", "bird"):
+    for q, hits in (("prompt injection", [0, 1, 3]), ("agents", [0]), ("injection zzzz", []), ("bird", [2])):
         want = sorted((r.ord, r.score) for r in search.search(df, q).collect())
-        assert want and sorted((r.ord, r.score) for r in search.search_index(index, q).collect()) == want
+        assert [o for o, _ in want] == hits
+        assert sorted((r.ord, r.score) for r in search.search_index(index, q).collect()) == want
     assert search.search_index(index, " . ").count() == 0
