@@ -18,8 +18,8 @@ from quire.functions import text as tx
 from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
 from quire.plans import payloads as pl
-from quire.session import ensure_checkpoint_dir
-from quire.sources import dims, landed
+from quire.session import cut, ensure_checkpoint_dir
+from quire.sources import dims, landed, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -739,4 +739,54 @@ def q_doi_by_title_results(spark, sf_dir):
     return enrich.doi_by_title_results(entries, landed.parse_crossref_lookup(pl.title_searches(spark, sf_dir, entries)))
 
 
+# ------------------------- sinks, read back through the shared folder (K1-K3, S4, U2), V3
+
+def _shared(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("candidate_files", f"""WITH {pl.PAYLOADS_SQL.strip()},
+{pl.LANDED_SQL.strip()}
+SELECT source, source_ord, pos, title, abstract, url, doi FROM cand""")
+def q_candidate_files(spark, sf_dir):
+    root = _shared(spark, "candidates")
+    sinks.write_candidates(landed.ingest_payloads(pl.all_sources(spark, sf_dir), bt.AS_OF), root)
+    back = landed.read_candidate_files(spark, {s: f"{root}/file={s}" for s in [*bt.SOURCES, "not-landed"]})
+    return back.select("source", "source_ord", "pos", "title", "abstract", "url", "doi")
+
+
+@query("catalog_parts", with_catalog("""
+SELECT ord, id, title FROM cat
+UNION ALL
+SELECT (SELECT max(ord) + 1 FROM cat) + num - (SELECT min(num) FROM status), printf('qc-%d-%05d', 2025, num), title
+FROM status WHERE status = 'added'""", bt.CANDIDATES_SQL.strip()))
+def q_catalog_parts(spark, sf_dir):
+    base, part = _shared(spark, "catalog"), _shared(spark, "catalog-part")
+    bt.catalog_part(spark, sf_dir).write.parquet(base)
+    catalog = sinks.read_parts(spark, base, [])
+    st = curate.curate(bt.candidates(spark, sf_dir), catalog, bt.demo_rules(spark), bt.PARAMS)
+    added = sinks.merge_append(catalog, curate.to_entries(st.filter(F.col("status") == "added"), bt.PARAMS), part)
+    return sinks.read_parts(spark, base, [part] if added else []).select("ord", "id", "title")
+
+
+@query("doi_updates", with_catalog("""
+SELECT c.ord, coalesce(r.new_doi, c.doi) AS doi, coalesce(r.new_doi, c.ext_doi) AS ext_doi, c.arxiv_id
+FROM catalog c LEFT JOIN result r ON r.ord = c.ord""", _BACKFILL_SQL.strip()))
+def q_doi_updates(spark, sf_dir):
+    path = _shared(spark, "doi-updates")
+    cat = cv.catalog_view(spark, sf_dir).select("ord", "id", "doi", "external_ids")
+    changes = sinks.apply_doi_updates(cat, cut(_backfill(spark, sf_dir).select("ord", "new_doi"), "found"), path)
+    out = cat if changes.isEmpty() else spark.read.parquet(path)
+    return out.select("ord", "doi", F.col("external_ids.doi").alias("ext_doi"),
+                      F.col("external_ids.arxiv_id").alias("arxiv_id"))
+
+
+@query("violation_order", with_catalog("""
+SELECT row_number() OVER (ORDER BY ord, path, rule) AS place, ord, path, rule FROM violations""",
+                                       cv.taxonomy_sql(), _SCHEMA_VIOLATIONS_SQL.strip()))
+def q_violation_order(spark, sf_dir):
+    v = quality.validate_json(catalog_json(spark, sf_dir), "ord", "raw", quality.entry_schema("cat"))
+    return quality.report_places(v).select("place", "ord", "path", "rule")
+
+
 FLAGSHIP = "curate_new_entries"
