@@ -10,9 +10,10 @@ Learning: trigram counts per language over a bounded sample of labelled rows
 the id; their whole texts). Only a table of ``BUCKETS`` counts per language
 reaches the driver, however large the sample.
 
-Most texts stay in one language. Where no stretch of words gains as much as
-one switch costs, the constant labelling is the Viterbi path, so the pass
-itself only runs for texts where some stretch does.
+Most texts stay in one language. Where no stretch of words gains as much in
+another language as one switch costs, the constant labelling is the Viterbi
+path, so the pass itself only runs for texts where some stretch does, many
+texts side by side.
 
 Defined cases: null text or text without a letter: ``und``, score 0, no
 spans; letters of a script no learned language uses: all languages compete;
@@ -25,7 +26,7 @@ from __future__ import annotations
 
 import bisect
 import re
-import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -69,13 +70,20 @@ def script_of(letters: str) -> str:
 
 
 def letters_of(word: str) -> str:
-    return word.lower() if word.isalpha() else "".join(ch for ch in word.lower() if ch.isalpha())
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def trigrams(letters: str) -> list[int]:
-    """Hash buckets of a word's character trigrams, its ends marked."""
-    w = f" {letters} "
-    return [zlib.crc32(w[i:i + 3].encode()) & (BUCKETS - 1) for i in range(len(w) - 2)]
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash buckets of the character trigrams around every letter of all
+    words (given as letters, none empty; a word's ends are blanks), where each
+    word's begin, and the words' code points."""
+    text = f" {' '.join(words)} ".lower()
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = c[:-2] * np.uint64(0x9E3779B97F4A7C15) + c[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) \
+        + c[2:] * np.uint64(0x165667B19E3779F9)
+    inner = c[1:-1] != 32
+    begins = np.nonzero(c[:-2][inner] == 32)[0]
+    return ((h[inner] >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64), begins, c[1:-1][inner]
 
 
 class Model:
@@ -89,85 +97,131 @@ class Model:
         letters = np.maximum(sum(scripts.values(), np.zeros(len(langs))), 1)
         self.masks = {s: n >= SCRIPT_SHARE * letters for s, n in scripts.items()}
 
-    def score(self, letters: str) -> np.ndarray:
-        """Per language; far below the rest where the script rules it out."""
-        s = self.table[trigrams(letters)].sum(axis=0)
-        mask = self.masks.get(script_of(letters))
-        if mask is not None and mask.any() and not mask.all():
-            s = np.where(mask, s, s.min() - 50.0 * len(letters))
-        return s
-
-
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label per row when each change of label costs ``penalty``."""
-    n, k = scores.shape
-    back = np.empty((n, k), np.int32)
-    v = scores[0].astype(np.float64)
-    stay = np.arange(k)
-    for t in range(1, n):
-        best = int(v.argmax())
-        moved = v[best] - penalty > v
-        back[t] = np.where(moved, best, stay)
-        v = np.where(moved, v[best] - penalty, v) + scores[t]
-    out = np.empty(n, np.int32)
-    out[-1] = int(v.argmax())
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (word, language) and numbers of letters of words given as
+        letters; far below the rest where the script rules a language out."""
+        buckets, begins, chars = trigrams(words)
+        scores = np.add.reduceat(self.table[buckets], begins, axis=0)
+        sizes = np.diff(np.append(begins, len(buckets)))
+        other = np.add.reduceat((chars >= 0x370).astype(np.int64), begins) > 0
+        for s, rows in [("latin", np.nonzero(~other)[0])] + [
+                (script_of(words[i]), np.array([i])) for i in np.nonzero(other)[0].tolist()]:
+            mask = self.masks.get(s)
+            if mask is not None and mask.any() and not mask.all():
+                low = scores[rows].min(axis=1, keepdims=True) - 50.0 * sizes[rows][:, None]
+                scores[rows] = np.where(mask[None, :], scores[rows], low)
+        return scores, sizes
+
+
+def viterbi(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """Best label per word of each text (words x languages) when each change
+    of label costs ``penalty``; texts advance side by side, shorter ones
+    drop out."""
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    lens = np.array([len(texts[i]) for i in order])
+    n, k = len(texts), texts[0].shape[1]
+    padded = np.zeros((lens[0], n, k), np.float32)
+    for j, i in enumerate(order):
+        padded[:lens[j], j] = texts[i]
+    best = np.zeros((lens[0], n), np.int32)
+    moved = np.zeros((lens[0], n, k), bool)
+    alive = np.searchsorted(-lens, -np.arange(1, lens[0] + 1), side="right")   # texts with more than t words
+    v = padded[0].astype(np.float64)
+    rows = np.arange(n)
+    for t in range(1, lens[0]):
+        d = alive[t]
+        top = v[:d].argmax(axis=1)
+        jump = v[rows[:d], top][:, None] - penalty
+        m = jump > v[:d]
+        best[t, :d], moved[t, :d] = top, m
+        v[:d] = np.where(m, jump, v[:d]) + padded[t, :d]
+    labels = np.zeros((lens[0], n), np.int32)
+    last = v.argmax(axis=1)
+    for t in range(lens[0] - 1, -1, -1):
+        d = alive[t]
+        labels[t, :d] = last[:d]
+        if t:
+            last[:d] = np.where(moved[t, rows[:d], last[:d]], best[t, :d], last[:d])
+    out: list = [None] * n
+    for j, i in enumerate(order):
+        out[i] = labels[:lens[j], j]
     return out
 
 
-def label_words(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """The Viterbi labels of the words of a text."""
-    best = int(scores.sum(axis=0).argmax())
-    if scores.shape[1] == 1:
-        return np.zeros(len(scores), np.int32)
-    others = scores.copy()
-    others[:, best] = -np.inf
-    # the most that any stretch of words gains by leaving the one language
-    c = np.concatenate([[0.0], np.cumsum(others.max(axis=1) - scores[:, best], dtype=np.float64)])
-    if (c - np.minimum.accumulate(c)).max() < penalty:
-        return np.full(len(scores), best, np.int32)
-    return viterbi(scores, penalty)
+SIDE_BY_SIDE = 400_000    # words, with padding, of texts that advance together
+
+
+def label_words(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
+    """The Viterbi labels of the words of each text."""
+    out: list = [None] * len(texts)
+    mixed = []
+    for i, scores in enumerate(texts):
+        best = int(scores.sum(axis=0).argmax())
+        # the most that a stretch of words gains in one other language: where that is less than
+        # a switch costs, no path with switches is better
+        c = np.zeros((len(scores) + 1, scores.shape[1]))
+        np.cumsum(scores - scores[:, best:best + 1], axis=0, dtype=np.float64, out=c[1:])
+        if (c - np.minimum.accumulate(c, axis=0)).max() < penalty:
+            out[i] = np.full(len(scores), best, np.int32)
+        else:
+            mixed.append(i)
+    mixed.sort(key=lambda i: len(texts[i]))
+    while mixed:
+        group = [mixed.pop()]      # the longest left, and as many as fit beside it
+        room = SIDE_BY_SIDE // len(texts[group[0]]) - 1
+        if room > 0:
+            group, mixed = group + mixed[-room:], mixed[:-room]
+        for i, labels in zip(group, viterbi([texts[i] for i in group], penalty)):
+            out[i] = labels
+    return out
 
 
 class _Words(dict):
-    """Word -> row in ``scores`` (row 0: no letters), filled as met."""
+    """Word -> row in ``scores`` and ``sizes``. New words are numbered when
+    met and scored together (``settle``)."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.rows, self.sizes = model, None, None
+        self.model = model
         self.start()
 
     def start(self) -> None:
         self.clear()
-        self.rows = np.zeros((CACHE_WORDS, len(self.model.langs)), np.float32)
+        self.n, self.new = 0, []
+        self.scores = np.zeros((CACHE_WORDS, len(self.model.langs)), np.float32)
         self.sizes = np.zeros(CACHE_WORDS, np.int64)
-        self.n = 1
 
     def __missing__(self, word: str) -> int:
-        letters = letters_of(word)
-        if not letters:
-            self[word] = 0
-            return 0
-        if self.n == len(self.rows):   # a single text with more words than the cache holds
-            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         at, self.n = self.n, self.n + 1
-        self.rows[at] = self.model.score(letters)
-        self.sizes[at] = len(letters)
+        self.new.append(word)
         if len(word) <= 64:
             self[word] = at
         return at
 
-    def label(self, text: str, penalty: float) -> tuple[np.ndarray, np.ndarray] | None:
-        """The labels of a text's words and their numbers of letters; None
-        if it has no letter."""
+    def settle(self) -> None:
+        while self.n > len(self.sizes):
+            self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        at = self.n - len(self.new)
+        letters = [letters_of(w) for w in self.new]
+        rows = np.array([at + i for i, x in enumerate(letters) if x], np.int64)
+        if len(rows):   # words without letters keep size 0 and equal scores
+            self.scores[rows], self.sizes[rows] = self.model.score([x for x in letters if x])
+        self.new = []
+
+    def label(self, texts: list[str], penalty: float) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Per text the labels of its words and their numbers of letters;
+        None if it has no letter."""
         if self.n > CACHE_WORDS // 2:
             self.start()
-        idx = np.array(list(map(self.__getitem__, text.split())), np.int64)
-        size = self.sizes[idx]
-        # words without letters score alike and change no label
-        return (label_words(self.rows[idx], penalty), size) if size.any() else None
+        found = [np.fromiter(map(self.__getitem__, t.split()), np.int64) for t in texts]
+        self.settle()
+        sizes = [self.sizes[idx] for idx in found]
+        lettered = [i for i, size in enumerate(sizes) if size.any()]
+        out: list = [None] * len(texts)
+        for i, labels in zip(lettered, label_words([self.scores[found[i]] for i in lettered], penalty)):
+            out[i] = (labels, sizes[i])
+        return out
 
 
 def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
@@ -185,25 +239,27 @@ def _spans(text: str, labels: np.ndarray, langs: list[str]) -> list[dict]:
 
 
 def _train_counts(langs: list[str]):
-    at = {lang: i for i, lang in enumerate(langs)}
-
     def run(batches):
         counts = np.zeros((BUCKETS, len(langs)), np.int64)
         scripts: dict[str, np.ndarray] = {}
-        known: dict[str, tuple] = {}
         for part, texts in text_rows(batches):
-            for text, lang in zip(texts, part.column(1).to_pylist()):
-                i = at[lang]
-                for word in text.split():
-                    got = known.get(word)
-                    if got is None:
-                        letters = letters_of(word)
-                        got = (np.array(trigrams(letters)), script_of(letters), len(letters)) if letters else ()
-                        if len(known) < CACHE_WORDS:
-                            known[word] = got
-                    if got:
-                        np.add.at(counts[:, i], got[0], 1)
-                        scripts.setdefault(got[1], np.zeros(len(langs), np.int64))[i] += got[2]
+            lang_of = part.column(1).to_pylist()
+            for i in set(lang_of):
+                at = langs.index(i)
+                words = Counter(w for t, lang in zip(texts, lang_of) if lang == i for w in t.split())
+                pairs = [(x, n) for x, n in ((letters_of(w), n) for w, n in words.items()) if x]
+                if not pairs:
+                    continue
+                times = np.array([n for _, n in pairs], np.int64)
+                buckets, begins, chars = trigrams([x for x, _ in pairs])
+                sizes = np.diff(np.append(begins, len(buckets)))
+                counts[:, at] += np.bincount(buckets, np.repeat(times, sizes), BUCKETS).astype(np.int64)
+                other = np.add.reduceat((chars >= 0x370).astype(np.int64), begins) > 0
+                tally = Counter({"latin": int((sizes * times)[~other].sum())})
+                for k in np.nonzero(other)[0].tolist():
+                    tally[script_of(pairs[k][0])] += int(sizes[k] * times[k])
+                for name, n in tally.items():
+                    scripts.setdefault(name, np.zeros(len(langs), np.int64))[at] += n
         b, l = np.nonzero(counts)
         rows = [(l, [""] * len(b), b, counts[b, l])]
         for s, n in scripts.items():
@@ -247,11 +303,11 @@ def detect(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENALTY
     def run(batches):
         words = _Words(model) if model else None
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for part, texts in text_rows(batches):
+        for part, texts in text_rows(batches, slice_rows=1024):
             preds, scores, spans = [], [], []
-            for text in texts:
+            labelled = words.label(texts, penalty) if words is not None else [None] * len(texts)
+            for text, got in zip(texts, labelled):
                 pred, score, runs = "und", 0.0, []
-                got = words.label(text, penalty) if words is not None else None
                 if got:
                     labels, size = got
                     per = np.bincount(labels, weights=size, minlength=len(model.langs))
@@ -275,10 +331,11 @@ def relabel(docs: DataFrame, model: Model | None, penalty: float = SWITCH_PENALT
     pass. Where there was nothing to learn from, ``lang`` stays as it is."""
     def run(batches):
         words = _Words(model) if model else None
-        for part, texts in text_rows(batches):
+        for part, texts in text_rows(batches, slice_rows=1024):
             preds, keep = [], []
-            for text, lang in zip(texts, part.column("lang").to_pylist()):
-                got = words.label(text, penalty) if words is not None else any(map(str.isalpha, text))
+            labelled = (words.label(texts, penalty) if words is not None
+                        else [any(map(str.isalpha, t)) for t in texts])
+            for got, lang in zip(labelled, part.column("lang").to_pylist()):
                 keep.append(bool(got))
                 preds.append(model.langs[int(np.bincount(got[0], weights=got[1]).argmax())] if words is not None and got else lang)
             out = part.set_column(part.schema.get_field_index("lang"), "lang", pa.array(preds, pa.string()))
