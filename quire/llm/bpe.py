@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import shuffle_partitions, text_rows
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 12_000_000
 ROW_SCHEMA = "block long, kind int, bucket int, doc_id long, n_words long, blob binary"
 OUT_SCHEMA = "doc_id long, ids binary, decoded binary"
 
@@ -56,6 +56,10 @@ def token_bytes(ranks: bytes) -> list[tuple[bytes, int]]:
     return [(base64.b64decode(a), int(b)) for a, b in (line.split() for line in ranks.splitlines() if line)]
 
 
+class Spaced(Exception):
+    """White space meets a space: a chunk does not stand alone."""
+
+
 class _Words(dict):
     """Numbers of a block's words by space-delimited chunk: chunk -> numbers
     as uint32 bytes. ``index`` numbers words by first occurrence."""
@@ -69,22 +73,32 @@ class _Words(dict):
         return array("I", [index.setdefault(w, len(index)) for w in self.find(text)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+            raise Spaced
         out = self.numbers(" " + chunk)
         if len(chunk) <= 64:
             self[chunk] = out
         return out
 
+    def text(self, text: str) -> bytes:
+        """Numbers of a text's words by position. A single space between two
+        other characters always begins a word, so chunks are looked up one by
+        one; where white space meets a space the whole text is split."""
+        first, *rest = text.split(" ")
+        if first and not first[-1].isspace():
+            try:
+                return self.numbers(first) + b"".join(map(self.__getitem__, rest))
+            except Spaced:
+                pass
+        return self.numbers(text)
+
 
 def _blocks(batches, pattern: str, n_buckets: int, with_docs: bool) -> Iterator[tuple]:
     """Per block of documents: (block id, words in bucket order, the buckets'
     sizes, documents as (doc_id, numbers in that order))."""
-    import re
-
     import regex
 
     find = regex.compile(pattern).findall
-    # where white space meets a space, a chunk does not stand alone
-    spaced = re.compile(r"\s | \s|^ | $").search
     words, docs, chars, k, partition = _Words(find), [], 0, 0, 0
 
     def block():
@@ -103,13 +117,7 @@ def _blocks(batches, pattern: str, n_buckets: int, with_docs: bool) -> Iterator[
                 yield block()
                 words, docs, chars, k = _Words(find), [], 0, k + 1
             chars += len(text) + 1
-            if not text:
-                numbers = b""
-            elif spaced(text):
-                numbers = words.numbers(text)
-            else:
-                first, *rest = text.split(" ")
-                numbers = words.numbers(first) + b"".join(map(words.__getitem__, rest))
+            numbers = words.text(text)
             docs.append((doc_id, numbers if with_docs else b""))
     if docs:
         yield block()
@@ -218,15 +226,14 @@ def _assemble(batches, ranks: bytes):
     """Rows by block, its word ids first, then its documents -> documents
     with ids and the bytes decoded from them."""
     table = sorted(token_bytes(ranks), key=lambda x: x[1])
-    size = table[-1][1] + 1
-    tok_len = np.zeros(size, np.int64)
+    tok_len = np.zeros(table[-1][1] + 1, np.int64)
     tok_len[[i for _, i in table]] = [len(b) for b, _ in table]
     tok_at = np.cumsum(tok_len) - tok_len
     tok_flat = np.frombuffer(b"".join(b for b, _ in table), np.uint8)
 
     block_now, parts, word_len, word_at, flat, mark_now = None, [], None, None, None, None
     for batch in batches:
-        out = ([], [], [])
+        out, size = ([], [], []), 0
         for block, kind, bucket, doc_id, n, blob in zip(*(batch.column(i).to_pylist() for i in range(6))):
             if block != block_now:
                 block_now, parts, word_len = block, [], None
@@ -246,9 +253,10 @@ def _assemble(batches, ranks: bytes):
             decoded = tok_flat[ragged(tok_at[ids], tok_len[ids])]
             for col, v in zip(out, (doc_id, ids.astype("<u4").tobytes(), decoded.tobytes())):
                 col.append(v)
-            if sum(map(len, out[1])) > 16_000_000:
+            size += len(out[1][-1])
+            if size > 16_000_000:
                 yield _result(out)
-                out = ([], [], [])
+                out, size = ([], [], []), 0
         if out[0]:
             yield _result(out)
 
