@@ -10,10 +10,10 @@ Learning: trigram counts per language over a bounded sample of labelled rows
 the id; their whole texts). Only a table of ``BUCKETS`` counts per language
 reaches the driver, however large the sample.
 
-Most texts stay in one language. Where no stretch of words gains as much in
-another language as one switch costs, the constant labelling is the Viterbi
-path, so the pass itself only runs for texts where some stretch does, many
-texts side by side.
+Most texts stay in one language. Where no stretch of words, each in the best
+other language for it, gains as much as one switch costs, the constant
+labelling is the Viterbi path, so the pass itself only runs for texts where
+some stretch does, many texts side by side.
 
 Defined cases: null text or text without a letter: ``und``, score 0, no
 spans; letters of a script no learned language uses: all languages compete;
@@ -157,11 +157,14 @@ def label_words(texts: list[np.ndarray], penalty: float) -> list[np.ndarray]:
     mixed = []
     for i, scores in enumerate(texts):
         best = int(scores.sum(axis=0).argmax())
-        # the most that a stretch of words gains in one other language: where that is less than
-        # a switch costs, no path with switches is better
-        c = np.zeros((len(scores) + 1, scores.shape[1]))
-        np.cumsum(scores - scores[:, best:best + 1], axis=0, dtype=np.float64, out=c[1:])
-        if (c - np.minimum.accumulate(c, axis=0)).max() < penalty:
+        # the most that a stretch of words gains by leaving the one language, each word for the
+        # best other: a path has a switch for every such stretch at least, so where that is less
+        # than a switch costs, no path with switches is better
+        others = scores.copy()
+        others[:, best] = -np.inf
+        c = np.zeros(len(scores) + 1)
+        np.cumsum(others.max(axis=1) - scores[:, best], dtype=np.float64, out=c[1:])
+        if scores.shape[1] == 1 or (c - np.minimum.accumulate(c)).max() < penalty:
             out[i] = np.full(len(scores), best, np.int32)
         else:
             mixed.append(i)

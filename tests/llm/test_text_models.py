@@ -217,6 +217,17 @@ def test_labels_have_the_best_path_s_score():
             assert abs(got - plain_viterbi(s, 2.5)) < 1e-3
 
 
+def test_two_languages_beat_a_third_that_is_in_neither_half():
+    s = np.array([[0, 10, -20], [0, -20, 10]], np.float32)
+    assert [x.tolist() for x in langid.label_words([s], 12)] == [[1, 2]]
+    # short texts whose best path seldom pays a switch
+    rnd = np.random.default_rng(8)
+    texts = [rnd.normal(0, 6, (rnd.integers(2, 6), 4)).astype(np.float32) for _ in range(400)]
+    for s, labels in zip(texts, langid.label_words(texts, 12)):
+        got = s[np.arange(len(s)), labels].sum() - 12 * (labels[1:] != labels[:-1]).sum()
+        assert abs(got - plain_viterbi(s, 12)) < 1e-3
+
+
 ENGLISH = "the quick brown fox jumps over the lazy dog and this is what they have been waiting for with great hope"
 GERMAN = "der schnelle braune fuchs springt ueber den faulen hund und das ist worauf sie schon lange gewartet haben"
 RUSSIAN = "быстрая лиса прыгает через ленивую собаку и это то чего они давно ждали"
