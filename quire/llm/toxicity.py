@@ -11,7 +11,11 @@ toxic texts of the sample; everything is then trained.
 
 Thresholds are calibrated per language: a word table learned from the same
 rows guesses a text's language from its words alone, and each language's
-threshold (on training rows kept out of gradient descent) becomes score 0.5.
+threshold becomes score 0.5. It has the fewest errors over all labelled rows
+to learn from that gradient descent did not use, however many there are:
+Spark scores them, and counts per language, score bin and label reach the
+driver. A label's counts are raised by the rows that gradient descent took of
+it, so that toxic and clean keep their true ratio at every size of the table.
 
 Scoring is one pass over all texts, without a shuffle; the model (a few MB,
 whatever the data) travels with the function.
@@ -43,6 +47,9 @@ RATE = 0.05
 EMB_RATE = 0.01      # embeddings move slowly: a mislabelled text must not be learned by heart
 MIN_SEEN = 5         # sample texts with a word before its ratio counts
 MIN_TOXIC = 20       # toxic calibration texts before a language has its own threshold
+KEPT_OUT = 0.2       # share of the sample that gradient descent leaves to calibration
+BINS = 64            # score bins to 1 of the score before the threshold
+BIN_LIMIT = 64 * BINS
 SEED = 5
 BATCH_WORDS = 200_000
 PAD = np.zeros((max(WIDTHS), 2), np.int32)
@@ -185,26 +192,43 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _threshold(z: np.ndarray, y: np.ndarray) -> float:
-    """Cut with the fewest errors, in the middle of its gap."""
-    order = np.argsort(z, kind="stable")
-    z, y = z[order], y[order]
-    errors = np.concatenate([[0], np.cumsum(y)]) + np.concatenate([np.cumsum((1 - y)[::-1])[::-1], [0]])
-    best = np.nonzero(errors == errors.min())[0]
+def _threshold(bins: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> float:
+    """Cut with the fewest errors, in the middle of its gap, over the numbers
+    of toxic and clean texts in ascending score bins."""
+    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum(clean[::-1])[::-1], [0]])
+    best = np.nonzero(errors <= errors.min() + 1e-9 * (toxic.sum() + clean.sum()))[0]
     i = int(best[len(best) // 2])
-    lo = z[i - 1] if i else z[0] - 2.0
-    hi = z[i] if i < len(z) else z[-1] + 2.0
+    lo = (bins[i - 1] + 1) / BINS if i else bins[0] / BINS - 2.0
+    hi = bins[i] / BINS if i < len(bins) else (bins[-1] + 1) / BINS + 2.0
     return float((lo + hi) / 2)
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, langs_of: list[str | None]) -> Model:
-    """Train on texts as slots; every fifth text calibrates the thresholds."""
+def thresholds(counts: list[tuple[int, int, int, int]], used: list[int], langs: int) -> np.ndarray:
+    """Per guessed language (and for texts without words) the threshold, from
+    ``(language, bin, toxic, n)`` and the numbers of clean and toxic texts
+    that gradient descent used."""
+    c = np.array(counts, np.int64).reshape(-1, 4)
+    seen = np.array([c[c[:, 2] == y, 3].sum() for y in (0, 1)])
+    weight = (seen + np.array(used)) / np.maximum(seen, 1)
+
+    def cut(rows: np.ndarray) -> float:
+        bins, at = np.unique(rows[:, 1], return_inverse=True)
+        n = [weight[y] * np.bincount(at, rows[:, 3] * (rows[:, 2] == y), len(bins)) for y in (0, 1)]
+        return _threshold(bins, n[1], n[0])
+
+    out = np.full(langs + 1, cut(c) if len(c) else 0.0)
+    for i in range(langs):
+        mine = c[c[:, 0] == i]
+        if mine[mine[:, 2] == 1, 3].sum() >= MIN_TOXIC and (mine[:, 2] == 0).any():
+            out[i] = cut(mine)
+    return out
+
+
+def fit(docs: list[np.ndarray], labels: np.ndarray, langs_of: list[str | None], kept_out: np.ndarray) -> Model:
+    """Train on texts as slots but those kept out; thresholds are still 0."""
     if len(labels) == 0 or labels.min() == labels.max():
         return Model(None, float(labels.mean()) if len(labels) else 0.0, [], None, np.zeros(1), 1.0)
     net = Net()
-    kept_out = np.arange(len(docs)) % 5 == 0
-    if len(set(labels[~kept_out].tolist())) < 2 or len(set(labels[kept_out].tolist())) < 2:
-        kept_out[:] = False
     train = [d for d, k in zip(docs, kept_out) if not k]
     _inform(net, train, labels[~kept_out])
     net.fit(train, labels[~kept_out])
@@ -214,58 +238,92 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, langs_of: list[str | None])
         if lang:
             np.add.at(counts[:, langs.index(lang)], d[:, 0], 1)
     words = np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32)
-    check = kept_out if kept_out.any() else np.ones(len(docs), bool)
-    z, y = net.logits([d for d, k in zip(docs, check) if k]), labels[check]
-    common = _threshold(z, y)
-    model = Model(net, 0.0, langs, words, np.full(len(langs) + 1, common), 1.0)
-    guessed = model.languages([d for d, k in zip(docs, check) if k])
-    for i in range(len(langs)):
-        mine = guessed == i
-        if y[mine].sum() >= MIN_TOXIC and y[mine].mean() < 1:
-            model.thresholds[i] = _threshold(z[mine], y[mine])
-    return model
+    return Model(net, 0.0, langs, words, np.zeros(len(langs) + 1), 1.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     """Learn from ``docs(doc_id, text, lang)`` and ``labels(doc_id, toxic)``;
     the driver gets the sample's word hashes, at most ``2 * train_docs``
-    texts on average."""
+    texts on average, and the counts that set the thresholds."""
     marked = (labels.filter(learnable() & F.col("toxic").isin(0, 1)).groupBy("doc_id")
               .agg(F.max("toxic").alias("toxic")))
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, train_docs / max(sizes.get(1, 0), 1)))).otherwise(
         F.lit(min(1.0, train_docs / max(sizes.get(0, 0), 1))))
-    picked = marked.filter(F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1_000_000)) / 1e6 < share)
+
+    def hashed(salt):
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1_000_000)) / 1e6
+
+    marked = marked.withColumn("used", (hashed("toxicity") < share) & (hashed("calibration") >= KEPT_OUT))
+    picked = marked.filter(hashed("toxicity") < share)
     # the sample is bounded by train_docs, so it is broadcast
     rows = (docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").filter(F.col("text").isNotNull())
-            .select("doc_id", "toxic", "lang", word_hashes(F.col("text")).alias("words")).toArrow())
+            .select("doc_id", "toxic", "used", "lang", word_hashes(F.col("text")).alias("words")).toArrow())
     order = np.lexsort((rows.column("words").combine_chunks().value_lengths().to_numpy(zero_copy_only=False),
                         rows.column("doc_id").to_numpy()))
     words = _arrays(rows.column("words"))
-    labels_ = rows.column("toxic").to_numpy().astype(np.int64)
+    labels_ = rows.column("toxic").to_numpy().astype(np.int64)[order]
     langs = rows.column("lang").to_pylist()
-    return fit([_slots(words[i]) for i in order], labels_[order], [langs[i] for i in order])
+    kept_out = ~rows.column("used").to_numpy(zero_copy_only=False).astype(bool)[order]
+    if len(set(labels_[~kept_out].tolist())) < 2 or len(set(labels_[kept_out].tolist())) < 2:
+        # too few to keep any apart: all rows train and calibrate
+        kept_out[:] = False
+        marked = marked.withColumn("used", F.lit(False))
+    model = fit([_slots(words[i]) for i in order], labels_, [langs[i] for i in order], kept_out)
+    return model if model.net is None else calibrate(model, docs, marked)
+
+
+def calibrate(model: Model, docs: DataFrame, marked: DataFrame) -> Model:
+    """``model`` with thresholds from all texts of ``marked(doc_id, toxic,
+    used)``; those that gradient descent used count for the ratio only."""
+    def bins(slots):
+        at = np.floor(np.clip(model.net.logits(slots) * BINS, -BIN_LIMIT, BIN_LIMIT)).astype(np.int64)
+        return np.stack([model.languages(slots), at], axis=1)
+
+    def run(batches):
+        for part, got in _per_text(batches, bins):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got[:, 0], pa.int32()),
+                                              pa.array(got[:, 1], pa.int32())], names=["doc_id", "guess", "bin"])
+
+    # texts are scored where they are read; ids and bins alone move to meet the labels
+    scored = (docs.filter(learnable() & F.col("text").isNotNull())
+              .select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words"))
+              .mapInArrow(run, "doc_id long, guess int, bin int"))
+    rows = (scored.join(marked, "doc_id")
+            .groupBy("used", "toxic", F.when(~F.col("used"), F.col("guess")).alias("guess"),
+                     F.when(~F.col("used"), F.col("bin")).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect())
+    used = [sum(r["n"] for r in rows if r["used"] and r["toxic"] == y) for y in (0, 1)]
+    model.thresholds = thresholds([(r["guess"], r["bin"], r["toxic"], r["n"]) for r in rows if not r["used"]],
+                                  used, len(model.langs))
+    return model
+
+
+def _per_text(batches, f):
+    """Arrow slices and ``f`` of their texts (the last column, as slots),
+    called for a bounded number of words at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            docs, got, size = [], [], 0
+            for w in _arrays(part.column(part.num_columns - 1)):
+                docs.append(_slots(w))
+                size += len(w)
+                if size > BATCH_WORDS:
+                    got.append(f(docs))
+                    docs, size = [], 0
+            if docs or not got:
+                got.append(f(docs))
+            yield part, np.concatenate(got)
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` per row of ``docs(doc_id,
     text)``."""
     def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                docs_, scores, size = [], [], 0
-                for w in _arrays(part.column(2)):
-                    docs_.append(_slots(w))
-                    size += len(w)
-                    if size > BATCH_WORDS:
-                        scores.append(model.scores(docs_))
-                        docs_, size = [], 0
-                scores.append(model.scores(docs_))
-                s = np.concatenate(scores)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s),
-                                                  pa.array((s >= 0.5).astype(np.int32))],
-                                                 names=["doc_id", "held_out", "score", "predicted"])
+        for part, s in _per_text(batches, model.scores):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(s),
+                                              pa.array((s >= 0.5).astype(np.int32))],
+                                             names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"),
                        word_hashes(F.col("text")).alias("words")).mapInArrow(

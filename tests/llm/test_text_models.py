@@ -174,6 +174,27 @@ def test_toxicity_separates_held_out_texts(spark):
     assert sorted((r.doc_id, r.score) for r in other) == sorted((r.doc_id, r.score) for r in got)
 
 
+def test_thresholds_come_from_all_labelled_rows(spark):
+    # 75 texts of each label train; the other labelled rows are many in both languages
+    rows, labels = toxic_corpus()
+    rows = [(d, (text if d % 2 else " ".join("x" + w for w in text.split()) + " xend"), "de" if d % 2 else "en")
+            for d, text, _ in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"), train_docs=75)
+    de, en, common = model.thresholds
+    assert model.langs == ["de", "en"] and len({de, en, common}) > 1
+
+
+def test_thresholds_keep_the_true_ratio_of_labels():
+    # 40 toxic and 100 clean texts share a bin; 4 of 5 toxic ones were used for training
+    counts = [(0, -5, 0, 500), (0, 10, 1, 40), (0, 10, 0, 100), (0, 30, 1, 60)]
+    few, true = toxicity.thresholds(counts, [0, 0], 1), toxicity.thresholds(counts, [0, 400], 1)
+    assert 10 / toxicity.BINS < few[0] <= 30 / toxicity.BINS and true[0] <= 10 / toxicity.BINS
+    assert (true[0], few[0]) == (true[1], few[1])
+    # a language with few toxic texts goes by all
+    assert toxicity.thresholds(counts + [(1, 90, 1, 3), (1, 80, 0, 9)], [0, 0], 2)[1] == few[0]
+
+
 def test_toxicity_without_labels(spark):
     df = spark.createDataFrame([(1, "a b", "en"), (2, None, None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
