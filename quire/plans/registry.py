@@ -219,7 +219,8 @@ SELECT source, source_ord, count(*) AS seen,
        count(*) FILTER (WHERE status = 'added') AS added
 FROM status GROUP BY source, source_ord""", bt.CANDIDATES_SQL.strip()))
 def q_curate_run_counters(spark, sf_dir):
-    return curate.run_counters(_curate_status(spark, sf_dir))
+    return curate.run_counters(curate.statuses(bt.candidates(spark, sf_dir), bt.catalog_part(spark, sf_dir),
+                                               bt.demo_rules(spark), bt.PARAMS))
 
 
 @query("catalog_id_hits", with_catalog("""

@@ -152,6 +152,22 @@ def test_next_id_overflow_fails_loudly(spark):
         curate.check_id_capacity(spark.createDataFrame([(1,)], "num int"), cat, P)
 
 
+def test_run_counters_need_no_room_for_ids(spark, library, monkeypatch):
+    from quire.plans import batches as bt
+    from quire.plans import registry
+
+    rows = [cand("Jailbreak prompts in the wild", pos=0), cand("Jailbreak prompts in the wild", pos=1),
+            cand("Tides of the North Sea", pos=2), cand("Jailbreak", pos=3, year=None)]
+    beyond = library.withColumn("id", F.lit("qc-2024-100000"))
+    monkeypatch.setattr(bt, "candidates", lambda *_: spark.createDataFrame(rows, CAND))
+    monkeypatch.setattr(bt, "catalog_part", lambda *_: beyond)
+    monkeypatch.setattr(bt, "demo_rules", lambda *_: tagging.rules_frame(spark))
+    got = registry.q_curate_run_counters(spark, "").first()
+    assert (got.seen, got.invalid, got.off_topic, got.duplicate, got.added) == (4, 1, 1, 1, 1)
+    with pytest.raises(ValueError):
+        curate.curate(bt.candidates(), beyond, bt.demo_rules(), P)
+
+
 def test_positions_must_be_unique_in_a_source(spark, library):
     rows = [cand("Jailbreak one", pos=3), cand("Jailbreak two", pos=3)]
     with pytest.raises(ValueError, match="not unique"):
