@@ -326,6 +326,12 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int
     ``class_id`` the smallest doc_id connected by such links; ``sha`` the
     SHA-256 of the text (binary), with doc_id the row's identity.
     """
+    return _classes(docs, threshold, width, runs).drop("first_sha")
+
+
+def _classes(docs: DataFrame, threshold: float, width: int = WIDTH, runs: int = RUNS) -> DataFrame:
+    """``similarity_classes`` with ``first_sha``: that of the class's first
+    row by (doc_id, sha), null ids last."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -365,15 +371,18 @@ def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int
     # groups of one tile are settled there; links between tiles meet in components
     joined = connected_components(verified.filter("tiled and root != sid").select(
         F.col("root").alias("a"), F.col("sid").alias("b"))) if not verified.filter("tiled").isEmpty() else None
-    per_set = reps.select("sid", "skey", "copies", F.col("rep.doc_id").alias("first")).join(counts, "sid", "left")
+    per_set = reps.select("sid", "skey", "copies", F.struct(
+        F.col("rep.doc_id").isNull().alias("no_id"), "rep.doc_id", "rep.sha").alias("first")).join(counts, "sid", "left")
     if joined is not None:
         per_set = per_set.join(joined.select(F.col("id").alias("sid"), F.col("root").alias("joint")), "sid", "left")
         per_set = per_set.withColumn("root", F.coalesce("joint", F.when(F.col("tiled"), F.col("sid")), "root"))
     per_set = cut(per_set.select("sid", "skey", "first", F.coalesce("root", "sid").alias("root"),
                                  (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked")
-    classes = per_set.groupBy("root").agg(F.min("first").alias("class_id"))
-    per_set = per_set.join(classes, "root").select("skey", "class_id", "n_links")
-    return rows.select("doc_id", "sha", "skey").join(per_set, "skey").select("doc_id", "sha", "class_id", "n_links")
+    classes = per_set.groupBy("root").agg(F.min("first").alias("first")).select(
+        "root", F.col("first.doc_id").alias("class_id"), F.col("first.sha").alias("first_sha"))
+    per_set = per_set.join(classes, "root").select("skey", "class_id", "first_sha", "n_links")
+    return rows.select("doc_id", "sha", "skey").join(per_set, "skey").select(
+        "doc_id", "sha", "class_id", "first_sha", "n_links")
 
 
 def _has_repeated(rows: DataFrame) -> bool:
@@ -382,10 +391,11 @@ def _has_repeated(rows: DataFrame) -> bool:
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their class's smallest (as a
-    filter stage): one document of each class, all columns. Should the class's
-    smallest doc_id be on several rows of the class, they all stay."""
-    found = similarity_classes(docs, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(
+    """The row of each class with the smallest (doc_id, sha), null ids last
+    (as a filter stage): one document of each class, all columns. Rows that
+    repeat its doc_id and text stay with it."""
+    found = _classes(docs, threshold).filter(
+        F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("sha") == F.col("first_sha"))).select(
         F.col("doc_id").alias("_k"), F.col("sha").alias("_s")).distinct()
     sha = fresh(docs, "_sha")
     x = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)))

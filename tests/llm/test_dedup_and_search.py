@@ -83,6 +83,15 @@ def test_join_as_a_stage_keeps_one_of_each_class(spark, docs):
     assert chosen_path.similarity_classes(docs).count() == docs.count()
 
 
+def test_near_copies_with_one_id_or_none_leave_one_row(spark):
+    def near(word):
+        return [" ".join(f"{word}{i}" for i in range(200)) + end for end in ("", " more", " and more")]
+
+    rows = [(7, t) for t in near("a")] + [(None, t) for t in near("b")] + [(7, "alone")]
+    out = chosen_path.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in out) == [(0, "b0"), (7, "a0"), (7, "al")]
+
+
 def test_intersections_are_exact():
     rnd = np.random.default_rng(1)
     sets = [np.unique(rnd.integers(0, 5000, rnd.integers(0, 9000)).astype(np.uint64)) for _ in range(12)]
