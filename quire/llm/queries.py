@@ -8,7 +8,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, chosen_path, exact_dedup, langid, packing, pii, topk, toxicity, url_filter
+from quire.llm import bpe, chat, chosen_path, exact_dedup, langid, packing, pii, token_files, topk, toxicity, \
+    url_filter
 from quire.llm.shared import ship_package, table
 
 
@@ -68,6 +69,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", "doc_id", "text"), **packing.public_vocabulary())
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_store(spark)
+    token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), path, **packing.public_vocabulary())
+    return token_files.read(spark, path)
+
+
 def _registered(f):
     @functools.wraps(f)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +86,7 @@ def _registered(f):
 
 QUERIES = {f.__name__: _registered(f) for f in (
     op1_byte_bpe, op2_url_filter, op3_chat_format, op4_exact_dedup, op5_personal_data, op6_chosen_path_join,
-    op7_exact_top_k, op8_toxicity, op9_language_id, op10_best_fit_packing)}
+    op7_exact_top_k, op8_toxicity, op9_language_id, op10_best_fit_packing, op11_token_files)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
