@@ -8,8 +8,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, chosen_path, exact_dedup, langid, packing, pii, token_files, topk, toxicity, \
-    url_filter
+from quire.llm import bpe, chat, chosen_path, exact_dedup, langid, packing, pii, repair, token_files, topk, \
+    toxicity, url_filter
 from quire.llm.shared import ship_package, table
 
 
@@ -75,6 +75,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return repair.repair(repair.damage(turns), conv_ids=turns)
+
+
 def _registered(f):
     @functools.wraps(f)
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,11 +91,82 @@ def _registered(f):
 
 QUERIES = {f.__name__: _registered(f) for f in (
     op1_byte_bpe, op2_url_filter, op3_chat_format, op4_exact_dedup, op5_personal_data, op6_chosen_path_join,
-    op7_exact_top_k, op8_toxicity, op9_language_id, op10_best_fit_packing, op11_token_files)}
+    op7_exact_top_k, op8_toxicity, op9_language_id, op10_best_fit_packing, op11_token_files,
+    op13_structure_repair)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
+#: crc32 of an ASCII string ``s``, bit by bit (DuckDB has no such function)
+def _crc_sql(s: str) -> str:
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split({s}, ''), "
+            "lambda c: ord(c)::UBIGINT)), lambda x, b: list_reduce(list_prepend(xor(x, b), "
+            "[0::UBIGINT for i in range(8)]), lambda y, i: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))))")
+
+
+_BLANK = "'[^\\x20\\x09-\\x0D]'"
+
 ORACLES = {
+    "op13_structure_repair": f"""
+        WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_crc_sql("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS f
+                   FROM conversations),
+             m AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+                          CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END
+                              AS text, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS copy
+                   FROM t WHERE f <> 0),
+             o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS n
+                   FROM m),
+             p AS (SELECT conv_id, turn, role, text, n, NOT regexp_matches(text, {_BLANK}) AS blank,
+                          row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS seen,
+                          regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS stopped,
+                          left(lag(role) OVER (PARTITION BY conv_id ORDER BY n), 1) || left(role, 1) AS pair FROM o),
+             d AS (SELECT conv_id, turn, role, text, n, left(role, 1) AS c, blank, NOT blank AND seen AS dup,
+                          NOT blank AND NOT seen AND NOT stopped AS trunc, pair FROM p),
+             g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                          count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+                          count(*) FILTER (trunc) AS truncated,
+                          count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(n) AS last
+                   FROM d GROUP BY conv_id),
+             ins(s0, s1, k, made) AS (VALUES
+                 (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''),
+                 (0, 2, 1, 'u'), (1, 2, 1, 'u'), (2, 3, 1, 'a'), (3, 2, 1, 'u'),
+                 (0, 3, 2, 'ua'), (1, 3, 2, 'ua')),
+             ed(s1, s2, letter, price, need, made) AS (VALUES
+                 (0, 0, 'D', 3, '', ''), (1, 1, 'D', 3, '', ''), (2, 2, 'D', 3, '', ''), (3, 3, 'D', 3, '', ''),
+                 (0, 1, 'K', 0, 's', ''), (0, 2, 'K', 0, 'u', ''), (1, 2, 'K', 0, 'u', ''), (2, 3, 'K', 0, 'a', ''),
+                 (3, 2, 'K', 0, 'u', ''), (0, 2, 'R', 2, '', 'user'), (1, 2, 'R', 2, '', 'user'),
+                 (2, 3, 'R', 2, '', 'assistant'), (3, 2, 'R', 2, '', 'user')),
+             dp AS (
+                 SELECT conv_id, 0::BIGINT AS n, 0 AS st, 0 AS cost, '' AS audit, '' AS made FROM g
+                 UNION ALL
+                 SELECT conv_id, n, st, cost, audit, made FROM (
+                     SELECT x.conv_id, d.n, ed.s2 AS st,
+                            x.cost + 2 * ins.k + ed.price + CASE WHEN d.trunc AND letter <> 'D' THEN 1 ELSE 0 END AS cost,
+                            x.audit || repeat('I', ins.k) || letter AS audit,
+                            x.made || replace(replace(ins.made, 'u', 'user:' || chr(10)), 'a', 'assistant:' || chr(10))
+                                || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN d.role || ':' || d.text || chr(10)
+                                               ELSE ed.made || ':' || d.text || chr(10) END AS made,
+                            row_number() OVER (PARTITION BY x.conv_id, ed.s2 ORDER BY
+                                x.cost + 2 * ins.k + ed.price + CASE WHEN d.trunc AND letter <> 'D' THEN 1 ELSE 0 END,
+                                x.audit || repeat('I', ins.k) || letter) AS place
+                     FROM dp x JOIN d ON d.conv_id IS NOT DISTINCT FROM x.conv_id AND d.n = x.n + 1
+                          JOIN ins ON ins.s0 = x.st JOIN ed ON ed.s1 = ins.s1
+                     WHERE (letter = 'D' OR NOT (blank OR dup)) AND (letter <> 'K' OR need = c)) y
+                 WHERE place = 1),
+             e AS (SELECT dp.conv_id, cost + 2 * k AS cost, audit || repeat('I', k) AS audit,
+                          dp.made || replace(replace(ins.made, 'u', 'user:' || chr(10)), 'a', 'assistant:' || chr(10))
+                              AS made,
+                          row_number() OVER (PARTITION BY dp.conv_id ORDER BY cost + 2 * k, audit || repeat('I', k))
+                              AS place
+                   FROM dp JOIN g ON g.conv_id IS NOT DISTINCT FROM dp.conv_id AND g.last = dp.n
+                        JOIN ins ON ins.s0 = dp.st AND ins.s1 IN (0, 3))
+        SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+               coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+               coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit,
+               sha256(coalesce(left(made, -1), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) i
+             LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM i.conv_id
+             LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM i.conv_id AND e.place = 1""",
     "op2_url_filter": f"""
         WITH r(rh, rp, rv) AS (VALUES {_RULES_SQL}),
              u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0
