@@ -50,26 +50,39 @@ from quire.llm.vocab import encode_whole, worker_encoder
 from quire.session import ensure_checkpoint_dir
 
 EOT = 0                        # closing id of every document
-SEGMENT_IDS = 8_000_000
+SEGMENT_IDS = 4_000_000
 MAGIC, TRAILER = b"TOKIDS01", "TEND"
 # big-endian, so that SQL reads the fields from the file's first bytes
 HEADER = struct.Struct(">8sIIQIQIBxxxIIq")
 PIECE_SCHEMA = "doc_id long, shard int, at long, n_tokens long, ids_crc32 long"
 
 
-def pack_file(shard: int, segment: int, before: int, ids: list[bytes], doc_ids: list[int | None],
-              width: int) -> bytes:
-    """One file of documents given as uint32 bytes, without its trailer."""
-    sizes = np.fromiter((len(b) // 4 for b in ids), np.int64, len(ids))
-    flat = np.frombuffer(b"".join(ids), "<u4").astype("<u2" if width == 2 else "<u4").tobytes()
-    named = [d for d in doc_ids if d is not None]
-    least = named[0] if named else 0
-    bounds = elias_fano.encode(np.concatenate([[0], np.cumsum(sizes)]))
-    names = elias_fano.encode(np.array([d - least for d in named], np.uint64))
-    at = HEADER.size + len(flat)
-    head = HEADER.pack(MAGIC, shard, segment, before, len(ids), int(sizes.sum()), len(ids) - len(named), width,
-                       at, at + len(bounds), least)
-    return head + flat + bounds + names
+class FileBuilder:
+    """One file in the making: ids are appended in their final width, the
+    Elias-Fano parts and the header follow in ``finish``."""
+
+    def __init__(self, shard: int, segment: int, before: int, width: int):
+        self.shard, self.segment, self.before, self.width = shard, segment, before, width
+        self.data, self.n_ids, self.sizes, self.doc_ids = bytearray(HEADER.size), 0, array("q"), []
+
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """A document's ids as uint32 bytes."""
+        self.doc_ids.append(doc_id)
+        self.sizes.append(len(ids) // 4)
+        self.n_ids += len(ids) // 4
+        self.data += np.frombuffer(ids, "<u4").astype("<u2").data.cast("B") if self.width == 2 else ids
+
+    def finish(self) -> bytearray:
+        """The whole file without its trailer."""
+        named = [d for d in self.doc_ids if d is not None]
+        least = named[0] if named else 0
+        bounds_at = len(self.data)
+        self.data += elias_fano.encode(np.concatenate([[0], np.cumsum(np.frombuffer(self.sizes, np.int64))]))
+        names_at = len(self.data)
+        self.data += elias_fano.encode(np.array([d - least for d in named], np.uint64))
+        HEADER.pack_into(self.data, 0, MAGIC, self.shard, self.segment, self.before, len(self.doc_ids), self.n_ids,
+                         len(self.doc_ids) - len(named), self.width, bounds_at, names_at, least)
+        return self.data
 
 
 class TokenFile:
@@ -103,6 +116,13 @@ class TokenFile:
         return i + self.n_null if found else None
 
 
+def _one_row(data: bytearray) -> pa.RecordBatch:
+    """A batch of one binary value, without another copy of it."""
+    offsets = pa.py_buffer(array("i", [0, len(data)]).tobytes())
+    return pa.RecordBatch.from_arrays(
+        [pa.Array.from_buffers(pa.binary(), 1, [None, offsets, pa.py_buffer(data)])], names=["file"])
+
+
 def _files(ranks: bytes, pattern: str, specials: dict[str, int], width: int, segment_ids: int):
     """Sorted (doc_id, text) of one partition -> its files, one row each."""
     def run(batches):
@@ -111,24 +131,17 @@ def _files(ranks: bytes, pattern: str, specials: dict[str, int], width: int, seg
         enc = worker_encoder(ranks, pattern)
         shard = TaskContext.get().partitionId()
         end = array("I", [EOT]).tobytes()
-        segment = before = held = 0
-        ids, names = [], []
-
-        def row():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([pack_file(shard, segment, before, ids, names, width)], pa.binary())], names=["file"])
-
+        now = FileBuilder(shard, 0, 0, width)
         for part, texts in text_rows(batches):
             for doc_id, text in zip(part.column(0).to_pylist(), texts):
-                one = encode_whole(enc, text, specials) + end
-                if ids and held + len(one) // 4 > segment_ids:
-                    yield row()
-                    segment, before, held, ids, names = segment + 1, before + held, 0, [], []
-                ids.append(one)
-                names.append(doc_id)
-                held += len(one) // 4
-        if ids:
-            yield row()
+                ids = encode_whole(enc, text, specials) + end
+                if now.n_ids and now.n_ids + len(ids) // 4 > segment_ids:
+                    following = FileBuilder(shard, now.segment + 1, now.before + now.n_ids, width)
+                    yield _one_row(now.finish())
+                    now = following
+                now.add(doc_id, ids)
+        if now.n_ids:
+            yield _one_row(now.finish())
 
     return run
 

@@ -100,7 +100,9 @@ def test_an_empty_table_gives_an_empty_store(spark, docs):
 
 
 def test_a_torn_file_is_refused():
-    data = token_files.pack_file(0, 0, 0, [array("I", [5, 0]).tobytes()], [7], 2)
+    b = token_files.FileBuilder(0, 0, 0, 2)
+    b.add(7, array("I", [5, 0]).tobytes())
+    data = bytes(b.finish())
     assert token_files.TokenFile(data + b"TEND").find(7) == 0
     with pytest.raises(ValueError):
         token_files.TokenFile(data[:-4] + b"TENX")
