@@ -8,8 +8,8 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, chat, chosen_path, exact_dedup, langid, packing, pii, repair, token_files, topk, \
-    toxicity, url_filter
+from quire.llm import bpe, chat, chosen_path, exact_dedup, langid, packing, pii, prefix_trie, repair, token_files, \
+    topk, toxicity, url_filter
 from quire.llm.shared import ship_package, table
 
 
@@ -75,6 +75,11 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return prefix_trie.prefix_nodes(*prefix_trie.shared_heads(prefix_trie.numbered_turns(turns)))
+
+
 def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return repair.repair(repair.damage(turns), conv_ids=turns)
@@ -92,7 +97,7 @@ def _registered(f):
 QUERIES = {f.__name__: _registered(f) for f in (
     op1_byte_bpe, op2_url_filter, op3_chat_format, op4_exact_dedup, op5_personal_data, op6_chosen_path_join,
     op7_exact_top_k, op8_toxicity, op9_language_id, op10_best_fit_packing, op11_token_files,
-    op13_structure_repair)}
+    op12_prefix_trie, op13_structure_repair)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
 
@@ -106,6 +111,32 @@ def _crc_sql(s: str) -> str:
 _BLANK = "'[^\\x20\\x09-\\x0D]'"
 
 ORACLES = {
+    "op12_prefix_trie": f"""
+        WITH t AS (SELECT conv_id, turn, coalesce(text, '') AS text,
+                          sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS dig
+                   FROM conversations WHERE conv_id IS NOT NULL),
+             o AS (SELECT conv_id, strlen(text) AS bytes, dig,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dig) AS pos FROM t),
+             c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_crc_sql("conv_id::VARCHAR")} % 9 AS h
+                   FROM (SELECT DISTINCT conv_id FROM o)),
+             b AS (SELECT c.conv_id, 0 AS part, o.pos, dig, bytes FROM c JOIN o ON o.conv_id = c.base AND pos <= h
+                   UNION ALL
+                   SELECT c.conv_id, 1, o.pos, dig, bytes FROM c JOIN o ON o.conv_id = c.conv_id AND pos > h),
+             n AS (SELECT conv_id, dig, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM b),
+             p AS (SELECT conv_id, d, bytes, sha256(string_agg(dig, '') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM n
+                   UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+             q AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY d) AS up,
+                          d = max(d) OVER (PARTITION BY conv_id) AS stops FROM p),
+             v AS (SELECT d, k, any_value(up) AS up, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n,
+                          sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (stops), '')) AS ends
+                   FROM q GROUP BY d, k),
+             kids AS (SELECT d - 1 AS d, up AS k, count(*) AS kids FROM v WHERE d > 0 GROUP BY ALL),
+             w AS (SELECT v.*, coalesce(kids, 0) AS kids FROM v LEFT JOIN kids USING (d, k)),
+             s AS (SELECT a.d, a.k, count(*) FILTER (w.kids = 0) AS leaves, sum((w.n - 1) * w.bytes) AS saved
+                   FROM w JOIN p a ON a.conv_id = w.conv_id AND a.d <= w.d GROUP BY a.d, a.k)
+        SELECT w.conv_id, w.d AS depth, u.conv_id AS parent_conv_id, w.n AS n_convs, w.kids AS n_children,
+               s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens, w.ends AS ends_sha256
+        FROM w JOIN s USING (d, k) LEFT JOIN w u ON u.d = w.d - 1 AND u.k = w.up""",
     "op13_structure_repair": f"""
         WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
                    {_crc_sql("concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))")} % 20 AS f
