@@ -8,15 +8,18 @@ tokens it expands to. Turns are marked ``<|im_start|>role`` ... ``<|im_end|>``.
 Escaping is reversible: a backslash is put into every ``<`` + backslashes +
 ``|``, so that ``<|`` never occurs in escaped text; reading back takes one out.
 
-Every turn is formatted where it is read. Only then do turns move, to be put
-in order by conversation; a conversation streams through one task turn by
-turn (its digest and its text are sequential) and is never held whole, so a
-very long one costs time and no memory.
+Turns are put in order by conversation and formatted as they stream through
+one task (attachment numbers, text and digest of a conversation are
+sequential); a conversation is never held whole, so a very long one costs
+time and no memory.
 
 Defined cases: null text, role or part fields count as empty; turns are
-ordered by (turn, role, text), so ties and repeated rows have a fixed order
-and all stay; a null conv_id is a conversation of its own; an empty table
-gives only the extra rows; other columns are ignored.
+ordered by (turn, role, parts as given), null turns first, so ties and
+repeated rows have a fixed order and all stay; attachments are numbered
+through the whole conversation; sizes and lengths that are no positive finite
+number count as the least (one tile, one audio token, one page); a null
+conv_id is a conversation of its own; an empty table gives only the extra
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -52,11 +55,18 @@ def unescape(text: str) -> str:
     return _UNESCAPE.sub(r"<\1|", text)
 
 
+def _units(x: float) -> int:
+    """Whole units that ``x`` begins, at least one; one also where ``x`` is
+    no number or has no end."""
+    return max(1, math.ceil(x)) if math.isfinite(x) else 1
+
+
 class PartVisitor:
     """Flattens one turn's parts; ``visit`` dispatches on a part's kind."""
 
-    def __init__(self):
+    def __init__(self, attached: int = 0):
         self.out, self.size, self.written, self.attachments = [], 0, [], []
+        self.attached = attached        # attachments of earlier turns
 
     def visit(self, part: dict) -> None:
         getattr(self, f"visit_{part.get('kind') or 'text'}", self.visit_text)(part)
@@ -71,27 +81,27 @@ class PartVisitor:
         self._put(text)
 
     def visit_image(self, part: dict) -> None:
-        side = [max(1, math.ceil((part.get(k) or 0) / IMAGE_TILE)) for k in ("width", "height")]
+        side = [_units((part.get(k) or 0) / IMAGE_TILE) for k in ("width", "height")]
         self._attach("image", part, side[0] * side[1])
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * AUDIO_RATE)))
+        self._attach("audio", part, _units((part.get("seconds") or 0) * AUDIO_RATE))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, max(1, part.get("pages") or 0) * PAGE_TOKENS)
+        self._attach("document", part, _units(part.get("pages") or 0) * PAGE_TOKENS)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        n = len(self.attachments) + 1
+        n = self.attached + len(self.attachments) + 1
         self.attachments.append({"n": n, "kind": kind, "ref": part.get("ref") or "", "at": self.size,
                                  "tokens": tokens})
         self._put(f"<|{kind}_{n}|>")
 
 
-def format_turn(role: str, parts: list[dict]) -> dict:
+def format_turn(role: str, parts: list[dict], attached: int = 0) -> dict:
     """One turn as text, with the spans under the loss mask and the
-    attachments' places in it."""
+    attachments' places in it; ``attached`` attachments came before it."""
     head = f"{START}{escape_role(role)}\n"
-    v = PartVisitor()
+    v = PartVisitor(attached)
     for p in parts:
         v.visit(p)
     shift = len(head)
@@ -117,11 +127,16 @@ def unescape_role(text: str) -> str:
 
 
 def _format(batches):
+    now, attached = object(), 0
     for batch in batches:
         for at in range(0, batch.num_rows, 1024):
             part = batch.slice(at, 1024)
-            done = [format_turn(role or "", parts or [])
-                    for role, parts in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
+            done = []
+            for conv_id, role, parts in zip(*(part.column(i).to_pylist() for i in (0, 2, 3))):
+                if conv_id != now:
+                    now, attached = conv_id, 0
+                done.append(format_turn(role or "", [p or {} for p in parts or []], attached))
+                attached += len(done[-1]["attachments"])
             loss = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             att = pa.list_(pa.struct([("n", pa.int32()), ("kind", pa.string()), ("ref", pa.string()),
                                       ("at", pa.int32()), ("tokens", pa.int64())]))
@@ -144,9 +159,10 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """Formatted turns of ``turns(conv_id, turn, role, parts)``, in order
     within each conversation: the concatenation of a conversation's
     ``formatted`` is its training text."""
-    done = turns.mapInArrow(_format, TURN_SCHEMA)
-    return (done.repartition(shuffle_partitions(turns.sparkSession), "conv_id")
-            .sortWithinPartitions("conv_id", "turn", "formatted"))
+    ordered = (turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), "parts")
+               .repartition(shuffle_partitions(turns.sparkSession), "conv_id")
+               .sortWithinPartitions("conv_id", F.col("turn").asc_nulls_first(), "role", "parts"))
+    return ordered.mapInArrow(_format, TURN_SCHEMA)
 
 
 DIGEST_SCHEMA = ("conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "

@@ -2,29 +2,29 @@
 Lotem and Naor 2001).
 
 Candidates are dealt into shards. A shard has, for every dimension, its
-values sorted from both ends: a query with a positive component reads that
-dimension's list from the largest value down, with a negative one from the
-smallest up, so every list is read by falling contribution. All lists are read
-to the same depth, in steps. What has been read gives each candidate a lower
-bound (unread contributions at the list's end) and an upper bound (at the
-reading front). Reading stops for a query once few candidates can still
-qualify, that is, once all others' upper bounds are below the k-th lower
-bound; those few get their final scores and the k best remain. Scores are
-integers, so bounds and ties are exact.
-
-Bounds of a block of queries against a shard are two matrix products each:
-``max(x, front)`` has the read values and, elsewhere, the front.
+candidates sorted by value: a query with a positive component reads that list
+from the largest value down, with a negative one from the smallest up, so
+every list is read by falling contribution; where the component is zero it is
+not read. Lists are read in steps of equal depth. A candidate's score so far
+is the sum of what was read of it; its lower bound adds the lists' ends, its
+upper bound the reading fronts, for the lists it was not met in. Candidates
+whose upper bound is below the k-th lower bound are dropped for good, and no
+step looks at them again; reading stops once few are left, which alone get
+their final scores. Scores are integers, so bounds and ties are exact.
+
+The k-th score that a query reaches in a first shard is its floor in all
+others: there reading stops against the better of the two.
 
 Work is a grid of (shard, block of queries); rows are dealt by hashes of
 their content, never by a value of the data that could be hot.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite
 component take no part; components missing against the longest vector count
-as 0; equal rows (id and vector) count once; a query's own candidates are all
-rows with its vec_id; equal scores go to the smaller vec_id (then any of equal
-ids); fewer than k candidates: all are returned; a null vec_id takes no part;
-an empty table gives no rows; other columns are ignored. Component sums must
-fit in a 64-bit integer.
+as 0; every row counts, repeated ids and vectors too, and each query row has
+a list of its own (``query_rid``); a query's candidates are all rows but its
+own; equal scores go to the smaller vec_id; fewer than k candidates: all are
+returned; a null vec_id takes no part; an empty table gives no rows; other
+columns are ignored. Component sums must fit in a 64-bit integer.
 """
 
 from __future__ import annotations
@@ -39,17 +39,18 @@ from quire.session import cut
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 16384     # queries of one grid cell
-STEP_QUERIES = 256      # queries whose bounds are held at once
 FEW = 64                # candidates that may be left when reading stops
-DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)   # of the lists, in steps
+STEPS = 16              # steps in which a list is read at most
 
 
 def integer_vectors(table: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
-    """``(vec_id, v array<long>)`` of the usable rows: floor(scale * x)."""
+    """``(rid, vec_id, v array<long>)`` of the usable rows: floor(scale * x),
+    written once so that row ids are the same wherever they are read."""
     x = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("x"))
     bad = F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
-    return (x.filter(F.col("vec_id").isNotNull() & (F.size("x") > 0) & ~bad)
-            .select("vec_id", F.transform("x", lambda e: F.floor(e * scale)).alias("v")).distinct())
+    return cut(x.filter(F.col("vec_id").isNotNull() & (F.size("x") > 0) & ~bad)
+               .select(F.monotonically_increasing_id().alias("rid"), "vec_id",
+                       F.transform("x", lambda e: F.floor(e * scale)).alias("v")), "vectors")
 
 
 def _matrix(lists: list, dim: int) -> np.ndarray:
@@ -60,101 +61,106 @@ def _matrix(lists: list, dim: int) -> np.ndarray:
 
 
 class Shard:
-    """Candidates with their sorted lists."""
+    """Candidates with their sorted lists. ``touched`` counts the values read."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, rids: np.ndarray, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
+        self.rids, self.ids = rids[order], ids[order]
         # products exact in doubles where they fit, else in 64-bit integers
         big = x.size and float(np.abs(x).max()) ** 2 * x.shape[1] >= 2**52
         self.x = x[order] if big else x[order].astype(np.float64)
-        self.sorted = np.sort(self.x, axis=0)
+        self.lists = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
+        self.values = np.take_along_axis(self.x, self.lists, axis=0)
+        self.touched = 0
 
-    def top(self, ids: np.ndarray, q: np.ndarray, k: int):
-        """Per query the (candidate position, score) of its k best here."""
+    def top(self, own: int, q: np.ndarray, k: int, floor=None) -> tuple[np.ndarray, np.ndarray]:
+        """(candidate position, score) of the query's k best here, best first;
+        those below ``floor`` may be missing."""
         q = q.astype(self.x.dtype)
-        out: list = [None] * len(q)
         n = len(self.ids)
-        left = np.arange(len(q))
-        for depth in [max(k, int(n * d)) for d in DEPTHS] + [n]:
-            depth = min(depth, n)
-            low, up = self._bounds(q[left], depth)
-            own = self.ids[None, :] == ids[left][:, None]
-            low[own] = up[own] = np.iinfo(np.int64).min // 2 if low.dtype.kind == "i" else -np.inf
-            kth = np.partition(low, max(0, n - k), axis=1)[:, max(0, n - k)]
-            can = (up >= kth[:, None]) & ~own
-            stop = (can.sum(axis=1) <= max(FEW, 2 * k)) | (depth == n)
-            for r in np.nonzero(stop)[0].tolist():
-                at = np.nonzero(can[r])[0]
-                score = self.x[at] @ q[left[r]]
-                best = np.lexsort((self.ids[at], -score))[:k]
-                out[left[r]] = (at[best], score[best])
-            left = left[~stop]
-            if not len(left):
+        dims = np.nonzero(q)[0]
+        up, w = q[dims] > 0, q[dims]
+        # contributions fall along these lists
+        lists = np.where(up, self.lists[::-1, dims], self.lists[:, dims])
+        values = np.where(up, self.values[::-1, dims], self.values[:, dims]) * w
+        unmet = np.ones((n, len(dims)), self.x.dtype)
+        score = np.zeros(n, self.x.dtype)
+        left = np.nonzero(self.rids != own)[0]
+        step = max(k, -(-n // STEPS))
+        for at in range(0, n, step):
+            if len(left) <= max(FEW, 2 * k) or not len(dims):
                 break
-        return out
-
-    def _bounds(self, q: np.ndarray, depth: int):
-        """Lower and upper bounds after reading every list to ``depth``."""
-        pos, neg = np.maximum(q, 0), np.minimum(q, 0)
-        if depth >= len(self.ids):
-            exact = q @ self.x.T
-            return exact, exact.copy()
-        down, up_ = self.sorted[-depth], self.sorted[depth - 1]     # reading fronts from above and below
-        first, last = self.sorted[0], self.sorted[-1]
-        low = pos @ np.where(self.x >= down, self.x, first).T + neg @ np.where(self.x <= up_, self.x, last).T
-        high = pos @ np.maximum(self.x, down).T + neg @ np.minimum(self.x, up_).T
-        return low, high
+            rows, read = lists[at:at + step], values[at:at + step]
+            self.touched += read.size
+            np.add.at(score, rows, read)
+            unmet[rows, np.arange(len(dims))] = 0
+            bounds = np.stack([values[-1], read[-1]], axis=1)       # ends and reading fronts of the lists
+            low, high = (score[left][:, None] + unmet[left] @ bounds).T
+            kth = np.partition(low, len(low) - k)[len(low) - k]
+            left = left[high >= (kth if floor is None else max(kth, floor))]
+        self.touched += len(left) * len(dims)
+        final = self.x[left] @ q
+        best = np.lexsort((self.ids[left], -final))[:k]
+        return left[best], final[best]
 
 
 def _cells(k: int, dim: int):
-    """Rows (shard, qblock, is_query, vec_id, v), candidates of a cell before
-    its queries -> each query's k best of the shard."""
+    """Rows (shard, qblock, kind, rid, vec_id, v, floor), candidates of a cell
+    before its queries -> each query's k best of the shard."""
     def run(batches):
         for _, parts in _groups(batches, 2):
             table = pa.Table.from_batches(parts)
-            kind = table.column(2).to_numpy()
-            ids = table.column(3).to_numpy()
-            x = _matrix(table.column(4).to_pylist(), dim)
+            kind, rids, ids = (table.column(i).to_numpy() for i in (2, 3, 4))
+            floors = table.column(6).to_pylist()
+            x = _matrix(table.column(5).to_pylist(), dim)
             if not (kind == 0).any() or not (kind == 1).any():
                 continue
-            shard = Shard(ids[kind == 0], x[kind == 0])
-            q_ids, q = ids[kind == 1], x[kind == 1]
-            for at in range(0, len(q), STEP_QUERIES):
-                found = shard.top(q_ids[at:at + STEP_QUERIES], q[at:at + STEP_QUERIES], k)
-                cols = ([], [], [])
-                for i, (where, score) in zip(q_ids[at:at + STEP_QUERIES].tolist(), found):
-                    cols[0].extend([i] * len(where))
-                    cols[1].extend(shard.ids[where].tolist())
-                    cols[2].extend(int(s) for s in score)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                                 names=["query_id", "vec_id", "score"])
+            shard = Shard(rids[kind == 0], ids[kind == 0], x[kind == 0])
+            cols: tuple = ([], [], [], [])
+            for row in np.nonzero(kind == 1)[0].tolist():
+                where, score = shard.top(rids[row], x[row], k, floors[row])
+                for col, v in zip(cols, (rids[row], ids[row])):
+                    col.extend([int(v)] * len(where))
+                cols[2].extend(shard.ids[where].tolist())
+                cols[3].extend(int(s) for s in score)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
+                                             names=["query_rid", "query_id", "vec_id", "score"])
 
     return run
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: the k best of ``vectors(vec_id,
-    v)`` for each row of ``queries(vec_id, v)`` but its own."""
-    vectors = cut(vectors, "vectors")
-    queries = cut(queries, "queries")
+    """``(query_rid, query_id, rank, vec_id, score)``: the k best of
+    ``vectors(rid, vec_id, v)`` for each row of ``queries``, of the same
+    columns, but the row itself."""
     shape = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n_queries = queries.count()
-    dim = max(shape["dim"] or 1, queries.agg(F.max(F.size("v"))).first()[0] or 1)
+    asked = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
+    dim = max(shape["dim"] or 1, asked["dim"] or 1)
     shards = max(1, -(-shape["n"] // SHARD_ROWS))
-    qblocks = max(1, -(-n_queries // QUERY_BLOCK))
-
-    def numbers(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    h = F.xxhash64("vec_id", "v")
-    cells = (vectors.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), numbers(qblocks).alias("qblock"),
-                            F.lit(0).alias("kind"), "vec_id", "v")
-             .unionByName(queries.select(numbers(shards).alias("shard"),
-                                         F.pmod(h, F.lit(qblocks)).cast("int").alias("qblock"),
-                                         F.lit(1).alias("kind"), "vec_id", "v")))
-    found = (cells.repartition(shards * qblocks, "shard", "qblock").sortWithinPartitions("shard", "qblock", "kind")
-             .mapInArrow(_cells(k, dim), "query_id long, vec_id long, score long"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    qblocks = max(1, -(-asked["n"] // QUERY_BLOCK))
+    h = F.xxhash64("vec_id", "v", "rid")
+    dealt = vectors.select(F.pmod(h, F.lit(shards)).cast("int").alias("shard"), "rid", "vec_id", "v")
+
+    def numbers(a, b):
+        return F.explode(F.sequence(F.lit(a), F.lit(b)))
+
+    def search(asked_rows, first, last):
+        cells = (dealt.filter(F.col("shard").between(first, last))
+                 .select("shard", numbers(0, qblocks - 1).alias("qblock"), F.lit(0).alias("kind"), "rid", "vec_id", "v",
+                         F.lit(None).cast("long").alias("floor"))
+                 .unionByName(asked_rows.select(numbers(first, last).alias("shard"),
+                                                F.pmod(h, F.lit(qblocks)).cast("int").alias("qblock"),
+                                                F.lit(1).alias("kind"), "rid", "vec_id", "v", "floor")))
+        return (cells.repartition((last - first + 1) * qblocks, "shard", "qblock")
+                .sortWithinPartitions("shard", "qblock", "kind")
+                .mapInArrow(_cells(k, dim), "query_rid long, query_id long, vec_id long, score long"))
+
+    found = cut(search(queries.withColumn("floor", F.lit(None).cast("long")), 0, 0), "found")
+    if shards > 1:
+        # a query's k-th score in the first shard; none where it has fewer
+        floors = cut(found.groupBy("query_rid").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor"))
+                     .filter(F.col("n") == k).select(F.col("query_rid").alias("rid"), "floor"), "floors")
+        found = found.unionByName(search(queries.join(floors, "rid", "left"), 1, shards - 1))
+    w = Window.partitionBy("query_rid").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+            .select("query_rid", "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))

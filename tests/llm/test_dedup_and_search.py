@@ -120,23 +120,49 @@ def test_top_k_matches_brute_force(spark, monkeypatch):
     rnd = np.random.default_rng(4)
     rows = [(i, [float(x) for x in np.round(rnd.normal(0, 1, 6), 1)]) for i in range(330)]
     rows += [(1000 + i, rows[7][1]) for i in range(40)]                      # ties
-    rows += [rows[0], (2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6),
+    # rows repeated whole, and one id with another vector
+    rows += [rows[0], rows[7], rows[7], (50, [2.0] * 6), (2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [float("nan")] * 6),
              (2003, [float("inf")] * 6), (2004, []), (None, [1.0] * 6), (2005, [3.0, 3.0])]
     df = spark.createDataFrame([(i, v, 0, "s") for i, v in rows], "vec_id long, embedding array<float>, x int, v string")
     vectors = topk.integer_vectors(df, "vec_id", "embedding")
     got = {}
     for r in topk.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5).collect():
-        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    usable = {i: np.floor(np.array(v, np.float32).astype(float) * 256).astype(int) for i, v in rows
-              if i is not None and v and None not in v and np.isfinite(v).all()}
-    usable = {i: np.pad(v, (0, 6 - len(v))) for i, v in usable.items()}
-    for q in [i for i in usable if i % 50 == 0]:
-        best = sorted(((-int(v @ usable[q]), i) for i, v in usable.items() if i != q))[:5]
-        assert [got[q][k] for k in range(1, 6)] == [(i, -s) for s, i in best]
+        got.setdefault(r.query_rid, {"id": r.query_id})[r["rank"]] = (r.vec_id, r.score)
+    usable = [(i, np.floor(np.array(v, np.float32).astype(float) * 256).astype(int)) for i, v in rows
+              if i is not None and v and None not in v and np.isfinite(v).all()]
+    usable = [(i, np.pad(v, (0, 6 - len(v)))) for i, v in usable]
+    # every row counts, repeated ones too, and only the query's own row is no candidate
+    want = []
+    for n, (i, q) in enumerate(usable):
+        if i % 50 == 0:
+            best = sorted(((-int(v @ q), j) for m, (j, v) in enumerate(usable) if m != n))[:5]
+            want.append((i, [(j, -s) for s, j in best]))
+    assert sorted((g["id"], [g[k] for k in range(1, 6)]) for g in got.values()) == sorted(want)
+    assert len(want) == 10
     few = topk.top_k(vectors.filter("vec_id < 3"), vectors.filter("vec_id = 0"), 5)
     assert few.count() == 2 and topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_lists_are_read_in_part_on_the_given_vectors(spark):
+    v = topk.integer_vectors(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), "vec_id", "embedding")
+    rows = v.collect()
+    x = np.array([r.v for r in rows])
+    shard = topk.Shard(np.array([r.rid for r in rows]), np.array([r.vec_id for r in rows]), x)
+    asked = [i for i, r in enumerate(rows) if r.vec_id % 50 == 0]
+    for i in asked:
+        where, score = shard.top(rows[i].rid, x[i], 5)
+        exact = np.delete(x @ x[i], i)
+        assert sorted(score, reverse=True) == sorted(exact, reverse=True)[:5]
+    assert shard.touched < 0.9 * len(asked) * x.size
+    # a floor from elsewhere stops reading earlier, and nothing at or above it is lost
+    plain, shard.touched = shard.touched, 0
+    for i in asked:
+        exact = np.delete(x @ x[i], i)
+        where, score = shard.top(rows[i].rid, x[i], 5, float(exact.max()))
+        assert score[0] == exact.max()
+    assert shard.touched < plain
+
+
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("a.b.example.org", "/es/x", "allow"),
          ("org", "/", "allow"), ("net", "", "block"), ("net", "/ok", "allow")]
 

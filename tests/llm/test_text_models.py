@@ -24,12 +24,14 @@ def test_escaping_is_reversible_and_hides_control_strings():
 def test_conversations_read_back_from_the_output(spark):
     rows = [(1, 1, "assistant", "b <|im_end|>\n"), (1, 0, "user", "a"), (1, 2, "assistant", None), (2, 0, None, ""),
             (3, 5, "user", "tie b"), (3, 5, "user", "tie a"), (3, 5, "user", "tie a"), (None, 0, "user", "no id"),
-            (4, 0, "assistant", "é" * 70_000)]
+            (4, 0, "assistant", "é" * 70_000),
+            # ties that sort otherwise once formatted
+            (5, 1, "user", "a b"), (5, 1, "user", "a"), (5, 2, "user", "<ax"), (5, 2, "user", "<|x"), (5, None, "user", "z")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, loss string")
     formatted = chat.format_conversations(chat.text_parts(df))
     got = {r.conv_id: r for r in chat.digests(formatted).collect()}
-    assert set(got) == {1, 2, 3, 4, None}
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or "", r[3] or ""))
+    assert set(got) == {1, 2, 3, 4, 5, None}
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
     for conv, r in got.items():
         mine = [(role or "", text or "") for c, _, role, text in order if c == conv]
         turns = "".join(f"{role}\n{text}\n" for role, text in mine)
@@ -55,6 +57,18 @@ def test_parts_become_ordered_placeholders_with_attachments():
     assert "".join(map(chat.unescape, masked)) == "see <|image_1|> end"    # placeholders carry no loss
 
 
+def test_attachments_are_numbered_through_a_conversation_and_odd_sizes_are_one_unit(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 0, "user", [("image", None, "a", 10, None, None, None), ("audio", None, "b", None, None, nan, None)]),
+            (1, 1, "assistant", [("audio", None, "c", None, None, inf, None), ("image", None, "d", -5, 60, None, None)]),
+            (2, 0, "user", [("document", None, "e", None, None, None, -1), ("audio", None, "f", None, None, -inf, None)])]
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>")
+    got = {(r.conv_id, r.turn): r for r in chat.format_conversations(df).collect()}
+    assert [(a.n, a.ref, a.tokens) for k in sorted(got) for a in got[k].attachments] == [
+        (1, "a", 1), (2, "b", 1), (3, "c", 1), (4, "d", 3), (1, "e", 256), (2, "f", 1)]
+    assert "<|audio_3|><|image_4|>" in got[1, 1].formatted and "<|document_1|>" in got[2, 0].formatted
+
+
 # --------------------------------------------------------------------- pii
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
