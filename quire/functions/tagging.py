@@ -26,7 +26,10 @@ def rules_frame(spark: SparkSession, rules=None) -> DataFrame:
     fixed default rules)."""
     rules = fixed.DEFAULT_RULES if rules is None else rules
     rows = [(cat, i, kw) for i, (cat, kws) in enumerate(rules) for kw in kws]
-    return spark.createDataFrame(rows, "category_id string, category_ord int, keyword string")
+    df = spark.createDataFrame(rows, "category_id string, category_ord int, keyword string")
+    # known here already: no job has to read them back
+    df._quire_rules = [(cat, list(kws)) for cat, kws in rules if kws] if len(rows) <= MAX_KEYWORDS else None
+    return df
 
 
 def _ordered_rules(rules_df: DataFrame, limit: int = MAX_KEYWORDS):
@@ -55,7 +58,9 @@ def tag_text_expr(text: Column, grouped_rules) -> Column:
             c = text.contains(F.lit(kw.lower()))
             cond = c if cond is None else (cond | c)
         hits.append(F.when(cond, F.lit(cat)))
-    return F.array_distinct(F.filter(F.array(*hits), lambda x: x.isNotNull()))
+    # distinct hits without the nulls, in one generated loop (a higher-order
+    # function would be interpreted, the text's preparation included, per keyword)
+    return F.array_except(F.array(*hits), F.array(F.lit(None).cast("string")))
 
 
 def tag_source_text(title, abstract) -> Column:

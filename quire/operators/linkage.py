@@ -2,25 +2,33 @@
 and greedy keep-first dedup inside a batch (J3).
 
 J2 is an exact prefix-filter set-similarity join (Chaudhuri et al. 2006,
-Bayardo et al. 2007, Xiao et al. 2008): order the words of every set by
-(document frequency, word); any pair with Jaccard >= t shares one of the
-first ``n - ceil(t*n) + 1`` words of each set and has
-``min(n1, n2) >= t * max(n1, n2)``. Candidates come from an equi-join on
-prefix words and are verified exactly; nothing is sampled or capped.
-
-J3 (keep a row unless an *accepted* earlier row matches it) runs in rounds.
-A row is accepted when no smaller undecided row can match it. A shared
-exact key blocks it, and so does a large shared (prefix word, nearby size
-bucket) group unless the row is that group's smallest holder. In small
-groups (at most SMALL_GROUP holders) the row is compared exactly with its
-smaller holders. Undecided rows matching a newly accepted row are then
-dropped. Every join meets a bounded number of partners per prefix entry, so
-each round is linear even for a cluster of near copies holding a third of
-the batch: no all-pairs step anywhere.
+Bayardo et al. 2007, Xiao et al. 2008): order the words of every set alike;
+any pair with Jaccard >= t shares one of the first ``n - ceil(t*n) + 1`` words
+of each set and has ``min(n1, n2) >= t * max(n1, n2)``. Candidates come from an
+equi-join on prefix words and are verified exactly; nothing is sampled or
+capped. Any total order is exact; a good one puts frequent words last. Word
+hashes are counted in a fixed number of slots (``word_table``), and words are
+ordered by (frequency class of their slot, hash) inside each row, so no word
+is ever shuffled to learn its frequency.
+
+A group of sets that share a prefix word is compared pair by pair only where
+the probing or the held side is small, so that the work is linear in the
+group. A large group first tries one held set on every probe (``search``); the
+probes left over are told apart by a second shared word, then a third (any
+pair that shares k words has its k smallest ones in the first
+``n - ceil(t*n) + k`` of both), until the groups are small.
+
+J3 (keep a row unless an *accepted* earlier row matches it) runs in rounds. A
+round searches each undecided row's earlier matches: all of them in small
+groups, one in large groups. Rows whose matches are all known are then decided
+along the links found, however long their chains are; a row that a large
+group's first holder blocks waits for the next round. Each round decides at
+least the first undecided row.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 from decimal import Decimal
 
@@ -51,9 +59,12 @@ def size_bucket(n: Column, threshold) -> Column:
     return F.floor(F.log(n.cast("double")) / F.lit(step)).cast("int")
 
 
-# Groups of at most this many undecided holders are resolved by exact
-# pairwise checks inside a round (a constant bound: work stays linear).
+#: a group is compared pair by pair if one side has at most so many sets
 SMALL_GROUP = 16
+#: shared words after which a group is compared pair by pair whatever its size
+LEVELS = 6
+#: slots of the word frequency table, one byte each
+SLOTS = 1 << 16
 
 
 def bucket_reach(strict: bool) -> int:
@@ -68,30 +79,69 @@ def _near_buckets(b: Column, reach: int = 2) -> Column:
     return F.explode(F.sequence(b - reach, b + reach))
 
 
-def vocabulary(*sets: DataFrame) -> DataFrame:
-    """Document frequency of every word over the union of ``(rid, words)``
-    frames (a partial/final aggregate, so a hot word costs nothing extra)."""
-    u = None
-    for s in sets:
-        w = s.select(F.explode("words").alias("token"))
-        u = w if u is None else u.unionByName(w)
-    return u.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS))
 
 
-def prefixes(sets: DataFrame, vocab: DataFrame, threshold) -> DataFrame:
-    """``(rid, token, n)`` for the prefix words of every non-empty set.
+def word_table(*sets: DataFrame) -> bytes:
+    """Frequency class (eighths of a power of two) of every slot of word
+    hashes over the ``(rid, words)`` frames: ``SLOTS`` bytes, whatever the
+    number of words. Counted map-side; only slot counts move."""
+    u = functools.reduce(DataFrame.unionByName, [s.select(F.explode("words").alias("w")) for s in sets])
+    counts = u.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    cls = F.least(F.lit(255), 1 + F.floor(4 * F.log2("n"))).cast("int").alias("cls")
+    found = counts.select("slot", cls).toArrow()            # at most SLOTS rows
+    table = bytearray(SLOTS)
+    for slot, c in zip(found.column("slot").to_pylist(), found.column("cls").to_pylist()):
+        table[slot] = c
+    return bytes(table)
+
+
+def prefix_rows(sets: DataFrame, table: bytes, threshold, more: int = 0) -> DataFrame:
+    """``(rid, n, p, bucket, tokens)`` for every non-empty set: the hashes of
+    its first words in the common order, of which the first ``p`` are the
+    prefix and up to ``more`` further ones follow. A set too small for any
+    inexact match has one token, all its words: short titles that merely share
+    a word never meet."""
+    freq = F.lit(bytearray(table))
+    n = F.size("words")
+    ordered = F.sort_array(F.transform("words", lambda w: F.struct(
+        F.substr(freq, (_slot(w) + 1).cast("int"), F.lit(1)).alias("f"), F.xxhash64(w).alias("h"), w.alias("w"))))
+    whole = F.xxhash64(F.lit("="), F.array_join(F.sort_array("words"), " "))
+    small = n < only_equal_below(threshold)
+    p = F.when(small, 1).otherwise(prefix_length(n, threshold))
+    tokens = F.when(small, F.array(whole)).otherwise(
+        F.transform(F.slice(ordered, F.lit(1), prefix_length(n, threshold) + more), lambda x: x["h"]))
+    return (sets.filter(n > 0).select("rid", n.alias("n"), p.cast("int").alias("p"),
+                                      size_bucket(n, threshold).alias("bucket"), tokens.alias("tokens")))
+
+
+def entries(rows: DataFrame) -> DataFrame:
+    """``(rid, n, p, bucket, key, pos)``: one row per prefix word."""
+    return rows.select("rid", "n", "p", "bucket", F.posexplode(F.slice("tokens", F.lit(1), F.col("p"))).alias("pos", "key")
+                       ).withColumn("pos", F.col("pos") + 1)
+
+
+def near_entries(rows: DataFrame, strict: bool = True) -> DataFrame:
+    """As ``entries``, once for every size bucket a match may be in."""
+    return entries(rows).withColumn("bucket", _near_buckets(F.col("bucket"), bucket_reach(strict)))
 
-    The words of one set are ranked by (df, word) inside the set's own group:
-    a group is one record's distinct words, bounded by the record.
-    """
-    from pyspark.sql import Window
 
-    toks = (sets.select("rid", F.size("words").alias("n"), F.explode("words").alias("token"))
-            .join(vocab, "token"))
-    w = Window.partitionBy("rid").orderBy("df", "token")
-    return (toks.withColumn("_k", F.row_number().over(w))
-            .filter(F.col("_k") <= prefix_length(F.col("n"), threshold))
-            .select("rid", "token", "n"))
+def _longer(shared: DataFrame, rows: DataFrame, level: int) -> DataFrame:
+    """Entries with one more shared word, at a later place than their last."""
+    e = shared.join(rows.select("rid", "tokens"), "rid")
+    end = F.least(F.col("p") + (level - 1), F.size("tokens"))
+    e = e.filter(F.col("pos") < end).withColumn("at", F.explode(F.sequence(F.col("pos") + 1, end)))
+    return e.select("rid", "n", "p", "bucket", F.xxhash64("key", F.get("tokens", F.col("at") - 1)).alias("key"),
+                    F.col("at").alias("pos"))
+
+
+def can_match(threshold) -> Column:
+    """Sizes and places of the shared word leave room for enough overlap."""
+    t = _dec(threshold)
+    most = F.least("l_pos", "r_pos") + F.least(F.col("l_n") - F.col("l_pos"), F.col("r_n") - F.col("r_pos"))
+    return ((F.least("l_n", "r_n") >= t * F.greatest("l_n", "r_n"))
+            & (most * (1 + t) >= t * (F.col("l_n") + F.col("r_n"))))
 
 
 def only_equal_below(threshold) -> int:
@@ -101,31 +151,39 @@ def only_equal_below(threshold) -> int:
     return int((t / (1 - t)).to_integral_value(rounding="ROUND_CEILING")) if t < 1 else 1 << 30
 
 
-def blocking_keys(sets: DataFrame, vocab: DataFrame, threshold) -> DataFrame:
-    """``(rid, token, n)`` as ``prefixes``, but a set too small for any
-    inexact match has one key, all its words: short titles that merely share
-    a word never meet."""
-    small = F.size("words") < only_equal_below(threshold)
-    whole = sets.filter(small & (F.size("words") > 0)).select(
-        "rid", F.concat(F.lit("="), F.array_join(F.array_sort("words"), " ")).alias("token"),
-        F.size("words").alias("n"))
-    return prefixes(sets.filter(~small), vocab, threshold).unionByName(whole)
+def _similar(inter: Column, n1: Column, n2: Column, threshold, strict: bool) -> Column:
+    # float division compares like the reference: 17/20 equals the literal 0.85
+    sim = inter.cast("double") / (n1 + n2 - inter).cast("double")
+    return sim > float(threshold) if strict else sim >= float(threshold)
 
 
 def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold, strict: bool) -> DataFrame:
-    l_ = left.select(F.col("rid").alias("l_rid"), F.col("words").alias("l_words"))
-    r_ = right.select(F.col("rid").alias("r_rid"), F.col("words").alias("r_words"))
-    p = pairs.join(l_, "l_rid").join(r_, "r_rid")
+    """Pairs whose sets are similar. Word hashes, a number a word, are
+    compared first: they never make a pair look less similar; what is left is
+    compared word by word."""
+    def sets(df, side):
+        return df.select(F.col("rid").alias(f"{side}_rid"), F.col("words").alias(f"{side}_words"))
+
+    def hashes(df, side):
+        return df.select(F.col("rid").alias(f"{side}_rid"),
+                         F.transform("words", lambda w: F.xxhash64(w)).alias(f"{side}_hashes"))
+
+    shared = F.size(F.array_intersect("l_hashes", "r_hashes"))
+    p = pairs.join(hashes(left, "l"), "l_rid").join(hashes(right, "r"), "r_rid")
+    p = p.filter(_similar(shared, F.size("l_hashes"), F.size("r_hashes"), threshold, strict)).select("l_rid", "r_rid")
+    p = p.join(sets(left, "l"), "l_rid").join(sets(right, "r"), "r_rid")
     inter = F.size(F.array_intersect("l_words", "r_words"))
-    sim = inter.cast("double") / (F.size("l_words") + F.size("r_words") - inter).cast("double")
-    p = p.withColumn("similarity", sim)
-    # float division compares like the reference: 17/20 equals the literal 0.85
-    cond = F.col("similarity") > float(threshold) if strict else F.col("similarity") >= float(threshold)
-    return p.filter(cond).select("l_rid", "r_rid", "similarity")
+    p = p.withColumn("similarity", inter.cast("double") / (F.size("l_words") + F.size("r_words") - inter).cast("double"))
+    return p.filter(_similar(inter, F.size("l_words"), F.size("r_words"), threshold, strict)) \
+        .select("l_rid", "r_rid", "similarity")
+
+
+def _side(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select("key", "bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "n", "pos")])
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", strict: bool = True,
-                  vocab: DataFrame | None = None) -> DataFrame:
+                  table: bytes | None = None) -> DataFrame:
     """All pairs ``(l_rid, r_rid, similarity)`` with word-set Jaccard
     above (``strict``) or at least ``threshold``.
 
@@ -135,39 +193,88 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", st
     """
     self_join = right is None
     right = left if self_join else right
-    left = left.filter(F.size("words") > 0)
-    right = right.filter(F.size("words") > 0)
-    if vocab is None:
-        vocab = vocabulary(left) if self_join else vocabulary(left, right)
-    # no broadcast hint on the vocabulary: it grows with the data; AQE
-    # broadcasts it at runtime when small and splits hot words otherwise
-    lp = prefixes(left, vocab, threshold).select(
-        F.col("rid").alias("l_rid"), "token", F.col("n").alias("l_n"))
-    rp = lp if self_join else prefixes(right, vocab, threshold)
-    rp = rp.select(F.col(rp.columns[0]).alias("r_rid"), "token", F.col(rp.columns[2]).alias("r_n"))
-    # equi-join on (word, size bucket): one side visits its 5 neighbouring
+    if table is None:
+        table = word_table(left) if self_join else word_table(left, right)
+    # equi-join on (word, size bucket): one side visits its neighbouring
     # buckets, so a frequent prefix word only pairs sets of similar size
-    lp = lp.withColumn("bucket", _near_buckets(size_bucket(F.col("l_n"), threshold), bucket_reach(strict)))
-    rp = rp.withColumn("bucket", size_bucket(F.col("r_n"), threshold))
-    t = _dec(threshold)
-    cand = lp.join(rp, ["token", "bucket"]).filter(
-        (F.least("l_n", "r_n") >= t * F.greatest("l_n", "r_n")))
+    lp = _side(near_entries(prefix_rows(left, table, threshold), strict), "l")
+    rp = _side(entries(prefix_rows(right, table, threshold)), "r")
+    cand = lp.join(rp, ["key", "bucket"]).filter(can_match(threshold))
     if self_join:
         cand = cand.filter(F.col("l_rid") < F.col("r_rid"))
     cand = cand.select("l_rid", "r_rid").distinct()
     return _verify(cand, left, right, threshold, strict)
 
 
+def _meet(probing: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
+    """Join on a hash of the keys: dealt anew, the rows of both sides come
+    straight from a shuffle, which Spark's skew handling needs to split a hot
+    group. Pairs that only share the hash are left to the exact check."""
+    h = F.xxhash64(*keys)
+    return probing.withColumn("_h", h).drop(*keys).join(held.withColumn("_h", h).drop(*keys), "_h").drop("_h")
+
+
+def search(probes: DataFrame, held: DataFrame, probe_rows: DataFrame, held_rows: DataFrame, probe_words: DataFrame,
+           held_words: DataFrame, threshold, strict: bool, earlier: bool, scope: list | None = None,
+           on_candidates=None) -> tuple[DataFrame, DataFrame]:
+    """Matches ``(l_rid, r_rid)`` of held set l and probe r, among the row
+    ids ``probes`` and ``held`` of the prefix rows; with ``earlier`` only
+    l < r. Returns the matches found in small groups and those with the one
+    held set that a large group tries. A probe without any match in the second
+    table has all its matches in the first; else it may have more. Without
+    ``earlier`` one match is enough for a probe, it is searched no further."""
+    pe = entries(probe_rows.join(probes, "rid", "left_semi"))
+    he = entries(held_rows.join(held, "rid", "left_semi"))
+    found, tried, level = [], [], 1
+    while True:
+        near = _side(pe.withColumn("bucket", _near_buckets(F.col("bucket"), bucket_reach(strict))), "r")
+        # the first held set decides most in a batch; any other one will do
+        one = F.min("rid") if earlier else F.min_by("rid", F.xxhash64("rid", "key"))
+        # written, so that hot groups meet it by plain shuffles that can be split
+        groups = cut(near.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("probing")).join(
+            he.groupBy("key", "bucket").agg(F.count(F.lit(1)).alias("holding"), one.alias("one")), ["key", "bucket"])
+            .withColumn("small", (F.least("probing", "holding") <= SMALL_GROUP) | F.lit(level >= LEVELS)), "groups", scope)
+        small, large = groups.filter("small").select("key", "bucket"), groups.filter("NOT small")
+        cand = _meet(near.join(small, ["key", "bucket"]), _side(he, "l"), "key", "bucket").filter(can_match(threshold))
+        cand = (cand.filter(F.col("l_rid") < F.col("r_rid")) if earlier else cand).select("l_rid", "r_rid").distinct()
+        found.append(cut(_verify(cand, held_words, probe_words, threshold, strict).select("l_rid", "r_rid"),
+                         "matches", scope))
+        if on_candidates is not None:
+            on_candidates(cand.count())
+        if large.isEmpty():
+            break
+        cand = near.join(large, ["key", "bucket"]).select(F.col("one").alias("l_rid"), "r_rid")
+        cand = (cand.filter(F.col("l_rid") < F.col("r_rid")) if earlier else cand).distinct()
+        hit = cut(_verify(cand, held_words, probe_words, threshold, strict).select("l_rid", "r_rid"), "tried", scope)
+        tried.append(hit)
+        if on_candidates is not None:
+            on_candidates(cand.count())
+        done = hit.select(F.col("r_rid").alias("rid"))
+        if not earlier:
+            done = done.unionByName(found[-1].select(F.col("r_rid").alias("rid")))
+        keys = large.select("key", "bucket")
+        still = (pe.withColumn("own", F.col("bucket")).withColumn("bucket", _near_buckets(F.col("own"), bucket_reach(strict)))
+                 .join(keys, ["key", "bucket"], "left_semi").drop("bucket").withColumnRenamed("own", "bucket").distinct()
+                 .join(done.distinct(), "rid", "left_anti"))
+        level += 1
+        pe = cut(_longer(still, probe_rows, level), "probes", scope)
+        he = cut(_longer(he.join(keys, ["key", "bucket"], "left_semi"), held_rows, level), "held", scope)
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return union(found), union(tried) if tried else found[0].limit(0)
+
+
 def distinct_sets(rows: DataFrame, name: str = "sets") -> tuple[DataFrame, DataFrame]:
-    """Collapse identical word sets: returns ``sets(rid, words, members)``
+    """Collapse identical non-empty word sets: returns ``sets(rid, words, members)``
     (``rid`` here is a set id) and ``members(rid, sid)``.
 
     A group of identical copies, however large, becomes one set with a
     member count, so no later join ever pairs the copies with each other.
     The set table is materialised so its ids are stable.
     """
-    # written once: the words may come from whole texts
-    d = cut(rows.select("rid", F.array_sort("words").alias("sw")).withColumn("_h", F.xxhash64("sw")), f"{name}-rows")
+    # written once, before any filter: the words may come from whole texts,
+    # and a filter on them would make them twice
+    d = cut(rows.select("rid", F.sort_array("words").alias("sw")), f"{name}-rows")
+    d = d.filter(F.size("sw") > 0).withColumn("_h", F.xxhash64("sw"))
     sets = cut(d.groupBy("_h", "sw").agg(F.count(F.lit(1)).alias("members"))
                .withColumn("sid", F.monotonically_increasing_id()), name)
     members = d.join(sets.select("_h", "sw", "sid"), ["_h", "sw"]).select("rid", "sid")
@@ -175,15 +282,19 @@ def distinct_sets(rows: DataFrame, name: str = "sets") -> tuple[DataFrame, DataF
 
 
 def similar_to_any(left: DataFrame, right: DataFrame, threshold="0.85", strict: bool = True,
-                   vocab: DataFrame | None = None) -> DataFrame:
+                   on_candidates=None) -> DataFrame:
     """Semi-join form of J2: ``rid`` of ``left`` rows with at least one
     ``right`` row above the threshold. Identical sets are collapsed on both
-    sides first, so copies never multiply the candidate pairs."""
-    ls, lm = distinct_sets(left.filter(F.size("words") > 0), "left-sets")
-    rs, _ = distinct_sets(right.filter(F.size("words") > 0), "right-sets")
-    vocab = vocab if vocab is not None else vocabulary(ls, rs)
-    hit = similar_pairs(ls.select("rid", "words"), rs.select("rid", "words"), threshold, strict, vocab=vocab)
-    sids = hit.select(F.col("l_rid").alias("sid")).distinct()
+    sides first, and one match ends the search for a set, so neither copies
+    nor near copies multiply the candidate pairs."""
+    ls, lm = distinct_sets(left, "left-sets")
+    rs, _ = distinct_sets(right, "right-sets")
+    table = word_table(ls, rs)
+    lp = cut(prefix_rows(ls, table, threshold, LEVELS), "left-prefixes")
+    rp = cut(prefix_rows(rs, table, threshold, LEVELS), "right-prefixes")
+    found, tried = search(ls.select("rid"), rs.select("rid"), lp, rp, ls, rs, threshold, strict, False,
+                          on_candidates=on_candidates)
+    sids = found.unionByName(tried).select(F.col("r_rid").alias("sid")).distinct()
     return lm.join(sids, "sid", "left_semi").select("rid")
 
 
@@ -193,7 +304,7 @@ def similar_counts(rows: DataFrame, threshold="0.85", strict: bool = True) -> Da
     (copies counted through member counts), never by listing pairs of
     copies."""
     rows = cut(rows.select("rid", "words"), "count-rows")
-    sets, members = distinct_sets(rows.filter(F.size("words") > 0), "count-sets")
+    sets, members = distinct_sets(rows, "count-sets")
     pairs = similar_pairs(sets.select("rid", "words"), None, threshold, strict)
     m = sets.select("rid", "members")
     ends = [F.struct(F.col(a).alias("sid"), F.col(b).alias("other")) for a, b in
@@ -220,13 +331,26 @@ def exact_key_rows(df: DataFrame, keys: dict[str, Column]) -> DataFrame:
 
 def anti_by_keys(batch_keys: DataFrame, index_keys: DataFrame) -> DataFrame:
     """``rid`` of batch rows that share any (kind, key) with the index."""
-    idx = index_keys.select("kind", "key").distinct()
-    return batch_keys.join(idx, ["kind", "key"], "left_semi").select("rid").distinct()
+    return batch_keys.join(index_keys.select("kind", "key"), ["kind", "key"], "left_semi").select("rid").distinct()
+
+
+def _shared_keys(keys: DataFrame, undecided: DataFrame, held: DataFrame, scope: list) -> tuple[DataFrame, DataFrame]:
+    """As ``search``, for shared exact keys: a shared key is a match."""
+    p, h = keys.join(undecided, "rid", "left_semi"), keys.join(held, "rid", "left_semi")
+    groups = cut(p.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("probing")).join(
+        h.groupBy("kind", "key").agg(F.count(F.lit(1)).alias("holding"), F.min("rid").alias("one")), ["kind", "key"])
+        .filter("holding > 1").withColumn("small", F.least("probing", "holding") <= SMALL_GROUP), "key-groups", scope)
+    p = p.withColumnRenamed("rid", "r_rid")
+    h = h.select(F.col("rid").alias("l_rid"), F.col("kind").alias("l_kind"), F.col("key").alias("l_key"), "kind", "key")
+    own = [F.col("kind").alias("r_kind"), F.col("key").alias("r_key")]
+    found = _meet(p.select("*", *own).join(groups.filter("small").select("kind", "key"), ["kind", "key"]), h, "kind", "key") \
+        .filter("l_kind = r_kind AND l_key = r_key")
+    tried = p.join(groups.filter("NOT small"), ["kind", "key"]).withColumn("l_rid", F.col("one"))
+    return tuple(x.filter("l_rid < r_rid").select("l_rid", "r_rid").distinct() for x in (found, tried))
 
 
 def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict: bool = True,
-                      vocab: DataFrame | None = None, max_rounds: int | None = None,
-                      on_round=None) -> DataFrame:
+                      max_rounds: int | None = None, on_round=None) -> DataFrame:
     """The rows kept by "walk in priority order; drop a row if an
     already *kept* row matches it".
 
@@ -237,77 +361,50 @@ def greedy_keep_first(rows: DataFrame, keys: DataFrame, threshold="0.85", strict
     writing its small state tables under the session's checkpoint directory.
     """
     spark = rows.sparkSession
-    if vocab is None:
-        vocab = vocabulary(rows.filter(F.size("words") > 0))
     scope: list = []   # per-round tables, deleted once the answer is written
     words = cut(rows.select("rid", "words"), "words", scope)
-    pre = cut(blocking_keys(rows, vocab, threshold)
-              .select("rid", "token", size_bucket(F.col("n"), threshold).alias("bucket")), "prefix", scope)
+    prefixes = cut(prefix_rows(words, word_table(words), threshold, LEVELS), "prefix", scope)
     keys = cut(keys.select("rid", "kind", "key"), "keys", scope)
     undecided = cut(rows.select("rid"), "undecided", scope)
     seen = undecided.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rid").alias("d")).first()
     if seen["n"] != seen["d"]:
         raise ValueError("greedy dedup needs a unique, non-null rid in every row")
+    n_left, rounds = seen["n"], 0
+    kept = undecided.limit(0)
     decided: DataFrame | None = None
-    rounds, before = 0, None
-    while True:
-        n_left = undecided.count()
-        if n_left == 0:
-            break
-        if n_left == before:
-            raise RuntimeError(f"greedy dedup decided none of {n_left} rows in a round")
-        before = n_left
+    while n_left:
         rounds += 1
         if max_rounds is not None and rounds > max_rounds:
             raise RuntimeError(f"greedy dedup did not finish in {max_rounds} rounds")
-        u_pre = pre.join(undecided, "rid", "left_semi")
-        u_keys = keys.join(undecided, "rid", "left_semi")
-        # per (prefix word, size bucket): smallest undecided holder and size;
-        # per key: smallest undecided holder
-        w_min = u_pre.groupBy("token", "bucket").agg(F.min("rid").alias("g_min"),
-                                                     F.count(F.lit(1)).alias("g_n"))
-        k_min = u_keys.groupBy("kind", "key").agg(F.min("rid").alias("g_min"))
-        probe = u_pre.select("rid", "token", _near_buckets(F.col("bucket"), bucket_reach(strict)).alias("bucket"))
-        near = probe.join(w_min, ["token", "bucket"]).filter(F.col("g_min") < F.col("rid"))
-        # a large group blocks every holder but its smallest; in a small group
-        # (<= SMALL_GROUP holders) a row is blocked only by a smaller holder it
-        # really matches, checked exactly (at most SMALL_GROUP pairs per entry)
-        hard = near.filter(F.col("g_n") > SMALL_GROUP).select("rid")
-        soft = (near.filter(F.col("g_n") <= SMALL_GROUP).select("rid", "token", "bucket")
-                .join(u_pre.select(F.col("rid").alias("l_rid"), "token", "bucket"), ["token", "bucket"])
-                .filter(F.col("l_rid") < F.col("rid"))
-                .select("l_rid", F.col("rid").alias("r_rid")).distinct())
-        soft = _verify(soft, words, words, threshold, strict).select(F.col("r_rid").alias("rid"))
-        blocked = (hard.unionByName(soft)
-                   .unionByName(u_keys.join(k_min, ["kind", "key"]).filter(F.col("g_min") < F.col("rid"))
-                                .select("rid"))
-                   .distinct())
-        accepted = undecided.join(blocked, "rid", "left_anti")
-        # drop undecided rows that share a key with a newly accepted row ...
-        a_keys = u_keys.join(accepted, "rid", "left_semi").select("kind", "key", F.col("rid").alias("a_rid"))
-        by_key = u_keys.join(a_keys, ["kind", "key"]).filter(F.col("rid") != F.col("a_rid")).select("rid")
-        # ... or is similar to one. A large group has at most one accepted
-        # holder per bucket (its smallest), a small one at most SMALL_GROUP,
-        # so each probe entry meets a bounded number of them
-        a_pre = u_pre.join(accepted, "rid", "left_semi").select(F.col("rid").alias("l_rid"), "token", "bucket")
-        cand = (probe.join(a_pre, ["token", "bucket"]).filter(F.col("rid") != F.col("l_rid"))
-                .select("l_rid", F.col("rid").alias("r_rid")).distinct())
-        # candidates are already linear in prefix entries: verify directly
-        sim = _verify(cand, words, words, threshold, strict).select(F.col("r_rid").alias("rid"))
-        dropped = by_key.unionByName(sim).distinct().withColumn("_d", F.lit(True))
-        # one materialised state table per round: accepted (A), dropped (D),
-        # still undecided (U)
-        state = cut(undecided.join(accepted.withColumn("_a", F.lit(True)), "rid", "left")
-                    .join(dropped, "rid", "left")
-                    .select("rid", F.when(F.col("_a"), F.lit("A")).when(F.col("_d"), F.lit("D"))
-                            .otherwise(F.lit("U")).alias("st")), "state", scope)
-        step = state.filter(F.col("st") != "U").select("rid", (F.col("st") == "A").alias("kept"))
-        decided = step if decided is None else decided.unionByName(step)
-        undecided = state.filter(F.col("st") == "U").select("rid")
         if on_round is not None:
             on_round(rounds, n_left)
         elif os.environ.get("QUIRE_TRACE"):
             print(f"greedy round {rounds}: {n_left} undecided", flush=True)
+        held = undecided.unionByName(kept)
+        found, tried = search(undecided, held, prefixes, prefixes, words, words, threshold, strict, True, scope)
+        same, first = _shared_keys(keys, undecided, held, scope)
+        waits = tried.unionByName(first).select(F.col("r_rid").alias("rid"), F.lit(True).alias("waits")).distinct()
+        links = cut(found.unionByName(tried).unionByName(same).unionByName(first).distinct(), "links", scope)
+        state = cut(undecided.join(waits, "rid", "left").select("rid", F.coalesce("waits", F.lit(False)).alias("waits"),
+                                                                F.lit("U").alias("st"))
+                    .unionByName(kept.select("rid", F.lit(False).alias("waits"), F.lit("A").alias("st"))), "state", scope)
+        left, before = n_left, None
+        while left and left != before:
+            # a row goes with an accepted earlier match; it stays once all its
+            # earlier matches have gone
+            above = (links.join(state.select(F.col("rid").alias("l_rid"), "st"), "l_rid")
+                     .groupBy(F.col("r_rid").alias("rid"))
+                     .agg(F.max(F.col("st") == "A").alias("gone"), F.max(F.col("st") == "U").alias("open")))
+            st = (F.when(F.col("st") != "U", F.col("st")).when(F.col("gone"), F.lit("D"))
+                  .when(F.col("open") | F.col("waits"), F.lit("U")).otherwise(F.lit("A")))
+            state = cut(state.join(above, "rid", "left").select("rid", "waits", st.alias("st")), "state", scope)
+            before, left = left, state.filter("st = 'U'").count()
+        if left == n_left:
+            raise RuntimeError(f"greedy dedup decided none of {n_left} rows in a round")
+        step = state.join(undecided, "rid", "left_semi").filter("st <> 'U'").select("rid", (F.col("st") == "A").alias("kept"))
+        decided = step if decided is None else decided.unionByName(step)
+        kept = state.filter("st = 'A'").select("rid")
+        undecided, n_left = state.filter("st = 'U'").select("rid"), left
     if decided is None:
         drop_cuts(spark, scope)
         return spark.createDataFrame([], "rid bigint, kept boolean")

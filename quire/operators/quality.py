@@ -207,15 +207,23 @@ def validate_catalog(raw: DataFrame, id_prefix: str = "qc") -> DataFrame:
         "path", _below(F.concat(F.lit("entries."), F.col("ord").cast("string")))))
 
 
+def path_key(path: Column) -> Column:
+    """Sort key of a violation's path: its steps one by one, list places as
+    numbers (``authors.2`` before ``authors.10``), a path before those that
+    continue it."""
+    return F.transform(F.split(path, "\\."), lambda step: F.struct(
+        F.when(step.rlike("^[0-9]{1,18}$"), step.cast("bigint")).otherwise(-1).alias("place"), step.alias("name")))
+
+
 def ordered(violations: DataFrame) -> DataFrame:
     """V3: violations in (record, path) order, as the upstream report sorts them."""
-    return violations.orderBy("ord", "path", "rule")
+    return violations.orderBy("ord", path_key(F.col("path")), "rule")
 
 
 def report_places(violations: DataFrame) -> DataFrame:
     """V3 for a report too long for one task: each violation's ``place`` in
     (record, path) order, by a range sort."""
-    return ordered_rank(violations, [], [F.col("ord"), F.col("path"), F.col("rule")], out="place")
+    return ordered_rank(violations, [], [F.col("ord"), path_key(F.col("path")), F.col("rule")], out="place")
 
 
 def validate_taxonomy(raw: DataFrame) -> DataFrame:

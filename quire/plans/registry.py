@@ -776,14 +776,16 @@ FROM catalog c LEFT JOIN result r ON r.ord = c.ord""", _BACKFILL_SQL.strip()))
 def q_doi_updates(spark, sf_dir):
     path = _shared(spark, "doi-updates")
     cat = cv.catalog_view(spark, sf_dir).select("ord", "id", "doi", "external_ids")
-    changes = sinks.apply_doi_updates(cat, cut(_backfill(spark, sf_dir).select("ord", "new_doi"), "found"), path)
-    out = cat if changes.isEmpty() else spark.read.parquet(path)
+    n = sinks.write_doi_delta(_backfill(spark, sf_dir), path)
+    out = sinks.with_doi_updates(cat, [spark.read.parquet(path)] if n else [])
     return out.select("ord", "doi", F.col("external_ids.doi").alias("ext_doi"),
                       F.col("external_ids.arxiv_id").alias("arxiv_id"))
 
 
 @query("violation_order", with_catalog("""
-SELECT row_number() OVER (ORDER BY ord, path, rule) AS place, ord, path, rule FROM violations""",
+SELECT row_number() OVER (ORDER BY ord, list_transform(string_split(path, '.'), lambda step: {'place':
+           CASE WHEN regexp_full_match(step, '[0-9]{1,18}') THEN step::BIGINT ELSE -1 END, 'name': step}), rule) AS place,
+       ord, path, rule FROM violations""",
                                        cv.taxonomy_sql(), _SCHEMA_VIOLATIONS_SQL.strip()))
 def q_violation_order(spark, sf_dir):
     v = quality.validate_json(catalog_json(spark, sf_dir), "ord", "raw", quality.entry_schema("cat"))

@@ -149,7 +149,7 @@ def test_next_id_overflow_fails_loudly(spark):
     cat = ids_df(spark, ["x-2024-99999", "x-2024-100000"]).withColumn("ord", F.lit(0))
     assert curate.next_id(cat).first()["overflow"] is True
     with pytest.raises(ValueError):
-        curate.check_id_capacity(spark.createDataFrame([(1,)], "num int"), cat, P)
+        curate.curate(spark.createDataFrame([], CAND), cat, tagging.rules_frame(spark), P)
 
 
 def test_run_counters_need_no_room_for_ids(spark, library, monkeypatch):
@@ -192,6 +192,88 @@ def test_short_titles_sharing_words_need_few_rounds(spark):
     assert got.filter("kept").count() == len(rows)
 
 
+def sequential(rows, limit=0.85):
+    """Ids kept by the plain walk, and how deep links of earlier matches go."""
+    kept, depth = [], {}
+    sets = {r: set(w) for r, w in rows}
+    for rid, w in rows:
+        near = [k for k, _ in rows if k < rid and len(sets[k] & sets[rid]) > limit * len(sets[k] | sets[rid])]
+        depth[rid] = 1 + max((depth[k] for k in near), default=0)
+        if not set(near) & set(kept):
+            kept.append(rid)
+    return set(kept), max(depth.values(), default=0)
+
+
+def decided(spark, rows, **kw):
+    df = spark.createDataFrame(rows, "rid bigint, words array<string>")
+    none = spark.createDataFrame([], "rid bigint, kind string, key string")
+    return {r.rid for r in linkage.greedy_keep_first(df, none, **kw).filter("kept").collect()}
+
+
+def test_titles_of_common_words_are_decided_in_few_rounds(spark):
+    """All six of nine, seven of eleven words: every word has many holders and
+    no two titles are similar, or many are."""
+    import itertools
+
+    rows = [(i, list(c)) for i, c in enumerate(itertools.combinations([f"w{i}" for i in range(9)], 6))]
+    assert len(rows) == 84 and decided(spark, rows, max_rounds=3) == {i for i, _ in rows}
+    rows = [(i, list(c)) for i, c in enumerate(
+        x for n in (10, 9) for x in itertools.combinations([f"w{i}" for i in range(12)], n))]
+    assert decided(spark, rows, max_rounds=3) == sequential(rows)[0]
+
+
+def test_a_long_chain_of_matches_needs_no_round_a_link(spark):
+    """Each title matches its neighbours alone, so every second one stays."""
+    rows = [(i, [f"w{j}" for j in range(i, i + 14)]) for i in range(40)]
+    kept, depth = sequential(rows)
+    assert depth == 40 and kept == set(range(0, 40, 2)) and decided(spark, rows, max_rounds=2) == kept
+
+
+@pytest.mark.parametrize("small", [1, 3, 16])
+def test_clusters_of_distinct_near_copies_match_the_sequential_rule(spark, monkeypatch, small):
+    import random
+
+    monkeypatch.setattr(linkage, "SMALL_GROUP", small)
+    rnd = random.Random(small)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{i}" for i in range(30)] + ["the", "of"]
+        for _ in range(40):
+            s = list(base)
+            for _ in range(rnd.randrange(4)):
+                s[rnd.randrange(len(s))] = f"x{rnd.randrange(400)}"
+            rows.append(sorted(set(s)))
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert decided(spark, rows, max_rounds=6) == sequential(rows)[0]
+
+
+def test_near_copies_against_near_copies_give_candidates_in_proportion(spark):
+    import random
+
+    rnd = random.Random(2)
+    base = [f"w{i}" for i in range(40)]
+
+    def copies(side):
+        return spark.createDataFrame([(i, [w if j != i % 40 else f"{side}{i}" for j, w in enumerate(base)])
+                                      for i in range(2000)] + [(5000 + i, [f"{side}z{rnd.randrange(50)}{i}" for _ in range(9)])
+                                                               for i in range(50)], "rid bigint, words array<string>")
+
+    pairs = []
+    got = linkage.similar_to_any(copies("l"), copies("r"), "0.85", True, on_candidates=pairs.append)
+    assert sorted(r.rid for r in got.collect()) == list(range(2000))
+    assert sum(pairs) < 40 * 4000      # all pairs would be 4,000,000
+
+
+def test_words_are_not_shuffled_for_their_order(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "é", "c"]), (3, [])], "rid bigint, words array<string>")
+    table = linkage.word_table(df)
+    assert len(table) == linkage.SLOTS and sum(b > 0 for b in table) == 4
+    rows = linkage.entries(linkage.prefix_rows(df, table, "0.5"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {r.rid for r in rows.collect()} == {1, 2}
+
+
 def test_greedy_refuses_repeated_or_null_row_ids(spark):
     none = spark.createDataFrame([], "rid bigint, kind string, key string")
     for ids in ([1, 1], [1, None]):

@@ -148,6 +148,20 @@ def test_taxonomy_validation_and_order(spark):
                    ("domains.1.id", "required")]
 
 
+def test_violations_sort_by_the_steps_of_their_paths(spark):
+    paths = ["authors.10", "authors.2", "authors", "", "authors.2.name", "authors.10.name", "abstract", "tags.0", "authors.9"]
+    rows = [(o, p, r) for o in (1, 0) for p in paths for r in ("type", "required")]
+    v = spark.createDataFrame(rows, "ord bigint, path string, rule string")
+    # the upstream order: records, then paths as lists of names and numbers
+    want = sorted(rows, key=lambda r: (r[0], [int(s) if s.isdigit() else s for s in r[1].split(".") if s], r[2]))
+    assert [tuple(r) for r in quality.ordered(v).collect()] == want
+    assert [tuple(r)[:3] for r in quality.report_places(v).orderBy("place").collect()] == want
+    # many places in a document's own list
+    doc = json.dumps({"domains": [{"id": f"d{i}", "label": "D", "categories": []} if i % 5 else {} for i in range(13)]})
+    got = [r.path for r in quality.ordered(quality.validate_taxonomy(spark.createDataFrame([(doc,)], "raw string"))).collect()]
+    assert [p.split(".")[1] for p in got[::3]] == ["0", "5", "10"]
+
+
 def test_doi_update_sink_dry_run_and_write(spark, tmp_dir):
     from quire.sources import sinks
 
@@ -155,12 +169,25 @@ def test_doi_update_sink_dry_run_and_write(spark, tmp_dir):
                                 "ord bigint, id string, doi string, "
                                 "external_ids struct<arxiv_id:string,semantic_scholar_id:string,doi:string>")
     found = spark.createDataFrame([(0, "10.9/new"), (1, None)], "ord bigint, new_doi string")
-    assert sinks.apply_doi_updates(cat, found, f"{tmp_dir}/snap", dry_run=True).count() == 1
+    assert sinks.doi_changes(found).count() == 1            # the dry run
+    # an update of one DOI writes one row, whatever the catalog
+    assert sinks.write_doi_delta(found, f"{tmp_dir}/d0") == 1
+    deltas = [spark.read.parquet(f"{tmp_dir}/d0")]
+    assert deltas[0].count() == 1
+
+    def dois(df):
+        return {r.ord: (r.doi, r.external_ids.doi) for r in df.collect()}
+
+    out = sinks.with_doi_updates(cat, deltas)
+    assert out.schema == cat.schema and dois(out) == {0: ("10.9/new", "10.9/new"), 1: ("10.1/x", "10.1/x")}
+    # a later delta wins; folding gives the same rows
+    assert sinks.write_doi_delta(spark.createDataFrame([(0, "10.9/newer")], "ord bigint, new_doi string"),
+                                 f"{tmp_dir}/d1", 1) == 1
+    deltas.append(spark.read.parquet(f"{tmp_dir}/d1"))
+    sinks.fold_doi_updates(cat, deltas, f"{tmp_dir}/snap")
+    assert dois(spark.read.parquet(f"{tmp_dir}/snap")) == dois(sinks.with_doi_updates(cat, deltas)) == {
+        0: ("10.9/newer", "10.9/newer"), 1: ("10.1/x", "10.1/x")}
     import os
-    assert not os.path.exists(f"{tmp_dir}/snap")
-    sinks.apply_doi_updates(cat, found, f"{tmp_dir}/snap")
-    out = {r.ord: (r.doi, r.external_ids.doi) for r in spark.read.parquet(f"{tmp_dir}/snap").collect()}
-    assert out == {0: ("10.9/new", "10.9/new"), 1: ("10.1/x", "10.1/x")}
     none = spark.createDataFrame([(0, None)], "ord bigint, new_doi string")
-    assert sinks.apply_doi_updates(cat, none, f"{tmp_dir}/snap2").count() == 0
+    assert sinks.write_doi_delta(none, f"{tmp_dir}/snap2") == 0
     assert not os.path.exists(f"{tmp_dir}/snap2")
