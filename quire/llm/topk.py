@@ -69,8 +69,11 @@ class Shard:
         # products exact in doubles where they fit, else in 64-bit integers
         big = x.size and float(np.abs(x).max()) ** 2 * x.shape[1] >= 2**52
         self.x = x[order] if big else x[order].astype(np.float64)
-        self.lists = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(self.x, self.lists, axis=0)
+        # from the smallest value up, and from the largest down
+        up = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
+        self.lists = (up, up[::-1])
+        self.values = tuple(np.take_along_axis(self.x, at, axis=0) for at in self.lists)
+        self.unmet = np.empty(self.x.shape, self.x.dtype)
         self.touched = 0
 
     def top(self, own: int, q: np.ndarray, k: int, floor=None) -> tuple[np.ndarray, np.ndarray]:
@@ -78,31 +81,46 @@ class Shard:
         those below ``floor`` may be missing."""
         q = q.astype(self.x.dtype)
         n = len(self.ids)
-        dims = np.nonzero(q)[0]
-        up, w = q[dims] > 0, q[dims]
-        # contributions fall along these lists
-        lists = np.where(up, self.lists[::-1, dims], self.lists[:, dims])
-        values = np.where(up, self.values[::-1, dims], self.values[:, dims]) * w
-        unmet = np.ones((n, len(dims)), self.x.dtype)
+        few = max(FEW, 2 * k, n // STEPS)      # final scores of so many cost what another step does
+        # per direction: the lists read that way, by falling contribution
+        ways = [(way, np.nonzero(side)[0]) for way, side in enumerate((q < 0, q > 0)) if side.any()]
+        self.unmet.fill(1)
         score = np.zeros(n, self.x.dtype)
+        ends, fronts = np.zeros(len(q), self.x.dtype), np.zeros(len(q), self.x.dtype)
+        for way, dims in ways:
+            ends[dims] = self.values[way][-1, dims] * q[dims]
         left = np.nonzero(self.rids != own)[0]
         step = max(k, -(-n // STEPS))
-        for at in range(0, n, step):
-            if len(left) <= max(FEW, 2 * k) or not len(dims):
+        for at in range(0, n if ways else 0, step):
+            if len(left) <= few:
                 break
-            rows, read = lists[at:at + step], values[at:at + step]
-            self.touched += read.size
-            np.add.at(score, rows, read)
-            unmet[rows, np.arange(len(dims))] = 0
-            bounds = np.stack([values[-1], read[-1]], axis=1)       # ends and reading fronts of the lists
-            low, high = (score[left][:, None] + unmet[left] @ bounds).T
+            for way, dims in ways:
+                rows, read = self.lists[way][at:at + step, dims], self.values[way][at:at + step, dims] * q[dims]
+                self.touched += read.size
+                self._add(score, rows, read)
+                self.unmet[rows, dims] = 0
+                fronts[dims] = read[-1]
+            # bounds are compared at every second step, once a quarter is read
+            if at < n // 4 or at // step % 2 == 0 and at + step < n:
+                continue
+            unmet = self.unmet if 2 * len(left) > n else self.unmet[left]
+            low, high = (unmet @ np.stack([ends, fronts], axis=1)).T
+            if unmet is self.unmet:
+                low, high = low[left], high[left]
+            low, high = low + score[left], high + score[left]
             kth = np.partition(low, len(low) - k)[len(low) - k]
             left = left[high >= (kth if floor is None else max(kth, floor))]
-        self.touched += len(left) * len(dims)
+        self.touched += len(left) * len(q)
         final = self.x[left] @ q
         best = np.lexsort((self.ids[left], -final))[:k]
         return left[best], final[best]
 
+    def _add(self, score: np.ndarray, rows: np.ndarray, read: np.ndarray) -> None:
+        if score.dtype.kind == "f":
+            score += np.bincount(rows.ravel(), read.ravel(), len(score))
+        else:
+            np.add.at(score, rows, read)
+
 
 def _cells(k: int, dim: int):
     """Rows (shard, qblock, kind, rid, vec_id, v, floor), candidates of a cell
