@@ -46,17 +46,17 @@ def doi_by_title(entries: DataFrame, lookup: DataFrame, threshold: str = fixed.B
     # both sides are tokenised once and written
     e = cut(linkage.title_keys(entries.select(F.col("ord").alias("rid"), "title", "year"))
             .select("rid", "year", "words"), "entries")
-    e_sets, e_members = linkage.distinct_sets(e, "entry-sets")
+    e_sets, e_names, e_members = linkage.distinct_sets(e, "entry-sets")
     lk = lookup.filter(text.empty_to_null("doi").isNotNull())   # no DOI: skipped before ranking
     if "lrid" not in lk.columns:
         lk = lk.withColumn("lrid", F.col("rank"))
     lk = linkage.title_keys(lk).filter(F.size("words") > 0).withColumn("sw", F.sort_array("words"))
-    l_groups = cut(lk.groupBy("sw", "year").agg(F.min(F.struct("rank", "lrid", "doi")).alias("best")), "lookup")
-    l_sets, _ = linkage.distinct_sets(l_groups.select(F.monotonically_increasing_id().alias("rid"),
-                                                              F.col("sw").alias("words")), "lookup-sets")
-    l_groups = l_groups.join(l_sets.select(F.col("rid").alias("lsid"), F.col("words").alias("sw")), "sw")
-    pairs = linkage.similar_pairs(e_sets.select("rid", "words"), l_sets.select("rid", "words"), threshold,
-                                  strict=False)
+    lk = cut(lk.select("sw", F.sha2(F.array_join("sw", " "), 256).alias("_sha"), "year", "rank", "lrid", "doi"), "lookup")
+    l_groups = cut(lk.groupBy("_sha", "year").agg(F.min(F.struct("rank", "lrid", "doi")).alias("best")), "lookup-best")
+    l_sets = cut(lk.groupBy("_sha").agg(F.first("sw").alias("words"))
+                 .withColumn("rid", F.monotonically_increasing_id()), "lookup-sets")
+    l_groups = l_groups.join(l_sets.select("_sha", F.col("rid").alias("lsid")), "_sha")
+    pairs = linkage.similar_pairs(e_sets, l_sets.select("rid", "words"), threshold, strict=False, only=e_names)
     cand = (pairs.select(F.col("l_rid").alias("sid"), F.col("r_rid").alias("lsid"))
             .join(l_groups.select("lsid", F.col("year").alias("l_year"), "best"), "lsid")
             .join(e_members, "sid")

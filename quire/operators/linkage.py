@@ -157,10 +157,14 @@ def _similar(inter: Column, n1: Column, n2: Column, threshold, strict: bool) ->
     return sim > float(threshold) if strict else sim >= float(threshold)
 
 
-def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold, strict: bool) -> DataFrame:
+def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold, strict: bool,
+            scope: list | None = None) -> DataFrame:
     """Pairs whose sets are similar. Word hashes, a number a word, are
     compared first: they never make a pair look less similar; what is left is
-    compared word by word."""
+    compared word by word. Both lists of pairs are written, so that Spark
+    knows their size: where they are few, they go to the sets, not the sets to
+    them."""
+    pairs = cut(pairs, "pairs", scope)
     def sets(df, side):
         return df.select(F.col("rid").alias(f"{side}_rid"), F.col("words").alias(f"{side}_words"))
 
@@ -171,6 +175,7 @@ def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold, stri
     shared = F.size(F.array_intersect("l_hashes", "r_hashes"))
     p = pairs.join(hashes(left, "l"), "l_rid").join(hashes(right, "r"), "r_rid")
     p = p.filter(_similar(shared, F.size("l_hashes"), F.size("r_hashes"), threshold, strict)).select("l_rid", "r_rid")
+    p = cut(p, "alike", scope)
     p = p.join(sets(left, "l"), "l_rid").join(sets(right, "r"), "r_rid")
     inter = F.size(F.array_intersect("l_words", "r_words"))
     p = p.withColumn("similarity", inter.cast("double") / (F.size("l_words") + F.size("r_words") - inter).cast("double"))
@@ -183,22 +188,27 @@ def _side(rows: DataFrame, side: str) -> DataFrame:
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", strict: bool = True,
-                  table: bytes | None = None) -> DataFrame:
+                  only: DataFrame | None = None, only_right: DataFrame | None = None) -> DataFrame:
     """All pairs ``(l_rid, r_rid, similarity)`` with word-set Jaccard
     above (``strict``) or at least ``threshold``.
 
     ``left``/``right`` have ``rid`` and ``words`` (distinct words; empty sets
     never match). With ``right=None`` it is a self join and only pairs with
-    ``l_rid < r_rid`` are returned.
+    ``l_rid < r_rid`` are returned. ``only`` (and ``only_right``) names the
+    ``rid`` that take part.
     """
     self_join = right is None
-    right = left if self_join else right
-    if table is None:
-        table = word_table(left) if self_join else word_table(left, right)
+    right, only_right = (left, only) if self_join else (right, only_right)
+    table = word_table(left) if self_join else word_table(left, right)
+
+    def rows(sets, named):
+        found = prefix_rows(sets, table, threshold)
+        return found if named is None else found.join(named.select("rid"), "rid")
+
     # equi-join on (word, size bucket): one side visits its neighbouring
     # buckets, so a frequent prefix word only pairs sets of similar size
-    lp = _side(near_entries(prefix_rows(left, table, threshold), strict), "l")
-    rp = _side(entries(prefix_rows(right, table, threshold)), "r")
+    lp = _side(near_entries(rows(left, only), strict), "l")
+    rp = _side(entries(rows(right, only_right)), "r")
     cand = lp.join(rp, ["key", "bucket"]).filter(can_match(threshold))
     if self_join:
         cand = cand.filter(F.col("l_rid") < F.col("r_rid"))
@@ -237,7 +247,7 @@ def search(probes: DataFrame, held: DataFrame, probe_rows: DataFrame, held_rows:
         small, large = groups.filter("small").select("key", "bucket"), groups.filter("NOT small")
         cand = _meet(near.join(small, ["key", "bucket"]), _side(he, "l"), "key", "bucket").filter(can_match(threshold))
         cand = (cand.filter(F.col("l_rid") < F.col("r_rid")) if earlier else cand).select("l_rid", "r_rid").distinct()
-        found.append(cut(_verify(cand, held_words, probe_words, threshold, strict).select("l_rid", "r_rid"),
+        found.append(cut(_verify(cand, held_words, probe_words, threshold, strict, scope).select("l_rid", "r_rid"),
                          "matches", scope))
         if on_candidates is not None:
             on_candidates(cand.count())
@@ -245,7 +255,7 @@ def search(probes: DataFrame, held: DataFrame, probe_rows: DataFrame, held_rows:
             break
         cand = near.join(large, ["key", "bucket"]).select(F.col("one").alias("l_rid"), "r_rid")
         cand = (cand.filter(F.col("l_rid") < F.col("r_rid")) if earlier else cand).distinct()
-        hit = cut(_verify(cand, held_words, probe_words, threshold, strict).select("l_rid", "r_rid"), "tried", scope)
+        hit = cut(_verify(cand, held_words, probe_words, threshold, strict, scope).select("l_rid", "r_rid"), "tried", scope)
         tried.append(hit)
         if on_candidates is not None:
             on_candidates(cand.count())
@@ -263,22 +273,23 @@ def search(probes: DataFrame, held: DataFrame, probe_rows: DataFrame, held_rows:
     return union(found), union(tried) if tried else found[0].limit(0)
 
 
-def distinct_sets(rows: DataFrame, name: str = "sets") -> tuple[DataFrame, DataFrame]:
-    """Collapse identical non-empty word sets: returns ``sets(rid, words, members)``
-    (``rid`` here is a set id) and ``members(rid, sid)``.
+def distinct_sets(rows: DataFrame, name: str = "sets") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Collapse identical non-empty word sets: ``sets(rid, words)`` of all
+    rows, ``names(rid, members)`` of one row per distinct set, its smallest,
+    and ``members(rid, sid)``, each row with the row that stands for its set.
 
     A group of identical copies, however large, becomes one set with a
     member count, so no later join ever pairs the copies with each other.
-    The set table is materialised so its ids are stable.
+    Sets are equal where the SHA-256 of their words is; the words themselves
+    are written once and not moved.
     """
-    # written once, before any filter: the words may come from whole texts,
-    # and a filter on them would make them twice
-    d = cut(rows.select("rid", F.sort_array("words").alias("sw")), f"{name}-rows")
-    d = d.filter(F.size("sw") > 0).withColumn("_h", F.xxhash64("sw"))
-    sets = cut(d.groupBy("_h", "sw").agg(F.count(F.lit(1)).alias("members"))
-               .withColumn("sid", F.monotonically_increasing_id()), name)
-    members = d.join(sets.select("_h", "sw", "sid"), ["_h", "sw"]).select("rid", "sid")
-    return sets.select(F.col("sid").alias("rid"), F.col("sw").alias("words"), "members"), members
+    # written before any filter: the words may come from whole texts, and a
+    # filter on them would make them twice
+    d = cut(rows.select("rid", F.sort_array("words").alias("words")), f"{name}-rows").filter(F.size("words") > 0)
+    members = cut(d.select("rid", F.sha2(F.array_join("words", " "), 256).alias("_sha")), f"{name}-hashes")
+    names = cut(members.groupBy("_sha").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("members")), name)
+    return (d, names.select("rid", "members"),
+            members.join(names.select("_sha", F.col("rid").alias("sid")), "_sha").select("rid", "sid"))
 
 
 def similar_to_any(left: DataFrame, right: DataFrame, threshold="0.85", strict: bool = True,
@@ -287,12 +298,12 @@ def similar_to_any(left: DataFrame, right: DataFrame, threshold="0.85", strict:
     ``right`` row above the threshold. Identical sets are collapsed on both
     sides first, and one match ends the search for a set, so neither copies
     nor near copies multiply the candidate pairs."""
-    ls, lm = distinct_sets(left, "left-sets")
-    rs, _ = distinct_sets(right, "right-sets")
+    ls, ln, lm = distinct_sets(left, "left-sets")
+    rs, rn, _ = distinct_sets(right, "right-sets")
     table = word_table(ls, rs)
-    lp = cut(prefix_rows(ls, table, threshold, LEVELS), "left-prefixes")
-    rp = cut(prefix_rows(rs, table, threshold, LEVELS), "right-prefixes")
-    found, tried = search(ls.select("rid"), rs.select("rid"), lp, rp, ls, rs, threshold, strict, False,
+    lp = cut(prefix_rows(ls, table, threshold, LEVELS).join(ln.select("rid"), "rid"), "left-prefixes")
+    rp = cut(prefix_rows(rs, table, threshold, LEVELS).join(rn.select("rid"), "rid"), "right-prefixes")
+    found, tried = search(ln.select("rid"), rn.select("rid"), lp, rp, ls, rs, threshold, strict, False,
                           on_candidates=on_candidates)
     sids = found.unionByName(tried).select(F.col("r_rid").alias("sid")).distinct()
     return lm.join(sids, "sid", "left_semi").select("rid")
@@ -304,9 +315,9 @@ def similar_counts(rows: DataFrame, threshold="0.85", strict: bool = True) -> Da
     (copies counted through member counts), never by listing pairs of
     copies."""
     rows = cut(rows.select("rid", "words"), "count-rows")
-    sets, members = distinct_sets(rows, "count-sets")
-    pairs = similar_pairs(sets.select("rid", "words"), None, threshold, strict)
-    m = sets.select("rid", "members")
+    sets, names, members = distinct_sets(rows, "count-sets")
+    pairs = similar_pairs(sets, None, threshold, strict, only=names)
+    m = names
     ends = [F.struct(F.col(a).alias("sid"), F.col(b).alias("other")) for a, b in
             (("l_rid", "r_rid"), ("r_rid", "l_rid"))]
     both = pairs.select(F.explode(F.array(*ends)).alias("p")).select("p.*")
