@@ -290,7 +290,9 @@ def candidate_links(reps: DataFrame, threshold: float, runs: int) -> DataFrame:
     found = None
     for depth in range(1, DEPTH + 1):
         level = cut(level, "paths")
-        stats = level.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("leader")).filter("m > 1")
+        # written, so that a node of many sets meets it by a plain shuffle that can be split
+        stats = cut(level.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("sid").alias("leader"))
+                    .filter("m > 1"), "node-sizes")
         shared = cut(level.join(stats, "node"), "nodes")
         small = (shared.filter(F.col("m") <= LEAF).select("node", "sid")
                  .join(bytes_, "sid").select("node", "sid", "sketch")

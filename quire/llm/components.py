@@ -15,12 +15,13 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps (Kiveris et al. 2014): each
     step hangs an id's neighbours on the smallest of them. Only minima are
     aggregated, so a component holding a third of all ids is never collected
-    anywhere; the number of rounds grows with the logarithm of its size.
+    anywhere, and they are written before they are joined: a hub's links then
+    come from a plain shuffle, which skew handling splits. The number of rounds
+    grows with the logarithm of a component's size.
     """
     e = cut(_pairs(links), "links")
     for _ in range(max_rounds):
-        x = _small_star(_large_star(e))
-        nxt = cut(x, "links")
+        nxt = cut(_small_star(cut(_large_star(e), "links")), "links")
         if _mark(nxt) == _mark(e):
             return e.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(
                 e.select(F.col("a").alias("id"), F.col("a").alias("root")).distinct())
@@ -42,14 +43,14 @@ def _mark(e: DataFrame) -> tuple:
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of an id is linked to the id's smallest one
     (``e`` has the smaller id first)."""
-    smallest = e.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m"))
+    smallest = cut(e.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("m")), "smallest")
     x = e.join(smallest, "a", "left").select(F.coalesce("m", "a").alias("a"), "b")
     return x.filter("a < b").distinct()
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """An id's smaller neighbours are linked to the smallest of them."""
-    smallest = e.groupBy("b").agg(F.min("a").alias("m"))
+    smallest = cut(e.groupBy("b").agg(F.min("a").alias("m")), "smallest")
     x = e.join(smallest, "b")
     # (m, b) once per b, and (m, a) for the other smaller neighbours of b
     others = x.filter("a > m").select(F.col("m").alias("a"), F.col("a").alias("b"))

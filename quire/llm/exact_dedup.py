@@ -93,8 +93,9 @@ def exact_dedup(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(rid, doc_id, keep_id, group_size, kept, text_sha256)``, one row per
     row of ``docs(doc_id, text)``."""
     ids = cut(identities(docs, block_bytes), "identities")
-    groups = ids.groupBy("n_blocks", "name").agg(
-        F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size"))
+    # written: a plain shuffle of both tables is one that skew handling splits
+    groups = cut(ids.groupBy("n_blocks", "name").agg(
+        F.max(F.struct("doc_id", "rid")).alias("top"), F.count(F.lit(1)).alias("group_size")), "text-groups")
     return ids.join(groups, ["n_blocks", "name"]).select(
         "rid", "doc_id", F.col("top.doc_id").alias("keep_id"), "group_size",
         (F.col("rid") == F.col("top.rid")).alias("kept"), "text_sha256")

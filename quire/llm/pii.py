@@ -29,7 +29,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -142,11 +144,16 @@ def loose_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     low = text.lower() if "at)" in text or "at]" in text or "AT" in text else ""
     if "(at)" in low or "[at]" in low:
         found += [(*m.span(), "email") for m in _LOOSE_EMAIL.finditer(text)]
-    out, taken = [], sorted((a, b) for a, b, _ in base)
+    # base spans by start, with the furthest end up to each: one look-up a
+    # candidate, however many spans a text has
+    starts = [a for a, _, _ in base]
+    ends = list(accumulate((b for _, b, _ in base), max))
+    out, last = [], 0
     for a, b, kind in sorted(found, key=lambda s: (s[0], ORDER[s[2]])):
-        if all(b <= x or a >= y for x, y in taken):
+        before = bisect_left(starts, b)
+        if a >= last and (not before or ends[before - 1] <= a):
             out.append((a, b, kind))
-            taken.append((a, b))
+            last = b
     return out
 
 

@@ -5,11 +5,12 @@ Candidates are dealt into shards. A shard has, for every dimension, its
 candidates sorted by value: a query with a positive component reads that list
 from the largest value down, with a negative one from the smallest up, so
 every list is read by falling contribution; where the component is zero it is
-not read. Lists are read in steps of equal depth. A candidate's score so far
-is the sum of what was read of it; its lower bound adds the lists' ends, its
-upper bound the reading fronts, for the lists it was not met in. Candidates
-whose upper bound is below the k-th lower bound are dropped for good, and no
-step looks at them again; reading stops once few are left, which alone get
+not read. Lists are read in steps of equal depth, once for a whole block of
+queries. What has been read fills four tables, values and "not met yet" for
+either direction; a candidate's score so far is the product with the values,
+its lower bound adds the lists' ends, its upper bound the reading fronts, for
+the lists it was not met in. A query stops once few candidates' upper bounds
+reach its k-th lower bound: no other can qualify, and those few alone get
 their final scores. Scores are integers, so bounds and ties are exact.
 
 The k-th score that a query reaches in a first shard is its floor in all
@@ -39,6 +40,7 @@ from quire.session import cut
 
 SHARD_ROWS = 8192
 QUERY_BLOCK = 16384     # queries of one grid cell
+STEP_QUERIES = 128      # queries that read the lists together
 FEW = 64                # candidates that may be left when reading stops
 STEPS = 16              # steps in which a list is read at most
 
@@ -69,57 +71,61 @@ class Shard:
         # products exact in doubles where they fit, else in 64-bit integers
         big = x.size and float(np.abs(x).max()) ** 2 * x.shape[1] >= 2**52
         self.x = x[order] if big else x[order].astype(np.float64)
-        # from the smallest value up, and from the largest down
-        up = np.argsort(self.x, axis=0, kind="stable").astype(np.int32)
-        self.lists = (up, up[::-1])
-        self.values = tuple(np.take_along_axis(self.x, at, axis=0) for at in self.lists)
-        self.unmet = np.empty(self.x.shape, self.x.dtype)
+        # cells of the table in the order in which a list meets them, a row per depth
+        up = np.argsort(self.x, axis=0, kind="stable") * self.x.shape[1] + np.arange(self.x.shape[1])
+        self.lists = (up[::-1], up)        # from the largest value down, from the smallest up
         self.touched = 0
 
-    def top(self, own: int, q: np.ndarray, k: int, floor=None) -> tuple[np.ndarray, np.ndarray]:
-        """(candidate position, score) of the query's k best here, best first;
-        those below ``floor`` may be missing."""
+    def top(self, own: np.ndarray, q: np.ndarray, k: int, floors: np.ndarray | None = None) -> list[tuple]:
+        """Per query (candidate positions, scores) of its k best here, best
+        first; those below its floor may be missing."""
+        n, dim = self.x.shape
+        flat = self.x.reshape(-1)
         q = q.astype(self.x.dtype)
-        n = len(self.ids)
-        few = max(FEW, 2 * k, n // STEPS)      # final scores of so many cost what another step does
-        # per direction: the lists read that way, by falling contribution
-        ways = [(way, np.nonzero(side)[0]) for way, side in enumerate((q < 0, q > 0)) if side.any()]
-        self.unmet.fill(1)
-        score = np.zeros(n, self.x.dtype)
-        ends, fronts = np.zeros(len(q), self.x.dtype), np.zeros(len(q), self.x.dtype)
-        for way, dims in ways:
-            ends[dims] = self.values[way][-1, dims] * q[dims]
-        left = np.nonzero(self.rids != own)[0]
+        parts = (np.maximum(q, 0), np.minimum(q, 0))
+        ends = (self.x.min(axis=0), self.x.max(axis=0))
+        # read values and places not met yet, for both directions
+        read = np.zeros((n, 4 * dim), self.x.dtype)
+        read[:, 2 * dim:] = 1
         step = max(k, -(-n // STEPS))
-        for at in range(0, n if ways else 0, step):
-            if len(left) <= few:
-                break
-            for way, dims in ways:
-                rows, read = self.lists[way][at:at + step, dims], self.values[way][at:at + step, dims] * q[dims]
-                self.touched += read.size
-                self._add(score, rows, read)
-                self.unmet[rows, dims] = 0
-                fronts[dims] = read[-1]
-            # bounds are compared at every second step, once a quarter is read
-            if at < n // 4 or at // step % 2 == 0 and at + step < n:
+        few = max(FEW, 2 * k, step)        # final scores of so many cost what another step does
+        out: list = [None] * len(q)
+        left = np.arange(len(q))
+        for at in range(0, n, step):
+            last = at + step >= n
+            fronts = []
+            for way, (cells, part) in enumerate(zip(self.lists, parts)):
+                used = part.any(axis=0)     # lists that some query reads this way
+                new = cells[at:at + step, used]
+                self.touched += new.size
+                row, col = np.divmod(new, dim)
+                read[row, way * dim + col] = flat[new]
+                read[row, (2 + way) * dim + col] = 0
+                fronts.append(flat[cells[min(at + step, n) - 1]])
+            # bounds are compared at every second step, once half is read
+            if not last and (at + step < n // 2 or at // step % 2 == 0):
                 continue
-            unmet = self.unmet if 2 * len(left) > n else self.unmet[left]
-            low, high = (unmet @ np.stack([ends, fronts], axis=1)).T
-            if unmet is self.unmet:
-                low, high = low[left], high[left]
-            low, high = low + score[left], high + score[left]
-            kth = np.partition(low, len(low) - k)[len(low) - k]
-            left = left[high >= (kth if floor is None else max(kth, floor))]
-        self.touched += len(left) * len(q)
-        final = self.x[left] @ q
-        best = np.lexsort((self.ids[left], -final))[:k]
-        return left[best], final[best]
-
-    def _add(self, score: np.ndarray, rows: np.ndarray, read: np.ndarray) -> None:
-        if score.dtype.kind == "f":
-            score += np.bincount(rows.ravel(), read.ravel(), len(score))
-        else:
-            np.add.at(score, rows, read)
+            p = [part[left] for part in parts]
+            low = np.hstack([*p, *(x * e for x, e in zip(p, ends))]) @ read.T
+            high = np.hstack([*p, *(x * f for x, f in zip(p, fronts))]) @ read.T
+            mine = self.rids[None, :] == own[left][:, None]
+            none = np.iinfo(np.int64).min // 2 if low.dtype.kind == "i" else -np.inf
+            low[mine] = none
+            kth = np.partition(low, max(0, n - k), axis=1)[:, max(0, n - k)]
+            if floors is not None:
+                kth = np.maximum(kth, floors[left])
+            can = (high >= kth[:, None]) & ~mine
+            stop = (can.sum(axis=1) <= few) | last
+            for r in np.nonzero(stop)[0].tolist():
+                where = np.nonzero(can[r])[0]
+                self.touched += len(where) * dim
+                final = self.x[where] @ q[left[r]]
+                best = np.lexsort((self.ids[where], -final))[:k]
+                out[left[r]] = where[best], final[best]
+            left = left[~stop]
+            if not len(left):
+                break
+        return out
 
 
 def _cells(k: int, dim: int):
@@ -134,15 +140,19 @@ def _cells(k: int, dim: int):
             if not (kind == 0).any() or not (kind == 1).any():
                 continue
             shard = Shard(rids[kind == 0], ids[kind == 0], x[kind == 0])
-            cols: tuple = ([], [], [], [])
-            for row in np.nonzero(kind == 1)[0].tolist():
-                where, score = shard.top(rids[row], x[row], k, floors[row])
-                for col, v in zip(cols, (rids[row], ids[row])):
-                    col.extend([int(v)] * len(where))
-                cols[2].extend(shard.ids[where].tolist())
-                cols[3].extend(int(s) for s in score)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
-                                             names=["query_rid", "query_id", "vec_id", "score"])
+            least = np.iinfo(np.int64).min // 2
+            asked = np.nonzero(kind == 1)[0]
+            for at in range(0, len(asked), STEP_QUERIES):
+                block = asked[at:at + STEP_QUERIES]
+                floor = np.array([least if floors[r] is None else floors[r] for r in block.tolist()])
+                cols: tuple = ([], [], [], [])
+                for row, (where, score) in zip(block.tolist(), shard.top(rids[block], x[block], k, floor)):
+                    cols[0].extend([int(rids[row])] * len(where))
+                    cols[1].extend([int(ids[row])] * len(where))
+                    cols[2].extend(shard.ids[where].tolist())
+                    cols[3].extend(int(s) for s in score)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols],
+                                                 names=["query_rid", "query_id", "vec_id", "score"])
 
     return run
 

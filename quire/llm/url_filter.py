@@ -77,6 +77,8 @@ def judge(pages: DataFrame, entries: DataFrame, default: str = "allow") -> DataF
     small = shape["n"] <= BROADCAST_ENTRIES
     hint = F.broadcast if small else (lambda df: df)
     blocks, n_blocks = bloom_blocks(listed, shape["n"])
+    if not small:
+        blocks = cut(blocks, "bloom")    # a popular host's probes then come from a plain shuffle, which can be split
 
     labels = F.least(F.size(F.split("host", r"\.")), F.lit(shape["labels"] or 1))
     lengths = F.array(*[F.lit(n) for n in sorted(shape["lengths"])]).cast("array<int>")

@@ -100,6 +100,22 @@ def test_base_spans_are_those_of_the_plain_patterns():
         assert pii.base_spans(text) == plain_spans(text), text
 
 
+def test_loose_spans_take_linear_time_and_never_overlap():
+    import time
+
+    line = "call 555-123-4567 or 0049 30 1234567, a@b.org, 10.0.0.1 and 4111 1111 1111 1111; "
+    text = line * 30_000
+    base = pii.base_spans(text)
+    t = time.process_time()
+    loose = pii.loose_spans(text, base)
+    assert time.process_time() - t < 5 and len(loose) >= 30_000
+    every = sorted((a, b) for a, b, _ in loose)
+    assert all(x[1] <= y[0] for x, y in zip(every, every[1:]))
+    short = line * 3
+    base = pii.base_spans(short)
+    assert not [1 for a, b, _ in pii.loose_spans(short, base) for x, y, _ in base if a < y and x < b]
+
+
 def test_base_spans_take_linear_time():
     import time
 
