@@ -65,6 +65,8 @@ SMALL_GROUP = 16
 LEVELS = 6
 #: slots of the word frequency table, one byte each
 SLOTS = 1 << 16
+#: longs of a set's signature
+LANES = 8
 
 
 def bucket_reach(strict: bool) -> int:
@@ -97,8 +99,20 @@ def word_table(*sets: DataFrame) -> bytes:
     return bytes(table)
 
 
+def signature(hashes: Column) -> Column:
+    """``LANES`` longs of word parities: a word flips one bit. Two sets differ
+    in at least as many words as their signatures do in bits."""
+    def lane(k):
+        return lambda acc, h: acc.bitwiseXOR(F.when(
+            F.shiftright(h, 6).bitwiseAND(LANES - 1) == k,
+            F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+            .otherwise(F.lit(0).cast("long")))
+
+    return F.array(*[F.aggregate(hashes, F.lit(0).cast("long"), lane(k)) for k in range(LANES)])
+
+
 def prefix_rows(sets: DataFrame, table: bytes, threshold, more: int = 0) -> DataFrame:
-    """``(rid, n, p, bucket, tokens)`` for every non-empty set: the hashes of
+    """``(rid, n, p, bucket, tokens, sig)`` for every non-empty set: the hashes of
     its first words in the common order, of which the first ``p`` are the
     prefix and up to ``more`` further ones follow. A set too small for any
     inexact match has one token, all its words: short titles that merely share
@@ -113,7 +127,8 @@ def prefix_rows(sets: DataFrame, table: bytes, threshold, more: int = 0) -> Data
     tokens = F.when(small, F.array(whole)).otherwise(
         F.transform(F.slice(ordered, F.lit(1), prefix_length(n, threshold) + more), lambda x: x["h"]))
     return (sets.filter(n > 0).select("rid", n.alias("n"), p.cast("int").alias("p"),
-                                      size_bucket(n, threshold).alias("bucket"), tokens.alias("tokens")))
+                                      size_bucket(n, threshold).alias("bucket"), tokens.alias("tokens"),
+                                      signature(F.transform("words", lambda w: F.xxhash64(w))).alias("sig")))
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -151,36 +166,27 @@ def only_equal_below(threshold) -> int:
     return int((t / (1 - t)).to_integral_value(rounding="ROUND_CEILING")) if t < 1 else 1 << 30
 
 
-def _similar(inter: Column, n1: Column, n2: Column, threshold, strict: bool) -> Column:
-    # float division compares like the reference: 17/20 equals the literal 0.85
-    sim = inter.cast("double") / (n1 + n2 - inter).cast("double")
-    return sim > float(threshold) if strict else sim >= float(threshold)
-
-
-def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold, strict: bool,
-            scope: list | None = None) -> DataFrame:
-    """Pairs whose sets are similar. Word hashes, a number a word, are
-    compared first: they never make a pair look less similar; what is left is
-    compared word by word. Both lists of pairs are written, so that Spark
-    knows their size: where they are few, they go to the sets, not the sets to
-    them."""
-    pairs = cut(pairs, "pairs", scope)
-    def sets(df, side):
-        return df.select(F.col("rid").alias(f"{side}_rid"), F.col("words").alias(f"{side}_words"))
-
-    def hashes(df, side):
-        return df.select(F.col("rid").alias(f"{side}_rid"),
-                         F.transform("words", lambda w: F.xxhash64(w)).alias(f"{side}_hashes"))
-
-    shared = F.size(F.array_intersect("l_hashes", "r_hashes"))
-    p = pairs.join(hashes(left, "l"), "l_rid").join(hashes(right, "r"), "r_rid")
-    p = p.filter(_similar(shared, F.size("l_hashes"), F.size("r_hashes"), threshold, strict)).select("l_rid", "r_rid")
-    p = cut(p, "alike", scope)
-    p = p.join(sets(left, "l"), "l_rid").join(sets(right, "r"), "r_rid")
+def _verify(pairs: DataFrame, left: DataFrame, right: DataFrame, left_rows: DataFrame, right_rows: DataFrame,
+            threshold, strict: bool, scope: list | None = None) -> DataFrame:
+    """Pairs whose sets are similar. The signatures, a few numbers a set, rule
+    out most pairs; what is left is compared word by word. Both lists of pairs
+    are written, so that Spark knows their size: where they are few, they go
+    to the sets, not the sets to them."""
+    def part(df, side, *cols):
+        return df.select(*[F.col(c).alias(f"{side}_{c}") for c in ("rid", *cols)])
+
+    p = cut(pairs, "pairs", scope)
+    p = p.join(part(left_rows, "l", "n", "sig"), "l_rid").join(part(right_rows, "r", "n", "sig"), "r_rid")
+    apart = functools.reduce(lambda a, b: a + b, [F.bit_count(F.get("l_sig", k).bitwiseXOR(F.get("r_sig", k)))
+                                                  for k in range(LANES)])
+    n = F.col("l_n") + F.col("r_n")
+    p = cut(p.filter(n - apart >= _dec(threshold) * (n + apart)).select("l_rid", "r_rid"), "alike", scope)
+    p = p.join(part(left, "l", "words"), "l_rid").join(part(right, "r", "words"), "r_rid")
     inter = F.size(F.array_intersect("l_words", "r_words"))
+    # float division compares like the reference: 17/20 equals the literal 0.85
     p = p.withColumn("similarity", inter.cast("double") / (F.size("l_words") + F.size("r_words") - inter).cast("double"))
-    return p.filter(_similar(inter, F.size("l_words"), F.size("r_words"), threshold, strict)) \
-        .select("l_rid", "r_rid", "similarity")
+    cond = F.col("similarity") > float(threshold) if strict else F.col("similarity") >= float(threshold)
+    return p.filter(cond).select("l_rid", "r_rid", "similarity")
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -203,17 +209,18 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, threshold="0.85", st
 
     def rows(sets, named):
         found = prefix_rows(sets, table, threshold)
-        return found if named is None else found.join(named.select("rid"), "rid")
+        return cut(found if named is None else found.join(named.select("rid"), "rid"), "prefix-rows")
 
     # equi-join on (word, size bucket): one side visits its neighbouring
     # buckets, so a frequent prefix word only pairs sets of similar size
-    lp = _side(near_entries(rows(left, only), strict), "l")
-    rp = _side(entries(rows(right, only_right)), "r")
+    left_rows = rows(left, only)
+    right_rows = left_rows if self_join else rows(right, only_right)
+    lp, rp = _side(near_entries(left_rows, strict), "l"), _side(entries(right_rows), "r")
     cand = lp.join(rp, ["key", "bucket"]).filter(can_match(threshold))
     if self_join:
         cand = cand.filter(F.col("l_rid") < F.col("r_rid"))
     cand = cand.select("l_rid", "r_rid").distinct()
-    return _verify(cand, left, right, threshold, strict)
+    return _verify(cand, left, right, left_rows, right_rows, threshold, strict)
 
 
 def _meet(probing: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
@@ -247,7 +254,7 @@ def search(probes: DataFrame, held: DataFrame, probe_rows: DataFrame, held_rows:
         small, large = groups.filter("small").select("key", "bucket"), groups.filter("NOT small")
         cand = _meet(near.join(small, ["key", "bucket"]), _side(he, "l"), "key", "bucket").filter(can_match(threshold))
         cand = (cand.filter(F.col("l_rid") < F.col("r_rid")) if earlier else cand).select("l_rid", "r_rid").distinct()
-        found.append(cut(_verify(cand, held_words, probe_words, threshold, strict, scope).select("l_rid", "r_rid"),
+        found.append(cut(_verify(cand, held_words, probe_words, held_rows, probe_rows, threshold, strict, scope).select("l_rid", "r_rid"),
                          "matches", scope))
         if on_candidates is not None:
             on_candidates(cand.count())
@@ -255,7 +262,7 @@ def search(probes: DataFrame, held: DataFrame, probe_rows: DataFrame, held_rows:
             break
         cand = near.join(large, ["key", "bucket"]).select(F.col("one").alias("l_rid"), "r_rid")
         cand = (cand.filter(F.col("l_rid") < F.col("r_rid")) if earlier else cand).distinct()
-        hit = cut(_verify(cand, held_words, probe_words, threshold, strict, scope).select("l_rid", "r_rid"), "tried", scope)
+        hit = cut(_verify(cand, held_words, probe_words, held_rows, probe_rows, threshold, strict, scope).select("l_rid", "r_rid"), "tried", scope)
         tried.append(hit)
         if on_candidates is not None:
             on_candidates(cand.count())
