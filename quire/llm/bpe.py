@@ -282,7 +282,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str, digest: bool =
     text)``; ids are little-endian uint32. With ``digest`` the token count and
     the two SHA-256 digests instead (computed where the ids are)."""
     parts = shuffle_partitions(docs.sparkSession)
-    buckets = n_buckets or min(1024, max(32, parts))
+    buckets = n_buckets or max(32, parts)
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.spark_partition_id().alias("part"))
 
     def words(batches):

@@ -202,16 +202,20 @@ def locate(strings: DataFrame, trie: DataFrame, blocks: DataFrame) -> DataFrame:
         "x", "end", "edge", "lo", F.when(F.col("edge").isNull(), F.col("node")).alias("at"))
 
 
-def _part(pending: DataFrame, blocks: DataFrame) -> DataFrame:
+def _part(pending: DataFrame, blocks: DataFrame) -> DataFrame | None:
     """Where each pending string parts from its edge: ``(x, end, edge, at,
     next)``, ``at`` the last shared point and ``next`` the string's own one
-    after it (null where it ends there)."""
-    p = pending.withColumn("hi", F.least("edge.e.d", "end.d"))
-    p = cut(p, "pending")
-    far = F.shiftright(F.col("hi") - 1, 6) > F.shiftright(F.col("lo") - 1, 6)
-    ready = [p.filter(F.col("edge").isNull() | ~far)]
-    while not (p := p.filter(F.col("edge").isNotNull() & far)).isEmpty():
+    after it (null where it ends there). Null if nothing is pending."""
+    far = F.col("edge").isNotNull() & (F.shiftright(F.col("hi") - 1, 6) > F.shiftright(F.col("lo") - 1, 6))
+    far = F.coalesce(far, F.lit(False))
+    p = cut(pending.withColumn("hi", F.least("edge.e.d", "end.d")), "pending")
+    seen = p.agg(F.count(F.lit(1)).alias("n"), F.max(far).alias("far")).first()
+    if not seen["n"]:
+        return None
+    ready = [p.filter(~far)]
+    while seen["far"]:
         # binary search for the last block whose first turn is still shared
+        p = p.filter(far)
         a, b = F.shiftright(F.col("lo") - 1, 6), F.shiftright(F.col("hi") - 1, 6)
         p = p.withColumn("mid", F.floor((a + b + 1) / 2) * BLOCK + 1)
         p = _point_at(p, blocks, F.col("x"), F.col("mid"), "_mine")
@@ -220,6 +224,7 @@ def _part(pending: DataFrame, blocks: DataFrame) -> DataFrame:
         p = cut(p.select("x", "end", "edge", "at", F.when(same, F.col("mid")).otherwise(F.col("lo")).alias("lo"),
                          F.when(same, F.col("hi")).otherwise(F.col("mid") - 1).alias("hi")), "pending")
         ready.append(p.filter(~far))
+        seen = p.agg(F.max(far).alias("far")).first()
     p = reduce(DataFrame.unionByName, ready)
     # within one block: equal points up to the place where they part, none after
     b = blocks.select(F.col("conv_id").alias("_c"), F.col("blk").alias("_b"), F.col("items").alias("_i"))
@@ -235,8 +240,8 @@ def _part(pending: DataFrame, blocks: DataFrame) -> DataFrame:
                         F.get("_i", (F.col("at.d") - blk * BLOCK).cast("int")).alias("next")), "parted")
 
 
-def insert(strings: DataFrame, trie: DataFrame | None, blocks: DataFrame) -> DataFrame:
-    """The trie with a batch of strings ``(x, end)`` put in."""
+def insert(strings: DataFrame, trie: DataFrame | None, blocks: DataFrame) -> DataFrame | None:
+    """The trie with a batch of strings ``(x, end)`` put in (null: no trie)."""
     if trie is None:
         pending = strings.select("x", "end", F.lit(None).cast(EDGE).alias("edge"), F.lit(None).cast("long").alias("lo"),
                                  _root().alias("at"))
@@ -245,8 +250,7 @@ def insert(strings: DataFrame, trie: DataFrame | None, blocks: DataFrame) -> Dat
         pending = locate(strings, trie, blocks)
         open_edges = trie.select("p", "e", "y")
     closed = []
-    while True:
-        parted = _part(pending, blocks)
+    while (parted := _part(pending, blocks)) is not None:
         splits = (parted.filter(F.col("edge").isNotNull() & (F.col("at.d") < F.col("edge.e.d")))
                   .select("edge", F.col("at").alias("e")).distinct())
         if open_edges is not None:
@@ -265,8 +269,8 @@ def insert(strings: DataFrame, trie: DataFrame | None, blocks: DataFrame) -> Dat
         pending = (leaving.join(leaves, F.col("next") == F.col("key")).filter(F.col("x") != F.col("leaf.y"))
                    .select("x", "end", F.col("leaf").alias("edge"), F.col("key.d").alias("lo"),
                            F.lit(None).cast(POINT).alias("at")))
-        if pending.isEmpty():
-            break
+    if not closed:
+        return trie
     return _filed(reduce(DataFrame.unionByName, [*closed, open_edges]), blocks)
 
 
@@ -274,7 +278,8 @@ def build(strings: DataFrame, blocks: DataFrame) -> DataFrame:
     """The compacted trie ``(p, e, y, first, handle)`` of all strings: a row
     per edge, from point p to its node e, spelled by string y."""
     first = F.pmod(F.xxhash64("x", F.lit("batch")), F.lit(FIRST_BATCH)) == 0
-    return insert(strings.filter(~first), insert(strings.filter(first), None, blocks), blocks)
+    trie = insert(strings.filter(~first), insert(strings.filter(first), None, blocks), blocks)
+    return strings.sparkSession.createDataFrame([], f"p {POINT}, e {POINT}, y long") if trie is None else trie
 
 
 # -- numbers of every prefix ------------------------------------------------

@@ -8,7 +8,7 @@ import zlib
 import pytest
 import tiktoken
 
-from quire.llm import bpe, exact_dedup, packing
+from quire.llm import bpe, exact_dedup, packing, vocab
 
 
 def brute_dedup(rows):
@@ -89,20 +89,17 @@ def test_whole_words_are_split_as_the_library_splits_texts():
 
 
 def test_packing_tokens_are_the_tokenizer_s():
-    import re
-
     import public_tokenizers as P
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
     v = packing.public_vocabulary()
-    cache = packing.ChunkCache(packing.RankEncoder(v["ranks"], v["pattern"]))
-    spaced = re.compile(r"\s | \s|^ | $").search
+    enc = vocab.worker_encoder(v["ranks"], v["pattern"])
     pieces = [" ", "  ", "\n", "a", "é", "1", "'s", "!", "日", "<|endoftext|>", "word", ".", "\u2003"]
     rnd = random.Random(4)
     for _ in range(2000):
         text = "".join(rnd.choice(pieces) for _ in range(rnd.randint(0, 9)))
-        ids = packing.encode(text, cache, v["specials"], spaced)
+        ids = vocab.encode_whole(enc, text, v["specials"])
         assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == t.encode(text, add_special_tokens=False).ids, text
 
 
