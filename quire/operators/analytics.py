@@ -146,7 +146,8 @@ def category_listing(df: DataFrame, category_id: str | None = None) -> DataFrame
 
 
 def lookup(df: DataFrame, entry_id: str, ord_: int | None = None) -> DataFrame:
-    """P10: point lookup by id. A stored id is filtered in the scan. Where
+    """P10: point lookup by id. A stored id is filtered in the scan, which
+    opens one row group of a table laid out by ``sinks.write_by_id``. Where
     ids are numbered by position, the position ``ord_`` that the id stands
     for is filtered as well, which reaches the scan even if ids are computed."""
     if ord_ is not None:

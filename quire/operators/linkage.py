@@ -81,7 +81,8 @@ def _near_buckets(b: Column, reach: int = 2) -> Column:
     return F.explode(F.sequence(b - reach, b + reach))
 
 
-def _slot(word: Column) -> Column:
+def slot(word: Column) -> Column:
+    """Slot of a word in the frequency table."""
     return F.pmod(F.xxhash64(word), F.lit(SLOTS))
 
 
@@ -90,12 +91,12 @@ def word_table(*sets: DataFrame) -> bytes:
     hashes over the ``(rid, words)`` frames: ``SLOTS`` bytes, whatever the
     number of words. Counted map-side; only slot counts move."""
     u = functools.reduce(DataFrame.unionByName, [s.select(F.explode("words").alias("w")) for s in sets])
-    counts = u.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    counts = u.groupBy(slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
     cls = F.least(F.lit(255), 1 + F.floor(4 * F.log2("n"))).cast("int").alias("cls")
     found = counts.select("slot", cls).toArrow()            # at most SLOTS rows
     table = bytearray(SLOTS)
-    for slot, c in zip(found.column("slot").to_pylist(), found.column("cls").to_pylist()):
-        table[slot] = c
+    for at, c in zip(found.column("slot").to_pylist(), found.column("cls").to_pylist()):
+        table[at] = c
     return bytes(table)
 
 
@@ -120,7 +121,7 @@ def prefix_rows(sets: DataFrame, table: bytes, threshold, more: int = 0) -> Data
     freq = F.lit(bytearray(table))
     n = F.size("words")
     ordered = F.sort_array(F.transform("words", lambda w: F.struct(
-        F.substr(freq, (_slot(w) + 1).cast("int"), F.lit(1)).alias("f"), F.xxhash64(w).alias("h"), w.alias("w"))))
+        F.substr(freq, (slot(w) + 1).cast("int"), F.lit(1)).alias("f"), F.xxhash64(w).alias("h"), w.alias("w"))))
     whole = F.xxhash64(F.lit("="), F.array_join(F.sort_array("words"), " "))
     small = n < only_equal_below(threshold)
     p = F.when(small, 1).otherwise(prefix_length(n, threshold))

@@ -19,7 +19,8 @@ from quire.plans import batches as bt
 from quire.plans import catalog_view as cv
 from quire.plans import payloads as pl
 from quire.session import cut, ensure_checkpoint_dir
-from quire.sources import dims, landed, sinks
+from quire.sources import catalog, dims, landed, sinks
+from quire.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,6 +186,17 @@ def q_lookup_by_id(spark, sf_dir):
     return analytics.lookup(cv.catalog_view(spark, sf_dir), "cat-2024-00008", ord_=7).select("id", "title", "year")
 
 
+@query("lookup_stored", with_catalog("""
+SELECT id, ord, title, year FROM catalog WHERE id IN ('cat-2018-00002', 'cat-2024-00108', 'cat-2017-99999')"""))
+def q_lookup_stored(spark, sf_dir):
+    """P10 on a stored catalog, laid out by id."""
+    path = _shared(spark, "catalog-by-id")
+    sinks.write_by_id(cv.catalog_view(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    hits = [analytics.lookup(stored, i) for i in ("cat-2018-00002", "cat-2024-00108", "cat-2017-99999")]
+    return hits[0].unionByName(hits[1]).unionByName(hits[2]).select("id", "ord", "title", "year")
+
+
 # ------------------------------------------------------- curate
 
 def _curate_status(spark, sf_dir):
@@ -764,12 +776,39 @@ FROM status WHERE status = 'added'""", bt.CANDIDATES_SQL.strip()))
 def q_catalog_parts(spark, sf_dir):
     base, part = _shared(spark, "catalog"), _shared(spark, "catalog-part")
     bt.catalog_part(spark, sf_dir).write.parquet(base)
-    catalog = sinks.read_parts(spark, base, [])
-    st = curate.curate(bt.candidates(spark, sf_dir), catalog, bt.demo_rules(spark), bt.PARAMS)
-    added = sinks.merge_append(catalog, curate.to_entries(st.filter(F.col("status") == "added"), bt.PARAMS), part)
+    held = sinks.read_parts(spark, base, [])
+    st = curate.curate(bt.candidates(spark, sf_dir), held, bt.demo_rules(spark), bt.PARAMS)
+    added = sinks.merge_append(held, curate.to_entries(st.filter(F.col("status") == "added"), bt.PARAMS), part)
     return sinks.read_parts(spark, base, [part] if added else []).select("ord", "id", "title")
 
 
+@query("incremental_catalog", with_catalog("""
+SELECT ord, id, title FROM now_1
+UNION ALL
+SELECT (SELECT max(ord) + 1 FROM now_1) + row_number() OVER (ORDER BY num) - 1, printf('qc-%d-%05d', 2025, num), title
+FROM status_1 WHERE status_1 = 'added'""", bt.INCREMENTAL_SQL))
+def q_incremental_catalog(spark, sf_dir):
+    """The landed batch in two landings, each taken in by the stream."""
+    base, root, files, marks = (_shared(spark, n) for n in ("catalog", "store", "landed", "stream"))
+    bt.catalog_part(spark, sf_dir).write.parquet(base)
+    for day in (0, 1):
+        sinks.write_candidates(bt.candidates(spark, sf_dir).filter(bt.landing(day)), f"{files}/day{day}")
+        incremental.run(spark, files, root, base, marks, bt.demo_rules(spark), bt.PARAMS)
+    return incremental.catalog_now(spark, root, base).select("ord", "id", "title")
+
+
+@query("catalog_lines", with_catalog("""
+SELECT ord, id, title, len(authors) AS n_authors, array_to_string(categories, ',') AS categories, doi, arxiv_id
+FROM catalog"""))
+def q_catalog_lines(spark, sf_dir):
+    """The catalog written as JSON Lines and read back."""
+    path = _shared(spark, "catalog-lines")
+    catalog.write_catalog_lines(cv.catalog_view(spark, sf_dir), path)
+    return catalog.read_catalog_lines(spark, path).select(
+        "ord", "id", "title", F.size("authors").cast("bigint").alias("n_authors"),
+        F.array_join("categories", ",").alias("categories"), "doi", F.col("external_ids.arxiv_id").alias("arxiv_id"))
+
+
 @query("doi_updates", with_catalog("""
 SELECT c.ord, coalesce(r.new_doi, c.doi) AS doi, coalesce(r.new_doi, c.ext_doi) AS ext_doi, c.arxiv_id
 FROM catalog c LEFT JOIN result r ON r.ord = c.ord""", _BACKFILL_SQL.strip()))

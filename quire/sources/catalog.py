@@ -3,7 +3,10 @@
 The catalog file is one JSON document ``{"entries": [...]}``; array
 position is semantic (ties in every ordering fall back to it), so it is kept
 as ``ord``. A whole-file JSON document is read by one task, so it is
-converted once to parquet (``to_parquet``) and worked from there.
+converted once to parquet (``to_parquet``) and worked from there. As JSON
+Lines (an entry a line, with its ``ord``) the catalog is split among tasks
+like any text; a line without ``ord`` or that is no JSON object is reported,
+not dropped.
 """
 
 from __future__ import annotations
@@ -37,6 +40,25 @@ def read_catalog_raw(spark: SparkSession, path: str) -> DataFrame:
         F.col("ord").cast("bigint"), F.to_json("x").alias("raw"))
 
 
+def write_catalog_lines(df: DataFrame, path: str) -> None:
+    """The catalog as JSON Lines; absent fields are left out."""
+    df.select("ord", *[c for c in _names() if c in df.columns]).write.mode("errorifexists").json(path)
+
+
+def read_catalog_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of a JSON Lines catalog; fails on a line that has no place."""
+    lines = spark.read.schema(f"ord bigint, {ENTRY_SCHEMA}, _bad string").option(
+        "columnNameOfCorruptRecord", "_bad").json(path)
+    why = F.concat(F.lit("catalog line without a place: "), F.substring(F.coalesce("_bad", "id", F.lit("")), 1, 80))
+    return (lines.withColumn("ord", F.when(F.col("ord").isNull() | F.col("_bad").isNotNull(), F.raise_error(why))
+                             .otherwise(F.col("ord")))
+            .drop("_bad").withColumn("added_date", F.expr("try_cast(added_date AS DATE)")))
+
+
+def _names() -> list[str]:
+    return [f.split(":")[0] for f in _struct_fields(ENTRY_SCHEMA).split(", ")]
+
+
 def _file_schema() -> str:
     return f"entries array<struct<{_struct_fields(ENTRY_SCHEMA)}>>"
 

@@ -191,3 +191,23 @@ def test_doi_update_sink_dry_run_and_write(spark, tmp_dir):
     none = spark.createDataFrame([(0, None)], "ord bigint, new_doi string")
     assert sinks.write_doi_delta(none, f"{tmp_dir}/snap2") == 0
     assert not os.path.exists(f"{tmp_dir}/snap2")
+
+
+def test_a_lookup_by_id_opens_one_row_group(spark, tmp_dir):
+    from quire.operators import analytics
+    from quire.sources import sinks
+
+    rows = spark.range(40_000).selectExpr("concat('qc-2024-', lpad((id * 7919) % 40000, 5, '0')) AS id", "id AS ord",
+                                          "sha2(cast(id AS string), 256) AS title")
+    sinks.write_by_id(rows, f"{tmp_dir}/by-id", row_group_bytes=200_000)
+    stored = spark.read.parquet(f"{tmp_dir}/by-id")
+
+    def scanned(df):
+        plan = df._jdf.queryExecution().executedPlan()
+        plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+        return plan.collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    one = analytics.lookup(stored, "qc-2024-00077")
+    assert len(one._jdf.collectAsList()) == 1 and 0 < scanned(one) < 4_000
+    none = analytics.lookup(stored, "qc-2024-00077x")      # between two ids: the Bloom filter knows
+    assert len(none._jdf.collectAsList()) == 0 and scanned(none) == 0
