@@ -152,6 +152,20 @@ def test_next_id_overflow_fails_loudly(spark):
         curate.curate(spark.createDataFrame([], CAND), cat, tagging.rules_frame(spark), P)
 
 
+def test_numbers_go_on_beyond_five_digits(spark, library):
+    from dataclasses import replace
+
+    from quire.plans import batches as bt
+
+    p = replace(P, wider_ids=bt.PARAMS.wider_ids)
+    rows = spark.createDataFrame([cand("Jailbreak one", pos=0), cand("Jailbreak two and three", pos=1)], CAND)
+    for held, want in (("cat-2024-99999", [100000, 100001]), ("cat-2024-123456", [1, 2]), ("qc-2025-123456", [123457, 123458])):
+        cat = library.withColumn("id", F.lit(held))
+        st = curate.curate(rows, cat, tagging.rules_frame(spark), p)
+        ids = sorted(r["id"] for r in curate.to_entries(st.filter("status = 'added'"), p).collect())
+        assert ids == [f"qc-2025-{n:05d}" for n in want]
+
+
 def test_run_counters_need_no_room_for_ids(spark, library, monkeypatch):
     from quire.plans import batches as bt
     from quire.plans import registry
