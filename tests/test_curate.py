@@ -296,6 +296,29 @@ def test_greedy_refuses_repeated_or_null_row_ids(spark):
             linkage.greedy_keep_first(df, none)
 
 
+def test_words_of_large_unlike_sets_do_not_move(spark, monkeypatch):
+    # any two of the first twelve share 180 of their 1980 words; the others are
+    # alike, with signatures of either length
+    block = lambda i, j: [f"b{min(i, j)}-{max(i, j)}-{k}" for k in range(180)]
+    sets = [sum((block(i, j) for j in range(12) if j != i), []) for i in range(12)]
+    sets += [[f"near{k}" for k in range(n)] for n in (900, 995, 1000, 1100)] + [[f"near{k}" for k in range(120, 1100)]]
+    seen = {}
+
+    def noting(df, name="cut", scope=None):
+        out = linkage_cut(df, name, scope)
+        seen[name] = out.count()
+        return out
+
+    linkage_cut = linkage.cut
+    monkeypatch.setattr(linkage, "cut", noting)
+    df = spark.createDataFrame(list(enumerate(sets)), "rid bigint, words array<string>")
+    got = {(r.l_rid, r.r_rid) for r in linkage.similar_pairs(df, None).collect()}
+    s = [set(x) for x in sets]
+    want = {(i, j) for j in range(len(s)) for i in range(j) if len(s[i] & s[j]) > 0.85 * len(s[i] | s[j])}
+    assert got == want and len(want) >= 5
+    assert seen["alike"] < 15
+
+
 def test_similarity_join_matches_brute_force(spark):
     import random
 
