@@ -88,7 +88,8 @@ def search(df: DataFrame, q: str, weights=fixed.SEARCH_WEIGHTS, threshold: float
 def write_index(df: DataFrame, path: str) -> DataFrame:
     """The catalog's postings ``(term, ord, field)``, sorted by term so that
     a search reads the files' parts that hold its terms."""
-    posts = field_words(df).select("ord", "field", F.explode("terms").alias("term"))
+    # written once: range bounds come from sampling, which would split every text again
+    posts = cut(field_words(df), "field-words").select("ord", "field", F.explode("terms").alias("term"))
     posts.repartitionByRange("term").sortWithinPartitions("term").write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.parquet(path)
 
