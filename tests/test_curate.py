@@ -388,3 +388,22 @@ def test_greedy_small_and_large_groups_match_sequential_rule(spark, monkeypatch)
         monkeypatch.setattr(linkage, "SMALL_GROUP", small)
         got = {r.rid for r in linkage.greedy_keep_first(df, none).filter("kept").collect()}
         assert got == set(kept)
+
+
+@pytest.mark.parametrize("few, sent", [(-1, 0), (100_000, 1)])
+def test_what_grows_with_the_rows_is_not_sent_to_every_task(spark, monkeypatch, few, sent):
+    plans, cut = [], linkage.cut
+
+    def noted(df, name="cut", scope=None):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return cut(df, name, scope)
+
+    monkeypatch.setattr(linkage, "cut", noted)
+    monkeypatch.setattr(linkage, "FEW_PAIRS", few, raising=False)
+    sets = [(i, [f"w{i % 10}_{k}" for k in range(8)] + ([f"x{i}"] if i >= 20 else [])) for i in range(40)]
+    df = spark.createDataFrame(sets, "rid bigint, words array<string>")
+    keys = spark.createDataFrame([(i, "k", str(i)) for i in (5, 6, 7)] + [(39, "k", "5")], "rid bigint, kind string, key string")
+    got = {r.rid for r in linkage.greedy_keep_first(df, keys).filter("kept").collect()}
+    assert got == set(range(10))
+    # only a few verified pairs may go to every task, by the tables of ``_verify``
+    assert {n for n, p in plans if "BroadcastExchange" in p} <= ({"alike", "matches", "tried"} if sent else set())
