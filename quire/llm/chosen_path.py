@@ -8,10 +8,15 @@ buckets are compared directly, and independent runs bring the recall up.
 * Each run samples positions (``BRANCH`` on average); every sampled position
   sends a set to the bucket of its value there. A bucket with more than
   ``LEAF`` sets is split again by positions sampled from the bucket's own key,
-  down to ``DEPTH`` levels.
+  down to ``DEPTH`` levels, unless it can be ended before (next but one).
 * In a bucket of at most ``LEAF`` sets all pairs of sketches are compared; a
   bucket still larger after ``DEPTH`` splits holds sets agreeing in that many
   random positions and is passed on whole.
+* The sets of a large bucket are compared with its first one. Sets like it
+  are one group by that and need no further path to each other; where at most
+  ``FEW`` others (strays) are left, these are compared with all sets of the
+  bucket, and it ends there. No pair is left out: a large group of near copies
+  is thus not split level after level.
 * What buckets connect forms a group of candidates. Every group is verified
   exactly, each pair once, on the full shingle sets: groups are cut into tiles
   of ``TILE`` x ``TILE`` sets, intersection sizes are one matrix product, and a
@@ -51,6 +56,7 @@ RUNS = 12
 BRANCH = 1.5
 LEAF = 64
 DEPTH = 4
+FEW = 512         # sets unlike a bucket's first one that are compared with the whole bucket
 SLACK = 0.22      # a sketch estimate this far below the threshold still passes
 TILE = 128
 SEED = 20160
@@ -212,11 +218,16 @@ def _groups(batches, n_keys: int):
         yield key, held
 
 
+def _least(threshold: float) -> int:
+    """Agreeing positions from which two sketches count as similar."""
+    return int(np.ceil((threshold - SLACK) * POSITIONS))
+
+
 def _leaves(threshold: float):
     """Rows (node, sid, sketch bytes) sorted by node -> links (a, b) along
     one tree per connected part of the node."""
     def run(batches):
-        least = int(np.ceil((threshold - SLACK) * POSITIONS))
+        least = _least(threshold)
         a, b = [], []
         for _, parts in _groups(batches, 1):
             sid = np.concatenate([p.column(1).to_numpy() for p in parts])
@@ -236,6 +247,43 @@ def _leaves(threshold: float):
     return run
 
 
+def _near_first(threshold: float):
+    """Rows (leader, sid, sketch of sid, sketch of leader) -> links (a, b) of
+    those that look similar."""
+    def run(batches):
+        for part in batches:
+            near = np.zeros(0, bool)
+            if part.num_rows:
+                near = (_values(part.column(2)).astype(np.uint8) == _values(part.column(3)).astype(np.uint8)
+                        ).sum(axis=1) >= _least(threshold)
+            yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(near)), part.column(1).filter(pa.array(near))],
+                                             names=["a", "b"])
+
+    return run
+
+
+def _strays(threshold: float):
+    """Rows (node, chunk, sid, stray, sketch bytes) sorted by node and chunk ->
+    links (a, b) along one tree per part that a chunk's strays connect: every
+    pair of sets of which one is a stray is compared."""
+    def run(batches):
+        least = _least(threshold)
+        for _, parts in _groups(batches, 2):
+            sid = np.concatenate([p.column(2).to_numpy() for p in parts])
+            stray = np.nonzero(np.concatenate([p.column(3).to_numpy(zero_copy_only=False) for p in parts]))[0]
+            x = np.frombuffer(b"".join(v for p in parts for v in p.column(4).to_pylist()),
+                              np.uint8).reshape(len(sid), POSITIONS)
+            linked = np.zeros((len(sid), len(sid)), bool)
+            for at in range(0, len(stray), 32):
+                some = stray[at:at + 32]
+                linked[some] = (x[some, None, :] == x[None, :, :]).sum(axis=2) >= least
+            root = _union_roots(sid, linked | linked.T)
+            far = root != sid
+            yield pa.RecordBatch.from_arrays([pa.array(root[far]), pa.array(sid[far])], names=["a", "b"])
+
+    return run
+
+
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, as products of 0/1 matrices over
     the shingles that occur twice or more."""
@@ -296,7 +344,7 @@ def candidate_links(reps: DataFrame, threshold: float, runs: int) -> DataFrame:
         shared = cut(level.join(stats, "node"), "nodes")
         small = (shared.filter(F.col("m") <= LEAF).select("node", "sid")
                  .join(bytes_, "sid").select("node", "sid", "sketch")
-                 .mapInArrow(_low_bytes, "node long, sid long, low binary")
+                 .mapInArrow(_low_bytes("node", "sid"), "node long, sid long, low binary")
                  .repartition(parts, "node").sortWithinPartitions("node", "sid"))
         links = small.mapInArrow(_leaves(threshold), "a long, b long")
         large = shared.filter(F.col("m") > LEAF)
@@ -307,17 +355,58 @@ def candidate_links(reps: DataFrame, threshold: float, runs: int) -> DataFrame:
         found = links if found is None else found.unionByName(links)
         if depth == DEPTH or large.isEmpty():
             return found
+        first = cut(_first_links(large, bytes_, threshold), "candidates")
+        ended, large = _few_strays(large, first)
+        found = found.unionByName(first).unionByName(cut(_stray_links(ended, bytes_, threshold, parts), "candidates"))
         level = large.select("node", "sid").join(bytes_, "sid").select("node", "sid", "sketch").mapInArrow(
             _split, "node long, sid long")
     return found
 
 
-def _low_bytes(batches):
-    for part in batches:
-        low = _values(part.column(2)).astype(np.uint8) if part.num_rows else np.zeros((0, POSITIONS), np.uint8)
-        yield pa.RecordBatch.from_arrays([part.column(0), part.column(1),
-                                          pa.array([r.tobytes() for r in low], pa.binary())],
-                                         names=["node", "sid", "low"])
+def _first_links(large: DataFrame, bytes_: DataFrame, threshold: float) -> DataFrame:
+    """Links of the sets of over-full nodes to the node's first set, where
+    similar; a pair that meets in several nodes is compared once."""
+    first = bytes_.select(F.col("sid").alias("leader"), F.col("sketch").alias("first"))
+    return (large.filter("sid != leader").select("leader", "sid").distinct()
+            .join(bytes_, "sid").join(first, "leader").select("leader", "sid", "sketch", "first")
+            .mapInArrow(_near_first(threshold), "a long, b long"))
+
+
+def _few_strays(large: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of over-full nodes of which at most ``FEW`` sets are strays, that
+    is, not linked to the node's first set, with ``stray``; and the rows of all
+    other nodes."""
+    like = first.select(F.col("a").alias("leader"), F.col("b").alias("sid"), F.lit(True).alias("like"))
+    x = cut(large.join(like, ["leader", "sid"], "left").select(
+        "node", "sid", "m", (F.col("like").isNull() & (F.col("sid") != F.col("leader"))).alias("stray")), "over-full")
+    nodes = cut(x.groupBy("node").agg(F.sum(F.col("stray").cast("long")).alias("strays")), "strays")
+    x = x.join(nodes, "node")
+    return x.filter(F.col("strays") <= FEW), x.filter(F.col("strays") > FEW)
+
+
+def _stray_links(ended: DataFrame, bytes_: DataFrame, threshold: float, parts: int) -> DataFrame:
+    """Links between a node's strays and all its sets. The sets are dealt over
+    chunks of about ``FEW``, and the strays go to each of them, so that at most
+    about two rows are made of one, however large the node."""
+    chunks = F.ceil(F.col("m") / F.lit(FEW)).cast("int")
+    rows = (ended.filter("strays > 0").join(bytes_, "sid").select("node", "m", "sid", "stray", "sketch")
+            .mapInArrow(_low_bytes("node", "m", "sid", "stray"), "node long, m long, sid long, stray boolean, low binary"))
+    chunk = F.when(F.col("stray"), F.sequence(F.lit(0), chunks - 1)).otherwise(
+        F.array(F.pmod(F.xxhash64("sid"), chunks.cast("long")).cast("int")))
+    return (rows.select("node", F.explode(chunk).alias("chunk"), "sid", "stray", "low")
+            .repartition(parts, "node", "chunk").sortWithinPartitions("node", "chunk", "sid")
+            .mapInArrow(_strays(threshold), "a long, b long").distinct())
+
+
+def _low_bytes(*keys: str):
+    """Rows (keys, sketch) -> rows (keys, one byte of each position)."""
+    def run(batches):
+        for part in batches:
+            low = _values(part.column(len(keys))).astype(np.uint8) if part.num_rows else np.zeros((0, POSITIONS), np.uint8)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([r.tobytes() for r in low], pa.binary())],
+                                             names=[*keys, "low"])
+
+    return run
 
 
 def similarity_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH,
