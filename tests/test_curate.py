@@ -407,3 +407,86 @@ def test_what_grows_with_the_rows_is_not_sent_to_every_task(spark, monkeypatch,
     assert got == set(range(10))
     # only a few verified pairs may go to every task, by the tables of ``_verify``
     assert {n for n, p in plans if "BroadcastExchange" in p} <= ({"alike", "matches", "tried"} if sent else set())
+
+
+def _cuts_made(spark, monkeypatch):
+    """Names of the tables that linkage and curate write, as they are written."""
+    from quire import session
+
+    made = []
+
+    def noted(df, name="cut", scope=None):
+        made.append(name)
+        return session.cut(df, name, scope)
+
+    for module in (linkage, curate):
+        monkeypatch.setattr(module, "cut", noted)
+    return made
+
+
+def test_pairs_found_in_turns_are_all_pairs(spark, monkeypatch):
+    import random
+
+    rnd = random.Random(7)
+    sets = []
+    for _ in range(30):
+        base = [f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(5, 45))]
+        for _ in range(4):
+            s = set(base)
+            for _ in range(rnd.randrange(4)):
+                s = (s | {f"x{rnd.randrange(50)}"}) if rnd.random() < 0.5 else s - {rnd.choice(base)}
+            sets.append(sorted(s))
+    rows = [(i, s) for i, s in enumerate(sets) if s]
+
+    def alike(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) > 0.85
+
+    made = _cuts_made(spark, monkeypatch)
+    monkeypatch.setattr(linkage, "TURN_SETS", 20)
+    monkeypatch.setattr(linkage, "FEW_PAIRS", 0)         # words of both ends are written before they move
+    df = spark.createDataFrame(rows, "rid bigint, words array<string>")
+    got = [(r.l_rid, r.r_rid) for r in linkage.similar_pairs(df, None).collect()]
+    assert sorted(got) == [(i, j) for i, a in rows for j, b in rows if i < j and alike(a, b)] and got
+    assert made.count("turn") == linkage.MOST_TURNS and {"l-ends", "r-ends"} <= set(made)
+    left, right = df.filter("rid % 2 = 0"), df.filter("rid % 2 = 1")
+    got = [(r.l_rid, r.r_rid) for r in linkage.similar_pairs(left, right).collect()]
+    assert sorted(got) == [(i, j) for i, a in rows if i % 2 == 0 for j, b in rows if j % 2 and alike(a, b)] and got
+
+
+def test_words_are_written_once_and_searches_leave_only_their_answer(spark, monkeypatch):
+    import os
+
+    from quire.session import ensure_checkpoint_dir
+
+    base = ensure_checkpoint_dir(spark).removeprefix("file:")
+    made = _cuts_made(spark, monkeypatch)
+    df = spark.createDataFrame([(i, [f"w{j}" for j in range(i, i + 9)]) for i in range(5)] + [(9, [])], "rid bigint, words array<string>")
+    assert {r.rid: r.n_similar for r in linkage.similar_counts(df).collect()} == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 9: 0}
+    assert [m for m in made if m.endswith("-rows") and m != "prefix-rows"] == ["count-rows"]
+    before = set(os.listdir(base))
+    got = linkage.similar_to_any(df, df.filter("rid < 2"))
+    left = set(os.listdir(base)) - before
+    assert [x.split("-")[1] for x in left] == ["similar"]
+    assert sorted(r.rid for r in got.collect()) == [0, 1]
+
+
+def test_texts_of_candidates_move_once(spark, library):
+    import contextlib
+    import io
+    import re
+
+    rows = [cand(f"Jailbreak study {i} {'long ' * i}", pos=i) for i in range(12)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        st = curate.curate(spark.createDataFrame(rows, CAND), library, tagging.rules_frame(spark), P)
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            st.select("title", "status", "num").explain("formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = re.findall(r"\(\d+\) Exchange[^\n]*\nInput \[\d+\]: \[[^\n]*\btitle#", out.getvalue())
+    assert len(moved) == 1
+    # the words of the candidates are those of the whole title all the same
+    words = {r["pos"]: r["words"] for r in st.collect()}
+    assert words[3] == ["jailbreak", "study", "3", "long"]
